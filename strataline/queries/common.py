@@ -15,6 +15,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+NUDGE = 1.7e-9  # moves decimal ties such as x.xxxxxx5 off the rounding edge on both engines
+
+
 def query(name: str, sql: str | None = None):
     def register(fn):
         QUERIES[name] = fn
@@ -32,11 +35,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def r(c, n: int = 6) -> Column:
     """Rounded double without negative zero, as ``rq`` does in SQL."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.round(c.cast("double"), n) + F.lit(0.0)
+    return F.round(c.cast("double") + F.lit(NUDGE), n) + F.lit(0.0)
 
 
 def rq(sql: str, n: int = 6) -> str:
-    return f"(round(CAST({sql} AS DOUBLE), {n}) + 0.0)"
+    return f"(round(CAST({sql} AS DOUBLE) + {NUDGE}, {n}) + 0.0)"
 
 
 def rounded(df: DataFrame, *keep: str, n: int = 6) -> DataFrame:
