@@ -60,7 +60,10 @@ class Frame:
     def ordered(self): return self._w
     def rows(self, n: int): return self._w.rowsBetween(-(n - 1), NOW)
     def so_far(self): return self._w.rowsBetween(PAST, NOW)
-    def onward(self): return self._w.rowsBetween(NOW, FUTURE)
+
+    def reversed_so_far(self, *extra):
+        """Everything from the row onward, read backwards: a running frame instead of a re-scanned one."""
+        return Window.partitionBy(*self.part, *extra).orderBy(F.desc(self.order)).rowsBetween(PAST, NOW)
 
     def span(self, us: int):
         return (Window.partitionBy(*self.part).orderBy(F.unix_micros(self.time.cast("timestamp")))
@@ -87,7 +90,7 @@ def _running(kind: str, f: Frame, c: Column) -> Column:
     if kind == "head":
         return F.first(c).over(f.so_far())
     if kind == "next":
-        return F.first(c, True).over(f.onward())
+        return F.last(c, True).over(f.reversed_so_far())
     fn = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max,
           "last": lambda x: F.last(x, True), "first": lambda x: F.first(x, True)}[kind]
     return fn(c).over(f.so_far())

@@ -202,9 +202,34 @@ def _rolling(op, agg: Callable[..., Column], n, *args) -> Expr:
         us = span_micros(n)
         return _win(op, lambda f, *c: agg(*c).over(f.span(us)), *args, params=(n,), span_us=us)
     n = int(n)
+    if n >= LONG_WINDOW and op in _JOINED:
+        return _long_window(op, agg, n, args[0])
     return _win(op, lambda f, *c: agg(*c).over(f.rows(n)), *args, params=(n,), back=n - 1)
 
 
+LONG_WINDOW = 100  # rows from which a sliding frame costs more than running frames
+_JOINED = {
+    "sum": lambda a, b: F.coalesce(a + b, a, b), "count": lambda a, b: F.coalesce(a + b, a, b),
+    "max": F.greatest, "min": F.least,
+}
+_JOINED["mean"] = _JOINED["sum"]
+
+
+def _long_window(op, agg, n, x):
+    """A trailing window as (tail of the previous n-row block) + (head of this block).
+
+    Both parts are running frames, so a row costs the same for any n, and each
+    result only combines rows of its own window: nothing drifts.
+    """
+    if op == "mean":
+        return div(_long_window("sum", F.sum, n, x), _num(_long_window("count", F.count, n, x)))
+    blk = _map("long_block", lambda p: F.floor((p - 1) / n), POS, params=(n,))
+    head = _win(f"{op}_head", lambda f, c, b, p: agg(c).over(f.within(b)), x, blk, POS, params=(n,), back=n - 1)
+    tail = _win(f"{op}_tail", lambda f, c, b, p: agg(c).over(f.reversed_so_far(b)), x, blk, POS, params=(n,))
+    older = _map("older", lambda t, p: F.when(p % n != 0, t), ref(tail, n - 1), POS, params=(n,))
+    return _map(f"{op}_joined", _JOINED[op], older, head)
+
+
 _UNITS = {"us": 1, "ms": 1_000, "s": 1_000_000, "min": 60_000_000, "h": 3_600_000_000, "d": 86_400_000_000}
 
 
