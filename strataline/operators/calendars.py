@@ -116,21 +116,22 @@ def calendar_by_participation(panel: DataFrame, threshold: float = 0.5, minimum:
     return out.where(F.col("n") >= need).select("datetime", "n", "listed")
 
 
-def densify(panel: DataFrame, cal: DataFrame, spans: DataFrame | None = None) -> DataFrame:
-    """Give every instrument a row on each calendar time of its own life (or of given spans).
+def calendar_rows(spans: DataFrame, cal: DataFrame) -> DataFrame:
+    """(instrument, datetime, idx) for every calendar time inside each span.
 
-    Lives are turned into index ranges and expanded in chunks, so the calendar
-    is reached by equality on its index and no range join is needed.
+    Spans are cut into days and meet the calendar by equality on the day, so no
+    range join is needed and no row carries more than its days.
     """
-    c = cal.select(F.col("datetime").alias("_d"), F.col("idx").alias("_i"))
+    days = spans.select("instrument", "start", "end", F.explode(F.sequence(
+        F.to_date("start"), F.to_date("end"), F.expr("INTERVAL 1 DAY"))).alias("_day"))
+    c = cal.withColumn("_day", F.to_date("datetime"))
+    return days.join(c, "_day").where(F.col("datetime").between(F.col("start"), F.col("end"))).select(
+        "instrument", "datetime", "idx")
+
+
+def densify(panel: DataFrame, cal: DataFrame, spans: DataFrame | None = None) -> DataFrame:
+    """Give every instrument a row on each calendar time of its own life (or of given spans)."""
     if spans is None:
         spans = panel.groupBy("instrument").agg(F.min("datetime").alias("start"), F.max("datetime").alias("end"))
-    lives = spans.join(c.select(F.col("_d").alias("start"), F.col("_i").alias("_a")), "start") \
-                 .join(c.select(F.col("_d").alias("end"), F.col("_i").alias("_b")), "end")
-    chunk = 4096
-    pieces = lives.select("instrument", "_a", "_b", F.explode(
-        F.sequence(F.floor(F.col("_a") / chunk), F.floor(F.col("_b") / chunk))).alias("_k"))
-    grid = pieces.select("instrument", F.explode(F.sequence(
-        F.greatest(F.col("_a"), F.col("_k") * chunk), F.least(F.col("_b"), F.col("_k") * chunk + chunk - 1))).alias("_i"))
-    full = grid.join(c, "_i").select("instrument", F.col("_d").alias("datetime"))
+    full = calendar_rows(spans, cal).select("instrument", "datetime")
     return full.join(panel, ["instrument", "datetime"], "left").select(*panel.columns)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataline.operators.calendars import calendar_of
+from strataline.operators.calendars import calendar_of, calendar_rows
 from strataline.plans import expr as E
 from strataline.plans.evaluate import Panel, features, with_columns
 
@@ -32,21 +32,8 @@ def spans_from_flags(flags: DataFrame, flag: str, nan_is_true: bool = False) ->
 
 
 def _membership(universe: DataFrame, cal: DataFrame) -> DataFrame:
-    """One row per (instrument, calendar time) inside a span, reached by calendar index."""
-    c = cal.select(F.col("datetime").alias("_d"), F.col("idx").alias("_i"))
-    day_first = universe.select("instrument", "start", "end")
-    from strataline.operators.calendars import shift_dates
-
-    a = shift_dates(day_first, cal, 0, align="right", clip=False, column="start", out="_s")
-    b = shift_dates(a, cal, 0, align="left", clip=False, column="end", out="_e")
-    ids = b.join(c.select(F.col("_d").alias("_s"), F.col("_i").alias("_a")), "_s").join(
-        c.select(F.col("_d").alias("_e"), F.col("_i").alias("_b")), "_e").where("_a <= _b")
-    chunk = 4096
-    parts = ids.select("instrument", "_a", "_b", F.explode(
-        F.sequence(F.floor(F.col("_a") / chunk), F.floor(F.col("_b") / chunk))).alias("_k"))
-    grid = parts.select("instrument", F.explode(F.sequence(
-        F.greatest(F.col("_a"), F.col("_k") * chunk), F.least(F.col("_b"), F.col("_k") * chunk + chunk - 1))).alias("_i"))
-    return grid.join(c, "_i").select("instrument", F.col("_d").alias("datetime"), F.col("_i").alias("idx")).distinct()
+    """One row per (instrument, calendar time) inside a span."""
+    return calendar_rows(universe, cal).distinct()
 
 
 def filter_by_name(universe: DataFrame, cal: DataFrame, pattern: str, fstart=None, fend=None) -> DataFrame:

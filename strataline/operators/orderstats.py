@@ -13,14 +13,14 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataline.plans.sizing import has_hot_group, row_limit, split_points, with_range_bucket
+from strataline.plans.sizing import has_hot_group, is_small, row_limit, settle, split_points, with_range_bucket
 
 
 def value_counts(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """(by, value) -> _cnt rows, _before smaller rows, _total non-missing rows; hot-group safe."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_cnt"))
-    typed = counts.withColumn("_key", F.col(value).cast("double"))
-    parts = math.ceil(df.count() / max(1, row_limit(df) // 4))
+    typed = settle(counts.withColumn("_key", F.col(value).cast("double")))
+    parts = math.ceil(typed.count() / max(1, row_limit(df) // 4))
     ranged = with_range_bucket(typed, "_key", split_points(typed, "_key", parts), "_rng")
     per_range = ranged.groupBy(*by, "_rng").agg(F.sum("_cnt").alias("_n"))
     w = Window.partitionBy(*by).orderBy("_rng")
@@ -56,7 +56,7 @@ def group_quantiles(df: DataFrame, by: list[str], value: str, qs: dict[str, floa
                     hot: bool | None = None) -> DataFrame:
     """One row per group with exact linear-interpolation quantiles."""
     if hot is None:
-        hot = has_hot_group(df, *by) if by else df.count() > row_limit(df)
+        hot = has_hot_group(df, *by) if by else not is_small(df)
     if not hot:
         aggs = [F.percentile(value, F.lit(q)).alias(name) for name, q in qs.items()]
         return df.groupBy(*by).agg(*aggs)

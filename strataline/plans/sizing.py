@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,17 +15,53 @@ def row_limit(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(ROWS_KEY, str(DEFAULT_ROWS)))
 
 
+SMALL_BYTES = 8  # bytes of planned input per allowed row under which no count is worth running
+
+
+def planned_bytes(df: DataFrame) -> float:
+    """Catalyst's size estimate of the result; infinite where it is not available."""
+    try:
+        return float(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except AttributeError:
+        return float("inf")
+
+
+def is_small(df: DataFrame) -> bool:
+    """True when one task could take all rows: by the planned size, else by an actual count."""
+    limit = row_limit(df)
+    if limit >= DEFAULT_ROWS and planned_bytes(df) <= limit * SMALL_BYTES:
+        return True
+    return df.count() <= limit
+
+
 def has_hot_group(df: DataFrame, *keys: str) -> bool:
     """True when some group of ``keys`` holds more rows than one task should sort.
 
-    A Parquet row count comes from the footers, so small inputs are settled
-    without reading data; larger ones cost one map-side combined count.
+    Small inputs are settled by the planned size or the row count (Parquet
+    footers); larger ones cost one map-side combined count.
     """
-    limit = row_limit(df)
-    if df.count() <= limit:
+    if is_small(df):
         return False
     top = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    return (top or 0) > limit
+    return (top or 0) > row_limit(df)
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Compute once and cut the lineage, in the shared checkpoint folder of the session.
+
+    A folder of our own is only set where the session names none and runs
+    locally, as in tests.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+            folder = tempfile.mkdtemp(prefix="spark-")
+        sc.setCheckpointDir(folder)
+    return df.checkpoint()
 
 
 def split_points(df: DataFrame, column: str, parts: int) -> list[float]:
