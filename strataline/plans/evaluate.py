@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from strataline.operators.orderstats import average_rank
 from strataline.plans.expr import Expr, field
-from strataline.plans.sizing import has_hot_group, row_limit, split_points, with_range_bucket
+from strataline.plans.sizing import has_hot_group, row_limit, settle, split_points, with_range_bucket
 
 PAST, NOW, FUTURE = Window.unboundedPreceding, Window.currentRow, Window.unboundedFollowing
 
@@ -265,7 +265,7 @@ def _accumulate_blocked(df: DataFrame, accs: dict[str, tuple[str, str]]) -> Data
 
 def evaluate_blocked(df: DataFrame, exprs: Mapping[str, Expr]) -> DataFrame:
     base = list(df.columns)
-    cur = with_positions(df)
+    cur = settle(with_positions(df))
     exprs = dict(exprs)
     serial = 0
     while max(_depth(e) for e in exprs.values()):
@@ -290,7 +290,7 @@ def evaluate_blocked(df: DataFrame, exprs: Mapping[str, Expr]) -> DataFrame:
                 for k, n in layer.items() if n.kind == "win"}
         if rest:
             cur = stage(cur, rest, Frame(["instrument"], "_pos", "_pos"))
-        cur = cur.drop(*inner)
+        cur = settle(cur.drop(*inner))
         exprs = {name: _replace(e, names) for name, e in exprs.items()}
     out = _bounded_blocked(cur, exprs)
     return out.select(*[c for c in base if c not in exprs], *exprs)
