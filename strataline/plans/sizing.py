@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROWS_KEY = "strataline.maxRowsPerTask"
@@ -46,21 +47,26 @@ def has_hot_group(df: DataFrame, *keys: str) -> bool:
     return (top or 0) > row_limit(df)
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Compute once and cut the lineage, in the shared checkpoint folder of the session.
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder under the session's checkpoint folder.
 
     A folder of our own is only set where the session names none and runs
     locally, as in tests.
     """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        return tempfile.mkdtemp(prefix="spark-")
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Compute once and cut the lineage, in the shared checkpoint folder of the session."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="spark-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(scratch_folder(spark))
     return df.checkpoint()
 
 
