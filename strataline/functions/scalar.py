@@ -13,21 +13,17 @@ INF = float("inf")
 
 
 def nan_to_null(c: Column) -> Column:
-    return F.when(~F.isnan(c), c)
+    return F.nanvl(c, F.lit(None).cast("double"))
 
 
 def safe_div(a: Column, b: Column) -> Column:
     """IEEE division with 0/0 as NULL; never raises under ANSI mode."""
-    return nan_to_null(
-        F.when(b != 0, a / b)
-        .when((b == 0) & (a > 0), F.lit(INF))
-        .when((b == 0) & (a < 0), F.lit(-INF))
-    )
+    return nan_to_null(F.coalesce(F.try_divide(a, b), F.when(b == 0, F.signum(a) * F.lit(INF))))
 
 
 def null_div(a: Column, b: Column) -> Column:
     """Division that is NULL whenever the denominator is zero."""
-    return F.when(b != 0, a / b)
+    return F.try_divide(a, b)
 
 
 def safe_log(x: Column) -> Column:

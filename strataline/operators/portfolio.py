@@ -250,17 +250,18 @@ def signal_pnl(bars: DataFrame, capital: float = 1.0, fee: float = 0.0, slippage
     c, pos = E.field("close"), E.field("position")
     prev = E.if_(E.is_null(E.ref(pos, 1)), 0.0, E.ref(pos, 1))
     pct = E.if_(E.is_null(c / E.ref(c, 1)), 0.0, c / E.ref(c, 1) - 1)
-    step = with_columns(Panel(bars.withColumn("position", size)), {"trade": pos - prev, "port_ret": prev * pct})
+    hot = Panel(bars).is_hot()  # checked once: every later frame has the same rows
+    step = with_columns(Panel(bars.withColumn("position", size), blocked=hot), {"trade": pos - prev, "port_ret": prev * pct})
     step = step.withColumns({"_cost": F.abs("trade") * (fee + slippage), "_f": 1 + F.col("port_ret")})
-    seg = with_columns(Panel(step), {"_seg": E.sum_(E.if_(E.eq(E.field("_f"), 0.0), 1.0, 0.0), 0)})
+    seg = with_columns(Panel(step, blocked=hot), {"_seg": E.sum_(E.if_(E.eq(E.field("_f"), 0.0), 1.0, 0.0), 0)})
     f = E.if_(E.eq(E.field("_f"), 0.0), 1.0, E.field("_f"))
     sign = E.if_(E.eq(E.column_map("mod2", lambda n: n % 2, E.sum_(E.if_(E.lt(f, 0.0), 1.0, 0.0), 0)), 1.0), -1.0, 1.0)
     grow = E.exp(E.sum_(E.log(E.abs_(f)), 0)) * sign
     start = E.if_(E.eq(E.field("_seg"), 0.0), float(capital), 0.0)
     keyed = seg.withColumn("_inst", F.col("instrument")).withColumn("instrument", F.concat_ws("#", "instrument", F.col("_seg").cast("string")))
-    eq = with_columns(Panel(keyed), {"equity": grow * (start - E.sum_(E.field("_cost") / grow, 0))})
+    eq = with_columns(Panel(keyed, blocked=hot), {"equity": grow * (start - E.sum_(E.field("_cost") / grow, 0))})
     eq = eq.withColumn("instrument", F.col("_inst")).drop("_inst", "_seg", "_f", "_cost")
-    return with_columns(Panel(eq), {"peak": E.max_(E.field("equity"), 0)}).withColumn("drawdown", S.null_div(F.col("peak") - F.col("equity"), F.col("peak")))
+    return with_columns(Panel(eq, blocked=hot), {"peak": E.max_(E.field("equity"), 0)}).withColumn("drawdown", S.null_div(F.col("peak") - F.col("equity"), F.col("peak")))
 
 
 def pnl_metrics(pnl: DataFrame, capital: float = 1.0, periods: float = 252.0) -> DataFrame:

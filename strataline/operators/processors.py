@@ -54,9 +54,6 @@ def column_medians(df: DataFrame, cols: list[str]) -> dict[str, float]:
     return {r["_col"]: r["med"] for r in rows}
 
 
-BY_DATE = Window.partitionBy("datetime")
-
-
 class ByDate:
     """Adds per-date statistics as columns.
 
@@ -71,14 +68,16 @@ class ByDate:
 
     def stats(self, df: DataFrame, aggs: dict[str, Column]) -> DataFrame:
         if not self.hot:
-            return df.withColumns({n: a.over(BY_DATE) for n, a in aggs.items()})
+            by_date = Window.partitionBy("datetime")
+            return df.withColumns({n: a.over(by_date) for n, a in aggs.items()})
         df = settle(df)
         return df.join(df.groupBy("datetime").agg(*[a.alias(n) for n, a in aggs.items()]), "datetime")
 
     def medians(self, df: DataFrame, cols: list[str]) -> DataFrame:
         """Exact medians, one column per input column with suffix ``__med``."""
         if not self.hot:
-            return df.withColumns({f"{c}__med": F.percentile(c, F.lit(0.5)).over(BY_DATE) for c in cols})
+            by_date = Window.partitionBy("datetime")
+            return df.withColumns({f"{c}__med": F.percentile(c, F.lit(0.5)).over(by_date) for c in cols})
         df = settle(df)
         q = group_quantiles(_long(df, ["datetime"], cols), ["datetime", "_col"], "_val", {"med": 0.5}, hot=True)
         wide = q.groupBy("datetime").agg(*[F.max(F.when(F.col("_col") == c, F.col("med"))).alias(f"{c}__med") for c in cols])

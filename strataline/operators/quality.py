@@ -53,9 +53,10 @@ def repair_units(panel: Panel) -> DataFrame:
     passes as the longest run; every pass is one distributed window job.
     """
     cols = [c for c in PRICES + ["adjclose"] if c in panel.df.columns]
+    hot = panel.is_hot()
     df = settle(panel.df)
     while True:
-        marked = with_columns(Panel(df, panel.sized_by, panel.blocked), {"_chg": change_expr()})
+        marked = with_columns(Panel(df, blocked=hot), {"_chg": change_expr()})
         bad = F.coalesce(F.col("_chg").between(*GLITCH), F.lit(False))
         fixed = settle(marked.select(*[F.when(bad, F.col(c) / 100).otherwise(F.col(c)).alias(c) if c in cols else F.col(c)
                                        for c in df.columns], bad.alias("_bad")))
@@ -66,8 +67,9 @@ def repair_units(panel: Panel) -> DataFrame:
 
 def normalise_bars(raw: DataFrame, cal: DataFrame, order: list[Column] | None = None) -> DataFrame:
     """Align, blank untraded rows, repair unit errors, add ``change``, blank again."""
-    df = repair_units(Panel(blank_untraded(align_bars(raw, cal, order)), sized_by=None))
-    return blank_untraded(with_change(Panel(df)))
+    aligned = Panel(blank_untraded(align_bars(raw, cal, order)))
+    hot = aligned.is_hot()
+    return blank_untraded(with_change(Panel(repair_units(Panel(aligned.df, blocked=hot)), blocked=hot)))
 
 
 def adjust_prices(panel: Panel) -> DataFrame:

@@ -92,6 +92,14 @@ def reduce_groups(results: DataFrame, keys: list[str], value: str, how: str = "m
     return results.groupBy(*keys).agg(fn(value).alias(value))
 
 
+def _trainable(df: DataFrame, features: list[str], label: str) -> DataFrame:
+    """Rows with a known label and no infinite value."""
+    ok = F.col(label).isNotNull()
+    for c in [*features, label]:
+        ok = ok & ~S.is_inf(F.col(c))
+    return df.where(ok)
+
+
 def _assembled(df: DataFrame, features: list[str]):
     from pyspark.ml.feature import VectorAssembler
 
@@ -102,7 +110,7 @@ def fit_linear(df: DataFrame, features: list[str], label: str = "label", kind: s
     """OLS, ridge or lasso on distributed rows; ``alpha`` has the usual least-squares meaning."""
     from pyspark.ml.regression import LinearRegression
 
-    rows = _assembled(df.where(F.col(label).isNotNull()), features)
+    rows = _assembled(_trainable(df, features, label), features)
     reg, mix = 0.0, 0.0
     if kind == "ridge":
         # the library averages the loss and measures the L2 term on a standardised label
@@ -118,7 +126,7 @@ def fit_boosted_trees(df: DataFrame, features: list[str], label: str = "label",
     from pyspark.ml.regression import GBTRegressor
 
     gbt = GBTRegressor(featuresCol="_x", labelCol=label, predictionCol="score", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed)
-    return gbt.fit(_assembled(df.where(F.col(label).isNotNull()), features))
+    return gbt.fit(_assembled(_trainable(df, features, label), features))
 
 
 def predict(model, df: DataFrame, features: list[str]) -> DataFrame:

@@ -134,7 +134,7 @@ def stage(df: DataFrame, exprs: Mapping[str, Expr], frame: Frame) -> DataFrame:
                 c = _series_rank_plain(args[0], frame.part)
             else:
                 c = n.make(frame, *args)
-            name = f"_s{serial}"
+            name = f"__s{serial}"
             serial += 1
             new[name], ready[key] = c, name
         df = df.withColumns(new)
@@ -148,16 +148,16 @@ def stage(df: DataFrame, exprs: Mapping[str, Expr], frame: Frame) -> DataFrame:
 
 def with_positions(df: DataFrame) -> DataFrame:
     """Exact 1-based row position per instrument without sorting an instrument in one task."""
-    t = df.withColumn("_us", F.unix_micros(F.col("datetime").cast("timestamp")).cast("double"))
+    t = df.withColumn("__us", F.unix_micros(F.col("datetime").cast("timestamp")).cast("double"))
     parts = math.ceil(df.count() / max(1, row_limit(df) // 4))
-    ranged = with_range_bucket(t, "_us", split_points(t, "_us", parts), "_rng")
-    counts = ranged.groupBy("instrument", "_rng").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy("instrument").orderBy("_rng").rowsBetween(PAST, -1)
-    shift = counts.select("instrument", "_rng", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_shift"))
-    inside = Window.partitionBy("instrument", "_rng").orderBy("datetime")
-    return (ranged.join(shift, ["instrument", "_rng"])
-            .withColumn("_pos", F.col("_shift") + F.row_number().over(inside))
-            .drop("_us", "_rng", "_shift"))
+    ranged = with_range_bucket(t, "__us", split_points(t, "__us", parts), "__rng")
+    counts = ranged.groupBy("instrument", "__rng").agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.partitionBy("instrument").orderBy("__rng").rowsBetween(PAST, -1)
+    shift = counts.select("instrument", "__rng", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__shift"))
+    inside = Window.partitionBy("instrument", "__rng").orderBy("datetime")
+    return (ranged.join(shift, ["instrument", "__rng"])
+            .withColumn("__pos", F.col("__shift") + F.row_number().over(inside))
+            .drop("__us", "__rng", "__shift"))
 
 
 def _replace(e: Expr, names: Mapping[str, str]) -> Expr:
@@ -189,17 +189,17 @@ def _bounded_blocked(df: DataFrame, exprs: Mapping[str, Expr]) -> DataFrame:
     if us:
         back += _rows_per_span(df, us)
     size = max(row_limit(df) // 2, back, ahead, 1)
-    at = (F.col("_pos") - 1) % size
-    own = F.floor((F.col("_pos") - 1) / size)
+    at = (F.col("__pos") - 1) % size
+    own = F.floor((F.col("__pos") - 1) / size)
     homes = [F.struct(own.alias("b"), F.lit(True).alias("own"))]
     if back:
         homes.append(F.when(at >= size - back, F.struct((own + 1).alias("b"), F.lit(False).alias("own"))))
     if ahead:
         homes.append(F.when(at < ahead, F.struct((own - 1).alias("b"), F.lit(False).alias("own"))))
-    copies = (df.withColumn("_home", F.explode(F.array_compact(F.array(*homes))))
-              .withColumn("_block", F.col("_home.b")).withColumn("_own", F.col("_home.own")).drop("_home"))
-    out = stage(copies, exprs, Frame(["instrument", "_block"], "_pos", "_pos"))
-    return out.where("_own").drop("_block", "_own")
+    copies = (df.withColumn("__home", F.explode(F.array_compact(F.array(*homes))))
+              .withColumn("__block", F.col("__home.b")).withColumn("__own", F.col("__home.own")).drop("__home"))
+    out = stage(copies, exprs, Frame(["instrument", "__block"], "__pos", "__pos"))
+    return out.where("__own").drop("__block", "__own")
 
 
 _TOTAL = {
@@ -244,21 +244,21 @@ def _merge(kind: str, carried: Column, here: Column, here_head: Column) -> Colum
 def _accumulate_blocked(df: DataFrame, accs: dict[str, tuple[str, str]]) -> DataFrame:
     """Running accumulators ``out -> (kind, column)``: block totals carried forward plus in-block runs."""
     size = max(1, row_limit(df) // 2)
-    b = df.withColumn("_block", F.floor((F.col("_pos") - 1) / size))
-    p = F.col("_pos")
-    totals = b.groupBy("instrument", "_block").agg(
-        *[_TOTAL[k](F.col(c), p).alias(f"_t{i}") for i, (k, c) in enumerate(accs.values())])
-    w = Window.partitionBy("instrument").orderBy("_block")
-    carry = totals.select("instrument", "_block", *[
-        _prior(k, F.col(f"_t{i}"), w).alias(f"_c{i}") for i, (k, _) in enumerate(accs.values())])
-    f = Frame(["instrument", "_block"], "_pos", "_pos")
-    joined = b.join(carry, ["instrument", "_block"])
+    b = df.withColumn("__block", F.floor((F.col("__pos") - 1) / size))
+    p = F.col("__pos")
+    totals = b.groupBy("instrument", "__block").agg(
+        *[_TOTAL[k](F.col(c), p).alias(f"__t{i}") for i, (k, c) in enumerate(accs.values())])
+    w = Window.partitionBy("instrument").orderBy("__block")
+    carry = totals.select("instrument", "__block", *[
+        _prior(k, F.col(f"__t{i}"), w).alias(f"__c{i}") for i, (k, _) in enumerate(accs.values())])
+    f = Frame(["instrument", "__block"], "__pos", "__pos")
+    joined = b.join(carry, ["instrument", "__block"])
     runs = {}
     for i, (k, c) in enumerate(accs.values()):
         v = F.col(c)
-        runs[f"_r{i}"] = _running(k, f, F.struct(v.alias("v")) if k == "head" else v)
+        runs[f"__r{i}"] = _running(k, f, F.struct(v.alias("v")) if k == "head" else v)
     joined = joined.withColumns(runs)
-    outs = [_merge(k, F.col(f"_c{i}"), F.col(f"_r{i}"), F.col(f"_r{i}")).alias(name)
+    outs = [_merge(k, F.col(f"__c{i}"), F.col(f"__r{i}"), F.col(f"__r{i}")).alias(name)
             for i, (name, (k, _)) in enumerate(accs.items())]
     return joined.select(*df.columns, *outs)
 
@@ -274,7 +274,7 @@ def evaluate_blocked(df: DataFrame, exprs: Mapping[str, Expr]) -> DataFrame:
             for n in e.nodes():
                 if _depth(n) == 1 and (n.kind in ("acc", "series") or n.own_back == math.inf):
                     layer.setdefault(n.key, n)
-        names = {k: f"_u{serial + i}" for i, k in enumerate(layer)}
+        names = {k: f"__u{serial + i}" for i, k in enumerate(layer)}
         serial += len(layer)
         inner = {f"{names[k]}_{j}": a for k, n in layer.items() for j, a in enumerate(n.args)}
         cur = _bounded_blocked(cur, inner)
@@ -289,7 +289,7 @@ def evaluate_blocked(df: DataFrame, exprs: Mapping[str, Expr]) -> DataFrame:
                                n.make, n.own_back, n.own_ahead, n.boolean, n.span_us)
                 for k, n in layer.items() if n.kind == "win"}
         if rest:
-            cur = stage(cur, rest, Frame(["instrument"], "_pos", "_pos"))
+            cur = stage(cur, rest, Frame(["instrument"], "__pos", "__pos"))
         cur = settle(cur.drop(*inner))
         exprs = {name: _replace(e, names) for name, e in exprs.items()}
     out = _bounded_blocked(cur, exprs)
@@ -317,7 +317,7 @@ def features(panel: Panel, exprs: Mapping[str, Expr], start=None, end=None, univ
     """
     wanted = dict(exprs)
     if keep_rows is not None:
-        wanted["_keep"] = keep_rows
+        wanted["__keep"] = keep_rows
     cols = sorted(set().union(*[e.fields() for e in wanted.values()]))
     df = panel.df
     if instruments is not None:
@@ -335,7 +335,7 @@ def features(panel: Panel, exprs: Mapping[str, Expr], start=None, end=None, univ
     if end is not None:
         out = out.where(t <= F.lit(end))
     if keep_rows is not None:
-        out = out.where(F.col("_keep"))
+        out = out.where(F.col("__keep"))
     if universe is not None:
         out = in_spans(out, universe)
     return out.select("instrument", "datetime", *exprs)

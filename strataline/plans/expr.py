@@ -154,7 +154,13 @@ def power(a, b): return _binary("power", S.safe_pow, a, b)
 def add(a, b): return _binary("add", lambda x, y: x + y, a, b)
 def sub(a, b): return _binary("sub", lambda x, y: x - y, a, b)
 def mul(a, b): return _binary("mul", lambda x, y: x * y, a, b)
-def div(a, b): return _binary("div", S.safe_div, a, b)
+def div(a, b):
+    b = as_expr(b)
+    if b.kind == "const" and b.params[0]:
+        return _binary("div", lambda x, y: x / y, a, b)
+    return _binary("div", S.safe_div, a, b)
+
+
 def greater(a, b): return _binary("greater", S.both_max, a, b)
 def less(a, b): return _binary("less", S.both_min, a, b)
 

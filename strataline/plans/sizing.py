@@ -16,21 +16,22 @@ def row_limit(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(ROWS_KEY, str(DEFAULT_ROWS)))
 
 
-SMALL_BYTES = 8  # bytes of planned input per allowed row under which no count is worth running
+SMALL_BYTES = 8  # bytes of stored input per allowed row under which no count is worth running
 
 
-def planned_bytes(df: DataFrame) -> float:
-    """Catalyst's size estimate of the result; infinite where it is not available."""
+def input_bytes(df: DataFrame) -> float:
+    """Stored size of everything the plan reads; infinite where it is not known."""
     try:
-        return float(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        return sum(float(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
     except AttributeError:
         return float("inf")
 
 
 def is_small(df: DataFrame) -> bool:
-    """True when one task could take all rows: by the planned size, else by an actual count."""
+    """True when one task could take all rows: by the size of the input, else by an actual count."""
     limit = row_limit(df)
-    if limit >= DEFAULT_ROWS and planned_bytes(df) <= limit * SMALL_BYTES:
+    if limit >= DEFAULT_ROWS and input_bytes(df) <= limit * SMALL_BYTES:
         return True
     return df.count() <= limit
 
@@ -38,7 +39,7 @@ def is_small(df: DataFrame) -> bool:
 def has_hot_group(df: DataFrame, *keys: str) -> bool:
     """True when some group of ``keys`` holds more rows than one task should sort.
 
-    Small inputs are settled by the planned size or the row count (Parquet
+    Small inputs are settled by their stored size or row count (Parquet
     footers); larger ones cost one map-side combined count.
     """
     if is_small(df):
