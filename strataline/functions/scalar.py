@@ -26,6 +26,12 @@ def null_div(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
 
 
+def pair_corr(a: Column, b: Column) -> Column:
+    """Aggregate correlation of complete pairs; NULL for flat or single pairs, where the built-in one raises."""
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return nan_to_null(F.try_divide(F.covar_pop(a, b), F.sqrt(F.var_pop(x)) * F.sqrt(F.var_pop(y))))
+
+
 def safe_log(x: Column) -> Column:
     return F.when(x > 0, F.log(x)).when(x == 0, F.lit(-INF))
 

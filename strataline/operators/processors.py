@@ -349,7 +349,7 @@ class BlockNorm(Processor):
         for b, cols in self.blocks.items():
             for c in cols:
                 x = S.safe_log(F.col(c) + 1) if b.endswith("volume") else F.col(c)
-                z = (x - F.lit(self.centre[b])) / F.lit(self.scale[b])
+                z = S.safe_div(x - F.lit(self.centre[b]), F.lit(float(self.scale[b])))
                 if self.robust:
                     up, down = self.vmax[b] - 3, self.vmin[b] + 3
                     high = F.least(3 + (z - 3) / F.lit(up) * 0.5, F.lit(3.5)) if up else F.lit(3.5)

@@ -27,7 +27,7 @@ def ic_by_date(df: DataFrame, by: tuple[str, ...] = ("datetime",), score: str =
     keys = list(by)
     hot = has_hot_group(pairs, *keys)
     ranked = average_rank(average_rank(pairs, keys, score, "_rs", hot=hot), keys, label, "_rl", hot=hot)
-    return ranked.groupBy(*keys).agg(S.nan_to_null(F.corr(score, label)).alias("ic"), S.nan_to_null(F.corr("_rs", "_rl")).alias("rank_ic"))
+    return ranked.groupBy(*keys).agg(S.pair_corr(F.col(score), F.col(label)).alias("ic"), S.pair_corr(F.col("_rs"), F.col("_rl")).alias("rank_ic"))
 
 
 def ic_summary(ic: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -83,14 +83,14 @@ def prediction_autocorr(df: DataFrame, lag: int = 1, score: str = "score") -> Da
     cal = calendar_of(df)
     x = df.join(cal, "datetime").select("instrument", "datetime", "idx", F.col(score).alias("_a"))
     y = x.select("instrument", (F.col("idx") + lag).alias("idx"), F.col("_a").alias("_b"))
-    return x.join(y, ["instrument", "idx"], "left").groupBy("datetime").agg(S.nan_to_null(F.corr("_a", "_b")).alias("autocorr"))
+    return x.join(y, ["instrument", "idx"], "left").groupBy("datetime").agg(S.pair_corr(F.col("_a"), F.col("_b")).alias("autocorr"))
 
 
 def rank_autocorr(df: DataFrame, lag: int = 1, score: str = "score") -> DataFrame:
     """Correlation of percentile ranks with each instrument's rank ``lag`` rows earlier."""
     cur = average_rank(df.select("instrument", "datetime", score), ["datetime"], score, "_r", pct=True)
     prev = with_columns(Panel(cur.drop(score)), {"_last": E.ref(E.field("_r"), lag)})
-    return prev.groupBy("datetime").agg(S.nan_to_null(F.corr("_r", "_last")).alias("autocorr"))
+    return prev.groupBy("datetime").agg(S.pair_corr(F.col("_r"), F.col("_last")).alias("autocorr"))
 
 
 def group_returns(df: DataFrame, groups: int = 5, score: str = "score", label: str = "label") -> DataFrame:

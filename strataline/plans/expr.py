@@ -577,8 +577,9 @@ def _ema_growing(x):
 # pairs ------------------------------------------------------------------------
 
 def _paired(a, b):
-    both = _map("both", lambda x, y: F.when(y.isNotNull(), x), a, b), _map("both", lambda x, y: F.when(y.isNotNull(), x), b, a)
-    return both
+    """Both sides restricted to rows where the other one exists."""
+    keep = lambda x, y: _map("paired", lambda u, v: F.when(v.isNotNull(), u), x, y)
+    return keep(a, b), keep(b, a)
 
 
 def cov(a, b, n):
@@ -599,9 +600,10 @@ def corr(a, b, n):
         p, q = _paired(a, b)
         return _map("corr0", lambda c, x, y: F.when((x > FLAT_STD) & (y > FLAT_STD), c / (x * y)),
                     cov(a, b, 0), std(p, 0), std(q, 0))
+    p, q = _paired(a, b)
     flat = lambda s: (s > FLAT_STD) | s.isNull()
-    return _map("corr_mask", lambda r, s, t: F.when(flat(s) & flat(t), S.nan_to_null(r)),
-                _rolling("corr", F.corr, n, a, b), std(a, n), std(b, n))
+    ratio = _map("corr", lambda c, u, v: S.nan_to_null(F.try_divide(c, u * v)), cov(a, b, n), std(p, n), std(q, n))
+    return _map("corr_mask", lambda r, s, t: F.when(flat(s) & flat(t), r), ratio, std(a, n), std(b, n))
 
 
 def full_window(e: Expr, x, n: int) -> Expr:
