@@ -9,10 +9,20 @@ from pyspark.sql import functions as F
 
 from strataline.plans.sizing import settle
 
-__all__ = ["WORD", "SPACE", "settle", "words", "n_bytes", "order_key", "row_digest", "running_totals"]
+__all__ = ["WORD", "free_names", "settle", "words", "n_bytes", "order_key", "row_digest", "running_totals"]
 
 WORD = r"[^\x20\x09-\x0D]+"   # a word: anything but ASCII white space
-SPACE = r"[\x20\x09-\x0D]+"
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted column names, changed where ``df`` has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
 
 
 def words(text: str) -> Column:

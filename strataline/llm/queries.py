@@ -58,3 +58,89 @@ def op6_hilbert_shards(spark, sf):
     from strataline.llm import sharding
 
     return sharding.shard_documents(documents(spark, sf))
+
+
+QUALITY_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
+t AS (SELECT r, doc_id, source, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
+        list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l,
+        string_split(regexp_replace(regexp_replace(lower(text), '[\x20\x09\x0B-\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g'), chr(10)) AS n FROM d),
+g AS (SELECT r, i, w[i] || chr(10) || w[i + 1] || chr(10) || w[i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM t)),
+gw AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS k FROM g),
+cov AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM gw WHERE k > 1) GROUP BY r),
+ln AS (SELECT r, source, text, x, len(string_split(x, ' ')) AS words FROM (SELECT r, source, text, trim(unnest(n)) AS x FROM t) WHERE x <> ''),
+hosts AS (SELECT source, count(DISTINCT text) AS docs FROM d GROUP BY source),
+freq AS (SELECT f.source, x FROM (SELECT source, x, count(DISTINCT text) AS k FROM ln GROUP BY source, x) f
+         JOIN hosts h ON f.source IS NOT DISTINCT FROM h.source WHERE k > 20 AND k > 0.03::DOUBLE * docs),
+lost AS (SELECT r, sum(words) AS lost FROM ln JOIN freq ON ln.source IS NOT DISTINCT FROM freq.source AND ln.x = freq.x GROUP BY r),
+b AS (SELECT t.r, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(array_to_string(w, '')) AS BIGINT) AS word_chars,
+        CAST(len(text) - len(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+        CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+        coalesce(lost, 0) AS lost FROM t LEFT JOIN cov ON t.r = cov.r LEFT JOIN lost ON t.r = lost.r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+    NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT (2 * lost > n_words) AS kept FROM b
+"""
+
+
+@query("op7_line_frequency", QUALITY_SQL)
+def op7_line_frequency(spark, sf):
+    from strataline.llm import quality
+    from strataline.llm.common import settle
+
+    features = settle(quality.text_features(documents(spark, sf), ["doc_id"]))
+    return quality.verdicts(features).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op8_token_lengths")
+def op8_token_lengths(spark, sf):
+    from strataline.llm import lengths
+
+    return lengths.suffix_sums(lengths.histogram(documents(spark, sf)))
+
+
+def _canonical_sql(text: str) -> str:
+    from strataline.llm.licences import SPELLINGS
+
+    c = f"regexp_replace(regexp_replace(lower({text}), '(?m)^[ \\t]*(copyright|\\(c\\)|©)[^\\n]*$', '', 'g'), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
+    for other, one in SPELLINGS:
+        c = f"replace({c}, '{other}', '{one}')"
+    return c
+
+
+def _licence_sql() -> str:
+    from strataline.llm.licences import KNOWN
+
+    known = ", ".join("('" + name + "', '" + text.replace("'", "''") + "')" for name, text in KNOWN)
+
+    def whole(c):
+        return f"nullif(trim(regexp_replace({c}, '[ \\n]+', ' ', 'g')), '')"
+    return f"""
+    WITH k AS (SELECT md5({whole(_canonical_sql('text'))}) AS digest, min(name) AS licence FROM (VALUES {known}) v(name, text) GROUP BY 1),
+    d AS (SELECT row_number() OVER () AS r, doc_id, {_canonical_sql('text')} AS c FROM documents),
+    w AS (SELECT r, doc_id, c, md5({whole('c')}) AS digest FROM d),
+    n AS (SELECT r, count(*) AS n_notices, array_to_string(list_sort(list(DISTINCT licence)), ',') AS notices
+          FROM (SELECT r, md5(trim(unnest(string_split(c, chr(10))))) AS digest FROM d) x JOIN k USING (digest) GROUP BY r)
+    SELECT doc_id, w.digest, licence, CAST(coalesce(n_notices, 0) AS BIGINT) AS n_notices, coalesce(notices, '') AS notices
+    FROM w LEFT JOIN k ON w.digest = k.digest LEFT JOIN n ON w.r = n.r"""
+
+
+@query("op9_licence_digests", _licence_sql())
+def op9_licence_digests(spark, sf):
+    from strataline.llm import licences
+
+    return licences.scan(documents(spark, sf), licences.known_table(spark))
+
+
+@query("op3_suffix_dedup")
+def op3_suffix_dedup(spark, sf):
+    from strataline.llm import substrings
+
+    return substrings.report(documents(spark, sf))
+
+
+@query("op4_minhash_groups")
+def op4_minhash_groups(spark, sf):
+    from strataline.llm import minhash
+
+    return minhash.groups(documents(spark, sf)).select(
+        "doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
