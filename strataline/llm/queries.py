@@ -63,7 +63,7 @@ def op6_hilbert_shards(spark, sf):
 QUALITY_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
 t AS (SELECT r, doc_id, source, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
-        list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l,
+        list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l,
         string_split(regexp_replace(regexp_replace(lower(text), '[\x20\x09\x0B-\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g'), chr(10)) AS n FROM d),
 g AS (SELECT r, i, w[i] || chr(10) || w[i + 1] || chr(10) || w[i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM t)),
 gw AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS k FROM g),
@@ -144,3 +144,10 @@ def op4_minhash_groups(spark, sf):
 
     return minhash.groups(documents(spark, sf)).select(
         "doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+@query("op5_toxic_segments")
+def op5_toxic_segments(spark, sf):
+    from strataline.llm import toxicity
+
+    return toxicity.score_documents(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))

@@ -101,50 +101,61 @@ def text_runs(x: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
             yield tuple(np.concatenate(c) for c in zip(*parts))
 
 
-def sketch(docs: DataFrame) -> DataFrame:
-    """Per distinct text of LENGTH bytes or more: digest, copies, z (the text, packed), keys, prints (of the bytes of each
-    run), starts and ends of its runs."""
+def run_keys(docs: DataFrame, prints: bool) -> DataFrame:
+    """digest, key (and print, a hash of the run's bytes) of every run of every document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+        for batch in batches:
+            x, offsets = raw(batch.column(1))
+            keys, n, marks = [_EMPTY], [], [_EMPTY]
+            for i, (k, s, e) in enumerate(text_runs(x, offsets)):
+                keys.append(k.view(np.int64))
+                n.append(len(k))
+                if prints:
+                    marks.append(run_prints(x[offsets[i]:offsets[i + 1]], s, e))
+            digest = batch.column(0).take(pa.array(np.repeat(np.arange(len(n)), n)))
+            cols = [digest, pa.array(np.concatenate(keys))] + ([pa.array(np.concatenate(marks))] if prints else [])
+            yield pa.RecordBatch.from_arrays(cols, ["digest", "key", "print"][:len(cols)])
+
+    rows = docs.where(F.octet_length("text") >= LENGTH).select(text_digest().alias("digest"), F.col("text").cast("string"))
+    return rows.mapInArrow(run, "digest binary, key long" + (", print long" if prints else ""))
+
+
+def run_prints(x: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each run of one text."""
+    import xxhash
+
+    buf = memoryview(np.ascontiguousarray(x))
+    return np.array([xxhash.xxh3_64_intdigest(buf[p:q]) for p, q in zip(s.tolist(), (e + LENGTH - 1).tolist())], np.uint64).view(np.int64)
 
+
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """digest, copies and z (the packed text) of every distinct text of LENGTH bytes or more; copies meet map-side first."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, offsets = raw(batch.column(1))
             buf = memoryview(x)
-            digests, z, n, key, s, e, prints = [], [], [], [], [], [], []
-            for i, (k, a, b) in enumerate(text_runs(x, offsets)):
-                if len(k):
-                    lo = int(offsets[i])
-                    digests.append(batch.column(0)[i].as_py())
-                    z.append(zlib.compress(buf[lo:int(offsets[i + 1])], 1))
-                    n.append(len(k))
-                    key.append(k)
-                    s.append(a)
-                    e.append(b)
-                    prints += [xxhash.xxh3_64_intdigest(buf[p:q]) for p, q in zip((a + lo).tolist(), (b + (lo + LENGTH - 1)).tolist())]
-            at = pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
-
-            def lists(parts, kind):
-                return pa.ListArray.from_arrays(at, pa.array(np.concatenate(parts or [_EMPTY]).astype(kind)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(digests, pa.binary()), pa.array(z, pa.binary()), lists([k.view(np.int64) for k in key], np.int64),
-                 lists([np.array(prints, np.uint64).view(np.int64)], np.int64), lists(s, np.int32), lists(e, np.int32)],
-                ["digest", "z", "keys", "prints", "starts", "ends"])
-
-    rows = docs.select(text_digest().alias("digest"), F.col("text").cast("string")).where(F.octet_length("text") >= LENGTH)
-    found = rows.mapInArrow(run, "digest binary, z binary, keys array<long>, prints array<long>, starts array<int>, ends array<int>")
-    rest = [c for c in found.columns if c != "digest"]
-    return found.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.first(F.struct(*rest)).alias("t")).select("digest", "copies", "t.*")
+            z = [zlib.compress(buf[a:b], 4) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z, pa.binary())], ["digest", "z"])
+
+    rows = docs.where(F.octet_length("text") >= LENGTH).select(text_digest().alias("digest"), F.col("text").cast("string"))
+    return rows.mapInArrow(pack, "digest binary, z binary").groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.first("z").alias("z"))
+
+
+def unpacked(z) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A packed text's bytes, and key, first window, end window and print of its runs."""
+    x = np.frombuffer(zlib.decompress(z.as_buffer()), np.uint8)
+    key, s, e = next(text_runs(x, np.array([0, len(x)])))
+    return x, key.view(np.int64), s, e, run_prints(x, s, e)
 
 
 def text_digest() -> Column:
     return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
 
 
-def repeated_keys(texts: DataFrame) -> DataFrame:
-    """digest, marks: the repeated keys of each text, with their number of runs and whether these are all the same bytes."""
-    runs = texts.select("digest", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("prints").alias("print"))))
-    keys = runs.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("print").alias("lo"), F.max("print").alias("hi")).where("n > 1")
-    hits = runs.select("digest", "key").join(keys.select("key", F.when(F.col("lo") == F.col("hi"), 0).otherwise(F.col("n")).alias("mixed")), "key")
+def repeated_keys(docs: DataFrame) -> DataFrame:
+    """digest, marks: the repeated keys of each text, with their number of runs, or 0 if these are all the same bytes."""
+    keys = run_keys(docs, True).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("print").alias("lo"), F.max("print").alias("hi")).where("n > 1")
+    hits = run_keys(docs, False).join(keys.select("key", F.when(F.col("lo") == F.col("hi"), 0).otherwise(F.col("n")).alias("mixed")), "key")
     return hits.groupBy("digest").agg(F.collect_set(F.struct("key", "mixed")).alias("marks"))
 
 
@@ -167,10 +178,6 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
         yield {name: c[i] for name, c in cols.items()}
 
 
-def _ints(v) -> np.ndarray:
-    return v.values.to_numpy(zero_copy_only=False)
-
-
 def _marks(v) -> dict[int, int]:
     s = v.values
     return dict(zip(s.field("key").to_pylist(), s.field("mixed").to_pylist()))
@@ -183,11 +190,9 @@ def pieces(texts: DataFrame, marks: DataFrame, key_runs: int = KEY_RUNS) -> Data
             out = [[] for _ in range(6)]
             for r in _rows(batch):
                 found = _marks(r["marks"])
-                keys, s, e = _ints(r["keys"]), _ints(r["starts"]), _ints(r["ends"])
-                _, inner = marked(keys, _ints(r["prints"]), found)
-                if not inner.any():
-                    continue
-                digest, text = r["digest"].as_py(), zlib.decompress(r["z"].as_buffer())
+                x, keys, s, e, prints = unpacked(r["z"])
+                _, inner = marked(keys, prints, found)
+                digest, text = r["digest"].as_py(), x.tobytes()
                 spread = int.from_bytes(digest[:4], "little")
                 for i in np.flatnonzero(inner).tolist():
                     salts = (found[keys[i]] - 1) // key_runs + 1
@@ -195,9 +200,8 @@ def pieces(texts: DataFrame, marks: DataFrame, key_runs: int = KEY_RUNS) -> Data
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _PIECE)], _PIECE_NAMES)
 
-    todo = texts.select("digest", "z", "keys", "prints", "starts", "ends").join(
-        marks.where(F.exists("marks", lambda m: m["mixed"] > 0)), "digest")
-    return todo.select("z", "digest", "keys", "prints", "starts", "ends", "marks").mapInArrow(
+    todo = texts.join(marks.where(F.exists("marks", lambda m: m["mixed"] > 0)), "digest")
+    return todo.select("digest", "z", "marks").mapInArrow(
         run, "key long, salt int, salts int, digest binary, start int, bytes binary")
 
 
@@ -412,18 +416,18 @@ def kept_texts(texts: DataFrame, marks: DataFrame, spans: DataFrame, with_text:
         for batch in batches:
             out = [[], [], [], [], []]
             for r in _rows(batch):
-                x = np.frombuffer(zlib.decompress(r["z"].as_buffer()), np.uint8)
+                x, keys, s, e, prints = unpacked(r["z"])
                 gone = np.zeros(len(x) + 1, np.int64)
                 if r["copies"].as_py() > 1:
                     gone[[0, len(x)]] = 1, -1
                 if r["marks"].is_valid:
-                    whole, _ = marked(_ints(r["keys"]), _ints(r["prints"]), _marks(r["marks"]))
-                    np.add.at(gone, _ints(r["starts"])[whole], 1)
-                    np.add.at(gone, _ints(r["ends"])[whole] + LENGTH - 1, -1)
+                    whole, _ = marked(keys, prints, _marks(r["marks"]))
+                    np.add.at(gone, s[whole], 1)
+                    np.add.at(gone, e[whole] + LENGTH - 1, -1)
                 if r["spans"].is_valid:
-                    s = r["spans"].values
-                    np.add.at(gone, s.field("start").to_numpy(), 1)
-                    np.add.at(gone, s.field("stop").to_numpy() + LENGTH - 1, -1)
+                    found = r["spans"].values
+                    np.add.at(gone, found.field("start").to_numpy(), 1)
+                    np.add.at(gone, found.field("stop").to_numpy() + LENGTH - 1, -1)
                 gone = np.cumsum(gone[:-1]) > 0
                 if gone.any():
                     kept = x[~gone].tobytes()
@@ -440,8 +444,8 @@ def kept_texts(texts: DataFrame, marks: DataFrame, spans: DataFrame, with_text:
 
 def changed_texts(docs: DataFrame, with_text: bool = False, key_runs: int = KEY_RUNS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """:func:`kept_texts` of a table of documents."""
-    texts = settle(sketch(docs))
-    marks = settle(repeated_keys(texts))
+    texts = distinct_texts(docs)   # packed and dealt anew for either use: less to keep than a table of all texts
+    marks = settle(repeated_keys(docs))
     shards = settle(search_shards(pieces(texts, marks, key_runs), shard_bytes))
     spans = shards.where("digest is not null").select("digest", "start", "stop").union(merge_shards(shards.where("digest is null")))
     return kept_texts(texts, marks, spans, with_text)

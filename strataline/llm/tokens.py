@@ -11,6 +11,8 @@ CHUNK = 1 << 20   # bytes of text worked on at once; a longer text is worked on
 
 _space = np.zeros(256, bool)
 _space[[9, 10, 11, 12, 13, 32]] = True
+PUNCTUATION = _space.copy()   # white space and ASCII punctuation
+PUNCTUATION[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
 _byte = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -56,14 +58,15 @@ def chunks(offsets: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
         a = b
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, row, first byte and end of each word of some rows; letters A-Z count as a-z.  offsets start at 0 of data."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = _space) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, row, first byte and end of each word of some rows; letters A-Z count as a-z.  offsets start at 0 of data;
+    gaps says which bytes part words."""
     n = len(data)
     if n == 0:
         e = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), e, e, e
     x = _lower[data]
-    gap = _space[x]
+    gap = gaps[x]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     first = ~gap
