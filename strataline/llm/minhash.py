@@ -5,8 +5,9 @@ shingles are hashed once and dealt into bins by their leading bits; a bin keeps
 borrows from a bin picked by a hash of (bin, attempt), the same for every document (optimal densification).  Bands of
 bins give bucket keys.  Inside a bucket the candidates form a star around one hub, the document of largest total bucket
 size, so a bucket of n documents gives n - 1 pairs; pairs are confirmed on full sets.  Documents of a bucket that are
-still in different components get new hubs from the smallest components, round after round, until every bucket is in
-one component or all its members have been hubs: no pair of a bucket that could join two components is left untested.
+still in different components get new hubs from the smallest components, four times as many each round, until every
+bucket is in one component or all its members have been hubs: no pair of a bucket that could join two components is left
+untested.
 
 Equal sets are one node, so copies cost nothing.  Defined results: documents without words have an empty set and
 are linked with nothing; equal doc_ids are one identity (smallest doc_id of a component); null doc_ids are ignored when
@@ -31,7 +32,7 @@ WORDS = 5
 PERCENT = 75
 BANDS, ROWS = 32, 4    # a pair at the threshold is missed with probability (1 - 0.75**4)**32, 5 in a million
 BINS = BANDS * ROWS
-HUBS = 4               # hubs per bucket and round, after the first
+MORE_HUBS = 4          # times as many hubs per bucket in the next round
 
 _weights = mix(np.arange(1, WORDS + 2, dtype=np.uint64))
 _bounds = (np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1))
@@ -66,14 +67,14 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
         at = np.searchsorted(u, _bounds)
         full[i] = np.diff(at, append=len(u)) > 0
         sig[i, full[i]] = u[at[full[i]]]
-    own, have = sig.copy(), full.copy()
-    attempt = 0
-    while not full.all():
+    row, bin_ = np.nonzero(~full)
+    own, have, attempt = sig.copy(), full, 0
+    while len(row):
         attempt += 1
-        pick = (mix(np.arange(BINS, dtype=np.uint64) + np.uint64(attempt << 20)) % np.uint64(BINS)).astype(np.int64)
-        fill = ~full & have[:, pick]
-        sig[fill] = own[:, pick][fill]
-        full |= fill
+        pick = (mix(np.arange(BINS, dtype=np.uint64) + np.uint64(attempt << 20)) % np.uint64(BINS)).astype(np.int64)[bin_]
+        good = have[row, pick]
+        sig[row[good], bin_[good]] = own[row[good], pick[good]]
+        row, bin_ = row[~good], bin_[~good]
     return sig
 
 
@@ -148,45 +149,47 @@ def components(links: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select("b", "b")).distinct()
 
 
-def links(docs: DataFrame, sketches: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Confirmed links (a, b) between nodes that connect every component."""
+def group_roots(docs: DataFrame, sketches: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """node, root of every node that is linked with another."""
     nodes = sketches.where("n_shingles > 0").groupBy("node").agg(F.first("bands").alias("bands"), F.min("__row").alias("__row"))
     nodes = nodes.select("node", "__row", F.explode("bands").alias("key"))
     shared = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = settle(nodes.join(shared, "key"))
     rank = members.groupBy("node", "__row").agg(F.sum("size").alias("score"))
     sets = settle(full_sets(docs, rank.select("node", "__row")))
-    members = settle(members.select("key", "node").join(rank.select("node", "score"), "node").withColumn("label", F.col("node")))
-    found, tested = [], []
-    while not members.isEmpty():
-        # hubs: from the labels that are rarest in the bucket, the member of largest total bucket size
-        labels = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("score", "node")).alias("top"))
-        order = Window.partitionBy("key").orderBy("n", F.desc("top.score"), "top.node")
-        if found:
-            hubs = labels.withColumn("at", F.row_number().over(order)).where(F.col("at") <= HUBS)
-            hubs = hubs.select("key", F.col("label").alias("hub_label"), F.col("top.node").alias("hub"))
-        else:   # every member has a label of its own: one hub, found by partial maxima
-            hubs = members.groupBy("key").agg(F.max(F.struct("score", "node")).alias("top")).select(
-                "key", F.col("top.node").alias("hub_label"), F.col("top.node").alias("hub"))
+    # every member has a label of its own at first, and one hub is found by partial maxima
+    members = members.select("key", "node").join(rank.select("node", "score"), "node").withColumn("label", F.col("node"))
+    hubs = members.groupBy("key").agg(F.max(F.struct("score", "node")).alias("top")).select(
+        "key", F.col("top.node").alias("hub"), F.col("top.node").alias("hub_label"))
+    stars, tested, n_hubs = None, [], 1
+    while True:
         hubs = settle(hubs)
         pairs = members.join(hubs, "key").where("label != hub_label").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
         if tested:
             pairs = pairs.join(reduce(DataFrame.union, tested), ["a", "b"], "left_anti")
-        pairs = settle(pairs)
-        tested.append(pairs)
-        found.append(settle(confirm(pairs, sets, percent)))
-        roots = components(reduce(DataFrame.union, found))
-        rest = members.join(hubs.select("key", F.col("hub").alias("node")), ["key", "node"], "left_anti").drop("label")
-        rest = rest.join(roots, "node", "left").select("key", "node", "score", F.coalesce("root", "node").alias("label"))
+        tested.append(settle(pairs))
+        new = settle(confirm(tested[-1], sets, percent))
+        if stars is None or not new.isEmpty():
+            stars = components(new if stars is None else new.union(stars.toDF("a", "b")))
+        # on with the buckets whose other members are in more than one component
+        rest = members.drop("label").join(hubs.select("key", F.col("hub").alias("node")), ["key", "node"], "left_anti")
+        rest = rest.join(stars, "node", "left").select("key", "node", "score", F.coalesce("root", "node").alias("label"))
         mixed = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
         members = settle(rest.join(mixed, "key", "left_semi"))
-    return reduce(DataFrame.union, found) if found else sketches.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")
+        if members.isEmpty():
+            return stars
+        # hubs: from the labels that are rarest in the bucket, the members of largest total bucket size
+        n_hubs *= MORE_HUBS
+        labels = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("score", "node")).alias("top"))
+        order = Window.partitionBy("key").orderBy("n", F.desc("top.score"), "top.node")
+        hubs = labels.withColumn("at", F.row_number().over(order)).where(F.col("at") <= n_hubs).select(
+            "key", F.col("top.node").alias("hub"), F.col("label").alias("hub_label"))
 
 
 def groups(docs: DataFrame, percent: int = PERCENT, sketches: DataFrame | None = None) -> DataFrame:
     """One row per document: doc_id, __row, n_shingles, node, root (its group's node) and component_id (the smallest doc_id of the group)."""
     sketches = sketches if sketches is not None else settle(sketch(docs))
-    roots = components(links(docs, sketches, percent))
+    roots = group_roots(docs, sketches, percent)
     nodes = sketches.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("low")).join(roots, "node", "left")
     nodes = nodes.select("node", F.coalesce("root", "node").alias("root"), "low")
     least = nodes.groupBy("root").agg(F.min("low").alias("component_id"))
