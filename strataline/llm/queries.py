@@ -151,3 +151,10 @@ def op5_toxic_segments(spark, sf):
     from strataline.llm import toxicity
 
     return toxicity.score_documents(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
+
+
+@query("op10_sentence_pieces")
+def op10_sentence_pieces(spark, sf):
+    from strataline.llm import pieces
+
+    return pieces.report(documents(spark, sf))
