@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strataline.plans.sizing import settle
 
-__all__ = ["WORD", "free_names", "settle", "words", "n_bytes", "order_key", "row_digest", "running_totals"]
+__all__ = ["WORD", "free_names", "packed", "settle", "words", "n_bytes", "order_key", "row_digest", "running_totals"]
 
 WORD = r"[^\x20\x09-\x0D]+"   # a word: anything but ASCII white space
 
@@ -25,6 +25,11 @@ def free_names(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+def packed(docs: DataFrame, *also: str) -> DataFrame:
+    """Each row whole in one column __doc, and some of its columns: nothing that is added can clash with its names."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), *also)
+
+
 def words(text: str) -> Column:
     """The words of a text column; none for null."""
     return F.coalesce(F.regexp_extract_all(F.col(text), F.lit(WORD), 0), F.array().cast("array<string>"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataline.llm.common import row_digest, settle
+from strataline.llm.common import packed, row_digest, settle
 from strataline.llm.tokens import chunks, mix, raw, word_hashes
 
 WORDS = 5
@@ -153,7 +153,7 @@ def group_roots(docs: DataFrame, sketches: DataFrame, percent: int = PERCENT) ->
     """node, root of every node that is linked with another."""
     nodes = sketches.where("n_shingles > 0").groupBy("node").agg(F.first("bands").alias("bands"), F.min("__row").alias("__row"))
     nodes = nodes.select("node", "__row", F.explode("bands").alias("key"))
-    shared = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = settle(nodes.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))   # a join can then split a large key
     members = settle(nodes.join(shared, "key"))
     rank = members.groupBy("node", "__row").agg(F.sum("size").alias("score"))
     sets = settle(full_sets(docs, rank.select("node", "__row")))
@@ -204,6 +204,6 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     first = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "__row")).alias("w"))
     wanted = first.select(F.col("w.__row").alias("__row"), F.lit(True).alias("__one")).union(
         found.where("n_shingles = 0").select("__row", F.lit(False)).distinct())
-    rows = docs.withColumn("__row", F.unhex(row_digest("doc_id", "text"))).join(wanted, "__row")
+    rows = packed(docs, F.unhex(row_digest("doc_id", "text")).alias("__row")).join(wanted, "__row")
     once = rows.where("__one").dropDuplicates(["__row"])
-    return once.union(rows.where("not __one")).select(*docs.columns)
+    return once.union(rows.where("not __one")).select("__doc.*")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataline.llm.common import WORD, order_key, row_digest, running_totals
+from strataline.llm.common import WORD, order_key, packed, row_digest, running_totals
 
 WEIGHTS = (5, 2, 1)   # dealt to the sources in code point order, repeating
 SHARE = 1.5           # words of the mix per word of the input
@@ -71,10 +71,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
 
     Only whole documents are given out here: the one in service at the cut counts if at least half of it was sent.
     """
-    taken = schedule(queue_rows(docs, docs.columns, seed), weights, share, most)
-    taken = taken.withColumn("__pass", F.explode(F.arrays_zip("sent", "finish")))
+    rows = queue_rows(packed(docs, "source", "doc_id", "text"), ["__doc"], seed)
+    taken = schedule(rows, weights, share, most).withColumn("__pass", F.explode(F.arrays_zip("sent", "finish")))
     taken = taken.where((F.col("__pass.sent") > 0) & (F.col("__pass.sent") * 2 >= F.col("__size")))
-    taken = taken.select(*docs.columns, F.col("__pass.finish").alias("__finish"), "__order")
+    taken = taken.select("__doc", F.col("__pass.finish").alias("__finish"), "__order")
     by = [F.col("__finish"), F.col("__order")]
     ranged = taken.repartitionByRange(partitions, *by) if partitions else taken.repartitionByRange(*by)
-    return ranged.sortWithinPartitions(*by).select(*docs.columns)
+    return ranged.sortWithinPartitions(*by).select("__doc.*")

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataline.llm.common import WORD, row_digest, settle, words
+from strataline.llm.common import WORD, packed, row_digest, settle, words
 
 SHARE = 0.03      # a line above this share of a host's distinct documents is boilerplate ...
 LEAST = 20        # ... if it stands in more than this many of them
@@ -77,7 +77,8 @@ def frequent_lines(features: DataFrame, share: float = SHARE, least: int = LEAST
     hosts = distinct.groupBy("__host").agg(F.count(F.lit(1)).alias("__docs"))
     counts = (distinct.select("__host", F.explode(F.array_distinct("__keys")).alias("key")).groupBy("key")
               .agg(F.count(F.lit(1)).alias("__n"), F.max("__host").alias("__host")).where(F.col("__n") > least))
-    return counts.join(hosts, "__host").where(F.col("__n") > F.lit(share) * F.col("__docs")).select("key")
+    # settled, so that a line that most documents share can be split in the join
+    return settle(counts.join(hosts, "__host").where(F.col("__n") > F.lit(share) * F.col("__docs")).select("key"))
 
 
 def lost_lines(features: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
@@ -100,11 +101,12 @@ def keep_documents(docs: DataFrame, share: float = SHARE, least: int = LEAST) ->
     """The documents that pass, without their frequent lines, in the columns of ``docs``; n_chars, if any, is recounted."""
     features = settle(text_features(docs, []))
     passed = verdicts(features, share, least).where("kept").select("__host", "__digest", "__frequent").dropDuplicates(["__host", "__digest"])
-    rows = docs.withColumns({"__host": F.xxhash64("source"), "__digest": row_digest("text")}).join(passed, ["__host", "__digest"])
-    rows = rows.withColumn("__n", F.when(F.col("__frequent").isNotNull(), normal_lines(F.col("text"))))
-    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(
+    rows = packed(docs, F.xxhash64("source").alias("__host"), row_digest("text").alias("__digest"), F.col("text").alias("__text"))
+    rows = rows.join(passed, ["__host", "__digest"]).withColumn("__n", F.when(F.col("__frequent").isNotNull(), normal_lines(F.col("__text"))))
+    left = F.array_join(F.filter(F.split("__text", "\n", -1), lambda x, i: ~F.array_contains(
         "__frequent", F.xxhash64("__host", F.trim(F.get("__n", i))))), "\n")
-    rows = rows.withColumn("text", F.when(F.col("__frequent").isNotNull(), left).otherwise(F.col("text")))
+    out = F.col("__doc").withField("text", F.when(F.col("__frequent").isNotNull(), left).otherwise(F.col("__text")))
+    rows = rows.select(out.alias("__doc"))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+        rows = rows.select(F.col("__doc").withField("n_chars", F.char_length("__doc.text").cast(docs.schema["n_chars"].dataType)).alias("__doc"))
+    return rows.select("__doc.*")

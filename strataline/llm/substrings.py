@@ -155,7 +155,9 @@ def text_digest() -> Column:
 def repeated_keys(docs: DataFrame) -> DataFrame:
     """digest, marks: the repeated keys of each text, with their number of runs, or 0 if these are all the same bytes."""
     keys = run_keys(docs, True).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("print").alias("lo"), F.max("print").alias("hi")).where("n > 1")
-    hits = run_keys(docs, False).join(keys.select("key", F.when(F.col("lo") == F.col("hi"), 0).otherwise(F.col("n")).alias("mixed")), "key")
+    # settled, so that the join can split a key that many documents share
+    keys = settle(keys.select("key", F.when(F.col("lo") == F.col("hi"), 0).otherwise(F.col("n")).alias("mixed")))
+    hits = run_keys(docs, False).join(keys, "key")
     return hits.groupBy("digest").agg(F.collect_set(F.struct("key", "mixed")).alias("marks"))
 
 

@@ -58,13 +58,14 @@ def chunks(offsets: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
         a = b
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = _space) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = _space, beginnings: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
     """Hash, row, first byte and end of each word of some rows; letters A-Z count as a-z.  offsets start at 0 of data;
-    gaps says which bytes part words."""
+    gaps says which bytes part words.  Then the hashes of the words' first bytes for each length in beginnings (that of
+    the word where it is no longer)."""
     n = len(data)
     if n == 0:
         e = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), e, e, e
+        return (np.zeros(0, np.uint64), e, e, e) + (np.zeros(0, np.uint64),) * len(beginnings)
     x = _lower[data]
     gap = gaps[x]
     edge = np.zeros(n + 1, bool)
@@ -77,5 +78,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = _space
     up, down = powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_byte[x] * up[:n], out=total[1:])
-    h = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
-    return h, np.searchsorted(offsets, start, "right") - 1, start, end
+
+    def hashed(stop):
+        return mix((total[stop] - total[start]) * down[start] + (stop - start).astype(np.uint64))
+    return (hashed(end), np.searchsorted(offsets, start, "right") - 1, start, end, *[hashed(np.minimum(end, start + k)) for k in beginnings])

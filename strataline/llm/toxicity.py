@@ -1,8 +1,9 @@
 """Toxicity by maximum-scoring segments.
 
 Every token has a score, its log-odds between toxic and clean documents under a Dirichlet prior in proportion to the
-token's overall frequency; scores that are not significant count as nothing, and a small drift is taken off, so that a
-clean text scores downhill.  A linear scan (Ruzzo and Tompa) finds all maximal-scoring segments of a text.  By
+token's overall frequency.  A word that is not significant by itself takes the log-odds of its longest significant
+beginning (compounds and inflected forms are too rare to learn one by one); what is not significant at all counts as
+nothing, and a small drift is taken off, so that a clean text scores downhill.  A linear scan (Ruzzo and Tompa) finds all maximal-scoring segments of a text.  By
 extreme-value theory the best segment of a clean text of n tokens has lambda * score - ln(K n) distributed by Gumbel's
 law; lambda comes from the clean token distribution, K from clean documents.  A segment's normalised score is its
 significance; a document's are the best one and the sum over its significant segments, from which a logistic curve,
@@ -30,7 +31,9 @@ from strataline.llm.common import settle
 from strataline.llm.tokens import PUNCTUATION, chunks, raw, word_hashes
 
 SAMPLE = 20_000    # labelled rows that the fit uses at most
-TABLE = 1 << 18    # cells of the token table
+TABLE = 1 << 20    # cells of the token table
+LEAST_SEEN = 5     # words behind a score at least
+BEGINNINGS = (6, 5, 4)   # bytes of the word beginnings that back a word up, longest first
 PRIOR = 1000.0     # tokens that the prior is worth
 LEAST_Z = 2.5      # standard errors from which a token's log-odds count
 DRIFT = 0.05
@@ -56,16 +59,24 @@ def fold(doc_id: Column) -> Column:
 
 
 def token_rows(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Cell, first byte and end of the tokens of each text."""
+    """Cells (of the word and its beginnings), first byte and end of the tokens of each text."""
     x, offsets = raw(texts)
     for a, b in chunks(offsets):
-        h, row, start, end = word_hashes(x[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], PUNCTUATION)
+        h, row, start, end, *begun = word_hashes(x[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], PUNCTUATION, BEGINNINGS)
         cut = np.searchsorted(row, np.arange(b - a + 1))
-        cell = (h % np.uint64(TABLE)).astype(np.int64)
+        cell = np.stack([(g % np.uint64(TABLE)).astype(np.int64) for g in (h, *begun)])
         for i in range(b - a):
             s = slice(cut[i], cut[i + 1])
             base = offsets[a + i] - offsets[a]
-            yield cell[s], start[s] - base, end[s] - base
+            yield cell[:, s], start[s] - base, end[s] - base
+
+
+def word_scores(table: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    """The scores of words: their own, or else that of the longest beginning that has one."""
+    score = table[cell[0]]
+    for c in cell[1:]:
+        score = np.where(score == 0, table[c], score)
+    return score - DRIFT
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -94,8 +105,8 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 def measure(model_table: np.ndarray, texts: pa.Array) -> Iterator[tuple[int, list[tuple[int, int, float]]]]:
     """Number of tokens and maximal segments (first byte, end, score) of each text."""
     for cell, start, end in token_rows(texts):
-        found = segments(model_table[cell])
-        yield len(cell), [(int(start[a]), int(end[b - 1]), s) for a, b, s in found]
+        found = segments(word_scores(model_table, cell))
+        yield cell.shape[1], [(int(start[a]), int(end[b - 1]), s) for a, b, s in found]
 
 
 def summary(model: Model, n: int, found: list[tuple[int, int, float]]) -> tuple[float, float]:
@@ -118,39 +129,60 @@ def sample_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Dat
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
 
 
-def token_scores(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The token table of labelled rows, and the clean token distribution over its cells."""
+def token_scores(rows: DataFrame) -> np.ndarray:
+    """The table of significant log-odds, from labelled rows."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = np.zeros((2, TABLE), np.int64)
+        both = np.zeros((2, TABLE), np.int32)
+        n = np.zeros(2, np.int64)
         for batch in batches:
             for toxic, (cell, _, _) in zip(batch.column(1).to_pylist(), token_rows(batch.column(0))):
-                np.add.at(both[int(toxic > 0)], cell, 1)
+                n[int(toxic > 0)] += cell.shape[1]
+                np.add.at(both[int(toxic > 0)], np.concatenate([cell[0], *(c[c != p] for p, c in zip(cell, cell[1:]))]), 1)
         at = np.flatnonzero(both.sum(0))
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(both[0, at]), pa.array(both[1, at])], ["cell", "clean", "toxic"])
-
-    got = rows.select("text", "toxic").mapInArrow(count, "cell long, clean long, toxic long").groupBy("cell").agg(F.sum("clean"), F.sum("toxic"))
-    clean, toxic = np.zeros(TABLE), np.zeros(TABLE)
-    for cell, c, t in got.collect():   # TABLE rows at most
-        clean[cell], toxic[cell] = c, t
-    both = clean + toxic
-    prior = PRIOR * both / max(both.sum(), 1)
-    seen = both > 0
-    t, c = toxic + prior, clean + prior
-    with np.errstate(divide="ignore", invalid="ignore"):
-        odds = np.log(t / (t.sum() - t)) - np.log(c / (c.sum() - c))
-        z = odds / np.sqrt(1 / t + 1 / c)
-    table = np.where(seen & (np.abs(z) >= LEAST_Z), odds, 0.0) - DRIFT
-    return np.nan_to_num(table, posinf=0.0, neginf=0.0), clean / max(clean.sum(), 1)
-
-
-def solve_rate(table: np.ndarray, share: np.ndarray) -> float:
-    """The positive root of sum(share * exp(rate * score)) = 1."""
-    lo, hi = 1e-6, 1.0
-    while (share * np.exp(np.minimum(hi * table, 500))).sum() < 1 and hi < 64:
+        cols = [np.append(at, -1), np.append(both[0, at], n[0]), np.append(both[1, at], n[1])]   # cell -1: all words
+        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], ["cell", "clean", "toxic"])
+
+    got = rows.select("text", "toxic").mapInArrow(count, "cell long, clean long, toxic long").groupBy("cell").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    got = got.where((F.col("clean") + F.col("toxic") >= LEAST_SEEN) | (F.col("cell") < 0)).toArrow()   # TABLE rows at most
+    cell, c, t = (got.column(i).to_numpy().astype(np.float64) for i in range(3))
+    if not (cell < 0).any():
+        return np.zeros(TABLE, np.float32)
+    n_clean, n_toxic = c[cell < 0][0], t[cell < 0][0]
+    cell, c, t = (v[cell >= 0] for v in (cell, c, t))
+    prior = PRIOR * (c + t) / max(n_clean + n_toxic, 1)
+    t, c = t + prior, c + prior
+    odds = np.log(t / np.maximum(n_toxic + PRIOR - t, 1e-9)) - np.log(c / np.maximum(n_clean + PRIOR - c, 1e-9))
+    table = np.zeros(TABLE, np.float32)
+    table[cell.astype(np.int64)] = np.where(np.abs(odds / np.sqrt(1 / t + 1 / c)) >= LEAST_Z, odds, 0.0)
+    return table
+
+
+def clean_scores(rows: DataFrame, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The word scores of clean rows, in steps of 0.01, and their shares."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [word_scores(table, cell) for cell, _, _ in token_rows(batch.column(0))]
+            step, n = np.unique(np.round(np.concatenate(found or [np.zeros(0)]) * 100).astype(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(step), pa.array(n.astype(np.int64))], ["step", "n"])
+
+    got = rows.where("toxic = 0").select("text").mapInArrow(count, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).toArrow()
+    step, n = got.column(0).to_numpy() / 100, got.column(1).to_numpy().astype(float)
+    return step, n / max(n.sum(), 1)
+
+
+def solve_rate(score: np.ndarray, share: np.ndarray) -> float:
+    """The positive root of sum(share * exp(rate * score)) = 1; 1 where no score is positive."""
+    if not (score > 0).any():
+        return 1.0
+
+    def above(rate):
+        return (share * np.exp(np.minimum(rate * score, 500))).sum() >= 1
+    lo, hi = 0.0, 1.0
+    while not above(hi):
         hi *= 2
-    for _ in range(80):
+    for _ in range(60):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if (share * np.exp(np.minimum(mid * table, 500))).sum() < 1 else (lo, mid)
+        lo, hi = (lo, mid) if above(mid) else (mid, hi)
     return hi
 
 
@@ -176,8 +208,8 @@ def squeeze(best, rest):
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = settle(sample_rows(docs, labels, sample))
     learn, tune = rows.where("not tune"), rows.where("tune")
-    table, share = token_scores(learn)
-    model = Model(table, solve_rate(table, share) if (table > 0).any() else 1.0, 0.0, (0.0, 0.0, 0.0))
+    table = token_scores(learn)
+    model = Model(table, solve_rate(*clean_scores(tune, table)), 0.0, (0.0, 0.0, 0.0))
     # a sampled id may stand on several rows: one value per id keeps what is collected below the sample's size
     got = features(tune.select("doc_id", "text", "toxic"), model, ["doc_id", "toxic"]).groupBy("doc_id").agg(
         F.max("toxic"), F.max("best"), F.max("rest"), F.max("n")).collect()
