@@ -6,8 +6,9 @@ borrows from a bin picked by a hash of (bin, attempt), the same for every docume
 bins give bucket keys.  Inside a bucket the candidates form a star around one hub, the document of largest total bucket
 size, so a bucket of n documents gives n - 1 pairs; pairs are confirmed on full sets.  Documents of a bucket that are
 still in different components get new hubs from the smallest components, four times as many each round, until every
-bucket is in one component or all its members have been hubs: no pair of a bucket that could join two components is left
-untested.
+bucket is in one component.  A document leaves a bucket when it has been a hub, or when so many of its shingles are in no
+other open document that none there can reach the threshold with it: no pair of a bucket that could join two components
+is left untested.
 
 Equal sets are one node, so copies cost nothing.  Defined results: documents without words have an empty set and
 are linked with nothing; equal doc_ids are one identity (smallest doc_id of a component); null doc_ids are ignored when
@@ -54,7 +55,7 @@ def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
                 u = np.sort(g[s:e - WORDS + 1])
                 yield u[np.concatenate(([True], u[1:] != u[:-1]))]
             elif e > s:   # the whole sequence as one shingle
-                yield mix((h[s:e] * _weights[:e - s]).sum(dtype=np.uint64, keepdims=True) + _weights[WORDS] * np.uint64(e - s))
+                yield mix((h[s:e] * _weights[:e - s]).sum(dtype=np.uint64, keepdims=True) + _weights[WORDS:] * np.array([e - s], np.uint64))
             else:
                 yield np.zeros(0, np.uint64)
 
@@ -149,6 +150,26 @@ def components(links: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select("b", "b")).distinct()
 
 
+def shared_sizes(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Per node of the members: n, the size of its set, and shared, how many of its shingles another member has too."""
+    own = sets.join(members.select("node").distinct(), "node", "left_semi")
+    lone = own.select("node", F.explode("set").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("node")).where("k = 1")
+    lone = lone.groupBy("node").agg(F.count(F.lit(1)).alias("lone"))
+    return own.select("node", F.size("set").cast("long").alias("n")).join(lone, "node", "left").select(
+        "node", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("shared"))
+
+
+def still_open(members: DataFrame, percent: int) -> DataFrame:
+    """The members that may still join two components: a set that shares too little with any other of its bucket cannot
+    be linked there, and a bucket of one component has nothing left to join.
+
+    Two sets have at most min(shared) shingles in common, and none is smaller than the smallest of the bucket.
+    """
+    least = members.groupBy("key").agg(F.min("n").alias("least"))
+    members = members.join(least, "key").where(F.expr(f"100 * shared >= {percent} * (n + greatest(least, shared) - shared)")).drop("least")
+    return _mixed(members)
+
+
 def group_roots(docs: DataFrame, sketches: DataFrame, percent: int = PERCENT) -> DataFrame:
     """node, root of every node that is linked with another."""
     nodes = sketches.where("n_shingles > 0").groupBy("node").agg(F.first("bands").alias("bands"), F.min("__row").alias("__row"))
@@ -159,31 +180,47 @@ def group_roots(docs: DataFrame, sketches: DataFrame, percent: int = PERCENT) ->
     sets = settle(full_sets(docs, rank.select("node", "__row")))
     # every member has a label of its own at first, and one hub is found by partial maxima
     members = members.select("key", "node").join(rank.select("node", "score"), "node").withColumn("label", F.col("node"))
-    hubs = members.groupBy("key").agg(F.max(F.struct("score", "node")).alias("top")).select(
-        "key", F.col("top.node").alias("hub"), F.col("top.node").alias("hub_label"))
-    stars, tested, n_hubs = None, [], 1
+    hubs = settle(members.groupBy("key").agg(F.max(F.struct("score", "node")).alias("top")).select("key", F.col("top.node").alias("hub")))
+    pairs = settle(_pairs(members.join(hubs, "key").where("node != hub")))
+    stars, tested, n_hubs = components(confirm(pairs, sets, percent)), [pairs], 1
+    rest = _relabel(members, hubs, stars)
+    members = settle(_mixed(rest))
+    members = members.join(settle(shared_sizes(members, sets)), "node")
     while True:
-        hubs = settle(hubs)
-        pairs = members.join(hubs, "key").where("label != hub_label").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
-        if tested:
-            pairs = pairs.join(reduce(DataFrame.union, tested), ["a", "b"], "left_anti")
-        tested.append(settle(pairs))
-        new = settle(confirm(tested[-1], sets, percent))
-        if stars is None or not new.isEmpty():
-            stars = components(new if stars is None else new.union(stars.toDF("a", "b")))
         # on with the buckets whose other members are in more than one component
-        rest = members.drop("label").join(hubs.select("key", F.col("hub").alias("node")), ["key", "node"], "left_anti")
-        rest = rest.join(stars, "node", "left").select("key", "node", "score", F.coalesce("root", "node").alias("label"))
-        mixed = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
-        members = settle(rest.join(mixed, "key", "left_semi"))
+        members = settle(still_open(members, percent))
         if members.isEmpty():
             return stars
         # hubs: from the labels that are rarest in the bucket, the members of largest total bucket size
         n_hubs *= MORE_HUBS
-        labels = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("score", "node")).alias("top"))
-        order = Window.partitionBy("key").orderBy("n", F.desc("top.score"), "top.node")
-        hubs = labels.withColumn("at", F.row_number().over(order)).where(F.col("at") <= n_hubs).select(
-            "key", F.col("top.node").alias("hub"), F.col("label").alias("hub_label"))
+        labels = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("score", "node", "n", "shared")).alias("top"))
+        order = Window.partitionBy("key").orderBy("k", F.desc("top.score"), "top.node")
+        hubs = settle(labels.withColumn("at", F.row_number().over(order)).where(F.col("at") <= n_hubs).select(
+            "key", F.col("top.node").alias("hub"), F.col("label").alias("hub_label"), F.col("top.n").alias("hub_n"), F.col("top.shared").alias("hub_shared")))
+        both = F.least("shared", "hub_shared")
+        near = members.join(hubs, (members["key"] == hubs["key"]) & (F.col("label") != F.col("hub_label"))
+                            & (100 * both >= percent * (F.col("n") + F.col("hub_n") - both)))
+        pairs = settle(_pairs(near).join(reduce(DataFrame.union, tested), ["a", "b"], "left_anti"))
+        tested.append(pairs)
+        new = settle(confirm(pairs, sets, percent))
+        if not new.isEmpty():
+            stars = components(new.union(stars.toDF("a", "b")))
+        members = _relabel(members, hubs, stars)
+
+
+def _pairs(near: DataFrame) -> DataFrame:
+    return near.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
+
+
+def _relabel(members: DataFrame, hubs: DataFrame, stars: DataFrame) -> DataFrame:
+    """The members that were not hubs, labelled by their components."""
+    rest = members.drop("label").join(hubs.select("key", F.col("hub").alias("node")), ["key", "node"], "left_anti")
+    return rest.join(stars, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    mixed = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
+    return members.join(mixed, "key", "left_semi")
 
 
 def groups(docs: DataFrame, percent: int = PERCENT, sketches: DataFrame | None = None) -> DataFrame:
