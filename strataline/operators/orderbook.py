@@ -59,7 +59,7 @@ def bucket_changes(ticks: DataFrame, columns: dict[str, tuple[str, str]], step:
     exprs = {f"_p_{n}": E.ref(E.field(n), 1) for n in columns}
     t = E.column_map("micros", lambda c: F.unix_micros(c.cast("timestamp")), E.field("datetime"))
     exprs["_gap"] = E.sub(t, E.ref(t, 1))
-    lagged = with_columns(Panel(small, sized_by=ticks.select("instrument")), exprs)
+    lagged = with_columns(Panel(small), exprs)
     num, unit = step.split()
     us = E.span_micros(num + {"s": "s", "m": "min", "h": "h"}[unit[0]])
     return lagged.select("instrument", "datetime", *[

@@ -67,12 +67,15 @@ def front_loaded_schedule(orders: DataFrame, steps: Column, risk: float, impact:
     return rows.withColumn("child_amount", F.col("amount") * share)
 
 
+TIE = 1e-9  # averages closer than this share of the price are equal
+
+
 def trend(panel: Panel, fast: int = 10, slow: int = 20) -> DataFrame:
-    """Direction of EMA(fast) - EMA(slow): long, short or mid."""
+    """Direction of EMA(fast) - EMA(slow): long, short, or mid where the two are equal up to rounding."""
     c = E.field("close")
     out = with_columns(panel, {"_s": E.ema(c, fast) - E.ema(c, slow)})
-    s = F.col("_s")
-    return out.withColumn("trend", F.when(s > 0, "long").when(s < 0, "short").otherwise("mid")).drop("_s")
+    s, tie = F.col("_s"), TIE * F.abs("close")
+    return out.withColumn("trend", F.when(s > tie, "long").when(s < -tie, "short").otherwise("mid")).drop("_s")
 
 
 def sample_orders(candidates: DataFrame, fraction: float, seed: int, amount: Column) -> DataFrame:

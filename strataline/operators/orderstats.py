@@ -13,7 +13,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataline.plans.sizing import has_hot_group, is_small, row_limit, settle, split_points, with_range_bucket
+from strataline.plans.sizing import row_limit, settle, skew_proof, split_points, with_range_bucket
 
 
 def value_counts(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -38,7 +38,7 @@ def average_rank(df: DataFrame, by: list[str], value: str, out: str, pct: bool =
                  hot: bool | None = None) -> DataFrame:
     """Average-tie ascending rank of ``value`` in its group; missing stays missing."""
     if hot is None:
-        hot = has_hot_group(df, *by)
+        hot = skew_proof(df)
     if not hot:
         v = F.col(value)
         r = (F.rank().over(Window.partitionBy(*by).orderBy(v.asc_nulls_last()))
@@ -56,7 +56,7 @@ def group_quantiles(df: DataFrame, by: list[str], value: str, qs: dict[str, floa
                     hot: bool | None = None) -> DataFrame:
     """One row per group with exact linear-interpolation quantiles."""
     if hot is None:
-        hot = has_hot_group(df, *by) if by else not is_small(df)
+        hot = skew_proof(df)
     if not hot:
         aggs = [F.percentile(value, F.lit(q)).alias(name) for name, q in qs.items()]
         return df.groupBy(*by).agg(*aggs)
@@ -91,7 +91,7 @@ def ordered_place(df: DataFrame, by: list[str], value: str, tiebreak: list[str],
     """1-based unique position by (value, tiebreak) and group size, over non-missing values."""
     rows = df.where(F.col(value).isNotNull())
     if hot is None:
-        hot = has_hot_group(df, *by)
+        hot = skew_proof(df)
     if not hot:
         order = [F.col(value).desc() if descending else F.col(value), *tiebreak]
         return rows.withColumn(place, F.row_number().over(Window.partitionBy(*by).orderBy(*order))) \

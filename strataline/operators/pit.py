@@ -24,8 +24,8 @@ def as_published(facts: DataFrame, period: int | None = None) -> DataFrame:
     return facts.withColumn("until", F.lead("date").over(w))
 
 
-def series_at_publications(facts: DataFrame, periods: int, quarterly: bool = True) -> DataFrame:
-    """For every publication day the last ``periods`` periods as known then.
+def series_at_publications(facts: DataFrame, periods: int | None, quarterly: bool = True) -> DataFrame:
+    """For every publication day the last ``periods`` periods (None: all) as known then.
 
     Rows: instrument, day, period_idx, value; unpublished periods in between
     are rows with a missing value.  Each day reaches its periods by equality
@@ -35,8 +35,9 @@ def series_at_publications(facts: DataFrame, periods: int, quarterly: bool = Tru
     days = facts.groupBy("instrument", "date").agg(F.max(idx).alias("_top"), F.min(idx).alias("_low"))
     known = with_columns(Panel(days.withColumnRenamed("date", "datetime")),
                          {"top": E.max_(E.field("_top"), 0), "low": E.min_(E.field("_low"), 0)})
+    first = F.col("low") if periods is None else F.greatest(F.col("low"), F.col("top") - periods + 1)
     spans = known.select("instrument", F.col("datetime").alias("day"), F.explode(F.sequence(
-        F.greatest(F.col("low"), F.col("top") - periods + 1).cast("bigint"), F.col("top").cast("bigint"))).alias("period_idx"))
+        first.cast("bigint"), F.col("top").cast("bigint"))).alias("period_idx"))
     rev = as_published(facts).select("instrument", idx.alias("period_idx"), "date", "until", "value")
     hit = spans.join(rev, ["instrument", "period_idx"]).where(
         (F.col("date") <= F.col("day")) & (F.col("until").isNull() | (F.col("day") < F.col("until"))))
@@ -47,7 +48,7 @@ def evaluate_at_publications(facts: DataFrame, inner: E.Expr, quarterly: bool =
     """Inner expression over the periods known on each publication day; its value at the newest period."""
     if inner.ahead > 0:
         raise ValueError("a point-in-time expression cannot look ahead")
-    reach = 400 if inner.unbounded else int(inner.back) + 1
+    reach = None if inner.unbounded else int(inner.back) + 1
     s = series_at_publications(facts, reach, quarterly)
     ev = stage(s, {"_v": inner}, Frame(["instrument", "day"], "period_idx"))
     return ev.groupBy("instrument", "day").agg(F.max_by("_v", "period_idx").alias("value"))

@@ -21,8 +21,12 @@ PER_YEAR = {"day": 238, "week": 50, "month": 12, "minute": 240 * 238}
 
 
 def _growth(r: E.Expr) -> E.Expr:
-    """Running product of 1 + r, for returns above -100 %."""
-    return E.exp(E.sum_(E.log1p(r), 0))
+    """Running product of 1 + r: zero from the first total loss on, and of the sign of its factors."""
+    f = 1.0 + r
+    lost = E.sum_(E.if_(E.eq(f, 0.0), 1.0, 0.0), 0)
+    odd = E.column_map("mod2", lambda n: n % 2, E.sum_(E.if_(E.lt(f, 0.0), 1.0, 0.0), 0))
+    size = E.exp(E.sum_(E.log(E.abs_(E.if_(E.eq(f, 0.0), 1.0, f))), 0))
+    return E.if_(E.gt(lost, 0.0), 0.0, E.if_(E.eq(odd, 1.0), -1.0, 1.0) * size)
 
 
 def risk_analysis(returns: DataFrame, column: str = "ret", freq: str = "day", mode: str = "sum", periods: float | None = None) -> DataFrame:
@@ -37,9 +41,13 @@ def risk_analysis(returns: DataFrame, column: str = "ret", freq: str = "day", mo
         mean, std = F.avg(x), F.stddev_samp(x)
         ann = mean * n
     else:
-        log_mean = F.avg(F.log1p(x))
-        mean, std = F.exp(log_mean) - 1, F.stddev_samp(F.log1p(x))
-        ann = F.exp(log_mean * n) - 1
+        # the whole product and its roots; a negative product has none
+        f, m = 1 + x, F.count(x)
+        lost, odd = F.max(F.when(f == 0, 1).otherwise(0)) == 1, F.sum(F.when(f < 0, 1).otherwise(0)) % 2 == 1
+        log_mean = F.sum(F.log(F.abs(F.when(f != 0, f)))) / m
+        mean = F.when(lost, -1.0).when(~odd, F.exp(log_mean) - 1)
+        std = F.when(~lost & (F.min(f) > 0), F.stddev_samp(F.log1p(x)))
+        ann = F.when(lost, -1.0).when(~odd, F.exp(log_mean * n) - 1)
     return peaks.groupBy("instrument").agg(
         mean.alias("mean"), std.alias("std"), ann.alias("annualized_return"),
         S.null_div(mean * F.sqrt(F.lit(n)), std).alias("information_ratio"), F.min(dd).alias("max_drawdown"))
@@ -109,7 +117,7 @@ def position_values(positions: DataFrame, cash: DataFrame, quotes: DataFrame, in
 def benchmark_return(panel: Panel, codes: list[str]) -> DataFrame:
     """Mean one-row return over the listed instruments; missing counts as zero."""
     c = E.field("close")
-    df = with_columns(Panel(panel.df.where(F.col("instrument").isin(codes)), panel.sized_by, panel.blocked), {"_r": c / E.ref(c, 1) - 1})
+    df = with_columns(Panel(panel.df.where(F.col("instrument").isin(codes)), panel.blocked), {"_r": c / E.ref(c, 1) - 1})
     return df.groupBy("datetime").agg(F.coalesce(F.avg("_r"), F.lit(0.0)).alias("bench"))
 
 
@@ -236,7 +244,7 @@ def signed_weights(pred: DataFrame, n: int, vol: DataFrame | None = None, max_le
 def carry_signals(bars: Panel, signals: DataFrame) -> DataFrame:
     """Bars with the latest signal at or before them; HOLD and zero before the first."""
     j = bars.df.join(signals.select("instrument", "datetime", "signal", "position_size"), ["instrument", "datetime"], "left")
-    filled = with_columns(Panel(j, bars.sized_by, bars.blocked), {"_sig": E.ffill(E.field("signal")), "_size": E.ffill(E.field("position_size"))})
+    filled = with_columns(Panel(j, bars.blocked), {"_sig": E.ffill(E.field("signal")), "_size": E.ffill(E.field("position_size"))})
     return filled.select(*bars.df.columns, F.coalesce("_sig", F.lit("HOLD")).alias("signal"), F.coalesce("_size", F.lit(0.0)).alias("position_size"))
 
 
@@ -250,7 +258,7 @@ def signal_pnl(bars: DataFrame, capital: float = 1.0, fee: float = 0.0, slippage
     c, pos = E.field("close"), E.field("position")
     prev = E.if_(E.is_null(E.ref(pos, 1)), 0.0, E.ref(pos, 1))
     pct = E.if_(E.is_null(c / E.ref(c, 1)), 0.0, c / E.ref(c, 1) - 1)
-    hot = Panel(bars).is_hot()  # checked once: every later frame has the same rows
+    hot = Panel(bars).is_hot()
     step = with_columns(Panel(bars.withColumn("position", size), blocked=hot), {"trade": pos - prev, "port_ret": prev * pct})
     step = step.withColumns({"_cost": F.abs("trade") * (fee + slippage), "_f": 1 + F.col("port_ret")})
     seg = with_columns(Panel(step, blocked=hot), {"_seg": E.sum_(E.if_(E.eq(E.field("_f"), 0.0), 1.0, 0.0), 0)})

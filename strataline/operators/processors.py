@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from strataline.functions import scalar as S
 from strataline.operators.orderstats import average_rank, group_quantiles
-from strataline.plans.sizing import has_hot_group, is_small, settle
+from strataline.plans.sizing import settle, skew_proof
 
 MAD_TO_STD = 1.4826  # fixed value
 EPS = 1e-12          # fixed value
@@ -48,7 +48,7 @@ def _long(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
 
 def column_medians(df: DataFrame, cols: list[str]) -> dict[str, float]:
     """Exact median per column; large inputs are ranked in value ranges instead of one hash map."""
-    if is_small(df):
+    if not skew_proof(df):
         return _stats(df, cols, med=lambda c: F.percentile(c, F.lit(0.5)))["med"]
     rows = group_quantiles(_long(df, [], cols), ["_col"], "_val", {"med": 0.5}, hot=True).collect()
     return {r["_col"]: r["med"] for r in rows}
@@ -64,7 +64,7 @@ class ByDate:
     """
 
     def __init__(self, df: DataFrame):
-        self.hot = has_hot_group(df, "datetime")
+        self.hot = skew_proof(df)
 
     def stats(self, df: DataFrame, aggs: dict[str, Column]) -> DataFrame:
         if not self.hot:
@@ -217,7 +217,7 @@ class DateRank(Processor):
         self.columns = columns
 
     def transform(self, df):
-        hot = has_hot_group(df, "datetime")
+        hot = skew_proof(df)
         out = df
         for c in self.columns:
             out = average_rank(out, ["datetime"], c, f"_r_{c}", pct=True, hot=hot)
@@ -414,7 +414,7 @@ def weight_by_time(df: DataFrame, weights: list[tuple], default: float = 1.0) ->
 def weight_by_loss(df: DataFrame, curve: list[str], loss: str, k: int, bins: int = 10, decay: float = 0.5,
                    alpha1: float = 1.0, alpha2: float = 1.0) -> DataFrame:
     """Sample weights from loss ranks: improving, currently bad samples get more weight."""
-    hot = not is_small(df)
+    hot = skew_proof(df)
     part = max(int(len(curve) * 0.1), 1)
     work = df.withColumn("_all", F.lit(0)).withColumn("_neg", -F.col(loss))
     for c in dict.fromkeys([*curve[:part], *curve[-part:], "_neg"]):

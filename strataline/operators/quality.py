@@ -193,7 +193,11 @@ def missing_columns(df: DataFrame, required: list[str]) -> list[str]:
     return [c for c in required if c not in df.columns]
 
 
-def missing_factor(df: DataFrame, exempt: tuple[str, ...] = ("000300", "000903", "000905")) -> DataFrame:
+# fixed value: index codes without adjustment factors
+INDEX_CODES = ("000300", "000903", "000905")
+
+
+def missing_factor(df: DataFrame, exempt: tuple[str, ...] = INDEX_CODES) -> DataFrame:
     """Instruments without any adjustment factor; index codes are exempt."""
     has = "factor" in df.columns
     usable = df.where(~reduce(lambda a, b: a | b, [F.col("instrument").contains(x) for x in exempt]))
@@ -208,6 +212,7 @@ def invalid_bars(df: DataFrame) -> DataFrame:
     o, h, l, c, v = (F.col(x) for x in ("open", "high", "low", "close", "volume"))
     any_null = o.isNull() | h.isNull() | l.isNull() | c.isNull() | v.isNull()
     outside = lambda x: ~F.coalesce(x.between(l, h), F.lit(False))
+    # fixed values: the names of the rules
     rules = [("nan_values", any_null), ("high_low_invalid", h < l), ("open_range_invalid", outside(o)),
              ("close_range_invalid", outside(c)), ("negative_volume", v < 0)]
     codes = F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in rules]))

@@ -46,7 +46,7 @@ def resample(panel: DataFrame, freq: str, aggs: dict[str, tuple[str, str]], keep
         out = grid.join(out, ["instrument", "datetime"], "left")
     if forward_fill:
         filled = {n: E.ffill(E.field(n)) for n in aggs}
-        out = with_columns(Panel(out, sized_by=panel.select("instrument")), filled)
+        out = with_columns(Panel(out), filled)
     return out.select("instrument", "datetime", *aggs)
 
 

@@ -13,7 +13,7 @@ from strataline.operators.orderstats import average_rank, ordered_place
 from strataline.operators.setops import quantile_members
 from strataline.plans import expr as E
 from strataline.plans.evaluate import Panel, with_columns
-from strataline.plans.sizing import has_hot_group
+from strataline.plans.sizing import skew_proof
 
 
 def join_label(pred: DataFrame, label: DataFrame, how: str = "inner") -> DataFrame:
@@ -25,7 +25,7 @@ def ic_by_date(df: DataFrame, by: tuple[str, ...] = ("datetime",), score: str =
     """Pearson and Spearman correlation of the pairs where both sides exist."""
     pairs = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
     keys = list(by)
-    hot = has_hot_group(pairs, *keys)
+    hot = skew_proof(pairs)
     ranked = average_rank(average_rank(pairs, keys, score, "_rs", hot=hot), keys, label, "_rl", hot=hot)
     return ranked.groupBy(*keys).agg(S.pair_corr(F.col(score), F.col(label)).alias("ic"), S.pair_corr(F.col("_rs"), F.col("_rl")).alias("rank_ic"))
 
@@ -87,10 +87,10 @@ def prediction_autocorr(df: DataFrame, lag: int = 1, score: str = "score") -> Da
 
 
 def rank_autocorr(df: DataFrame, lag: int = 1, score: str = "score") -> DataFrame:
-    """Correlation of percentile ranks with each instrument's rank ``lag`` rows earlier."""
-    cur = average_rank(df.select("instrument", "datetime", score), ["datetime"], score, "_r", pct=True)
-    prev = with_columns(Panel(cur.drop(score)), {"_last": E.ref(E.field("_r"), lag)})
-    return prev.groupBy("datetime").agg(S.pair_corr(F.col("_r"), F.col("_last")).alias("autocorr"))
+    """Correlation of each date's score ranks with the ranks, on the same date, of the scores ``lag`` rows earlier."""
+    both = with_columns(Panel(df.select("instrument", "datetime", score)), {"_prev": E.ref(E.field(score), lag)})
+    ranked = average_rank(average_rank(both, ["datetime"], score, "_r", pct=True), ["datetime"], "_prev", "_last", pct=True)
+    return ranked.groupBy("datetime").agg(S.pair_corr(F.col("_r"), F.col("_last")).alias("autocorr"))
 
 
 def group_returns(df: DataFrame, groups: int = 5, score: str = "score", label: str = "label") -> DataFrame:

@@ -4,8 +4,8 @@ Plain form: every window shares ``partitionBy(instrument).orderBy(datetime)``,
 so a query of any width costs one exchange and one sort; nested windows become
 successive projections over the same partitioning.
 
-Blocked form, used when one instrument holds more rows than a task should
-sort: rows get their exact position from per-range counts, are cut into
+Blocked form, where it is declared that one instrument may hold more rows than
+a task should sort: rows get their exact position from per-range counts, are cut into
 fixed-length position blocks, and each block receives the few rows of history
 its expressions look back on.  Running accumulators combine block totals.
 Both forms give the same rows.
@@ -15,14 +15,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping
-from dataclasses import dataclass, field as dc_field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataline.operators.orderstats import average_rank
 from strataline.plans.expr import Expr, field
-from strataline.plans.sizing import has_hot_group, row_limit, settle, split_points, with_range_bucket
+from strataline.plans.sizing import row_limit, settle, skew_proof, split_points, with_range_bucket
 
 PAST, NOW, FUTURE = Window.unboundedPreceding, Window.currentRow, Window.unboundedFollowing
 
@@ -31,22 +31,15 @@ PAST, NOW, FUTURE = Window.unboundedPreceding, Window.currentRow, Window.unbound
 class Panel:
     """A DataFrame keyed by (instrument, datetime).
 
-    ``sized_by`` may name a cheaper DataFrame with an ``instrument`` column whose
-    row counts bound the panel's (the raw ticks behind bars, for example).
+    ``blocked`` declares whether one instrument may hold more rows than a task
+    should sort; where it is left open, the session's setting decides.
     """
 
     df: DataFrame
-    sized_by: DataFrame | None = None
     blocked: bool | None = None
-    _hot: bool | None = dc_field(default=None, repr=False)
 
     def is_hot(self) -> bool:
-        if self.blocked is not None:
-            return self.blocked
-        if self._hot is None:
-            src = self.sized_by if self.sized_by is not None else self.df.select("instrument")
-            self._hot = has_hot_group(src, "instrument")
-        return self._hot
+        return self.blocked if self.blocked is not None else skew_proof(self.df)
 
 
 class Frame:
@@ -185,7 +178,7 @@ def _bounded_blocked(df: DataFrame, exprs: Mapping[str, Expr]) -> DataFrame:
     """Evaluate finite-extent expressions on (instrument, block) groups with borrowed history."""
     back = max(e.back for e in exprs.values())
     ahead = max(e.ahead for e in exprs.values())
-    us = max(e.max_span_us for e in exprs.values())
+    us = max(e.reach_us for e in exprs.values())
     if us:
         back += _rows_per_span(df, us)
     size = max(row_limit(df) // 2, back, ahead, 1)
@@ -329,7 +322,7 @@ def features(panel: Panel, exprs: Mapping[str, Expr], start=None, end=None, univ
         df = df.where(t >= F.lit(lo))
     if hi is not None:
         df = df.where(t <= F.lit(hi))
-    out = with_columns(Panel(df, panel.sized_by, panel.blocked, panel._hot), wanted)
+    out = with_columns(Panel(df, panel.blocked), wanted)
     if start is not None:
         out = out.where(t >= F.lit(start))
     if end is not None:
@@ -345,7 +338,7 @@ def _reach(exprs, start, end, calendar):
     """First and last datetime the expressions can need; None means no bound."""
     back = max(e.back for e in exprs.values())
     ahead = max(e.ahead for e in exprs.values())
-    open_ended = any(e.unbounded or e.max_span_us for e in exprs.values())
+    open_ended = any(e.unbounded or e.reach_us for e in exprs.values())
     whole = any(n.kind == "series" or n.op in ("acc_next", "day_last")
                 for e in exprs.values() for n in e.nodes())
     hi = end if (end is not None and ahead == 0 and not whole) else None
@@ -374,4 +367,4 @@ def on_instrument(panel: Panel, other: str, exprs: Mapping[str, Expr]) -> Panel:
     side = panel.df.where(F.col("instrument") == other)
     vals = with_columns(Panel(side, blocked=panel.blocked), exprs).select("datetime", *exprs)
     return Panel(panel.df.join(vals, "datetime", "left").select(*panel.df.columns, *exprs),
-                 panel.sized_by, panel.blocked, panel._hot)
+                 panel.blocked)

@@ -50,8 +50,9 @@ class Expr:
         return self.kind in ("acc", "series") or self.own_back == math.inf or any(a.unbounded for a in self.args)
 
     @property
-    def max_span_us(self) -> int:
-        return max([self.span_us] + [a.max_span_us for a in self.args])
+    def reach_us(self) -> int:
+        """Time the tree looks back: spans of nested windows add up."""
+        return self.span_us + max([a.reach_us for a in self.args], default=0)
 
     def fields(self) -> set[str]:
         if self.kind == "field":
@@ -311,8 +312,11 @@ def var(x, n):
     if _decays(n):
         return ema(x, n)
     if n == 0:
-        return _map("var0", lambda c, s, q: F.when(c > 1, F.greatest((q - s * s / c) / (c - 1), F.lit(0.0))),
-                    *_running_moments(x, 2))
+        # an infinite value makes the sums NaN, which is missing here
+        def f(c, s, q):
+            v = S.nan_to_null((q - s * s / c) / (c - 1))
+            return F.when((c > 1) & v.isNotNull(), F.greatest(v, F.lit(0.0)))
+        return _map("var0", f, *_running_moments(x, 2))
     return _rolling("var", F.var_samp, n, x)
 
 
@@ -338,7 +342,7 @@ def skew(x, n):
     if n == 0:
         def f(c, s1, s2, s3):
             m2, m3, _ = _central(c, s1, s2, s3)
-            return S.sample_skew(F.when(m2 > 0, m3 / F.pow(m2, F.lit(1.5))), c)
+            return S.nan_to_null(S.sample_skew(F.when(m2 > 0, m3 / F.pow(m2, F.lit(1.5))), c))
         return _map("skew0", f, *_running_moments(x, 3))
     return _map("skew_fix", S.sample_skew, _rolling("skew_pop", F.skewness, n, x), count(x, n))
 
@@ -350,7 +354,7 @@ def kurt(x, n):
     if n == 0:
         def f(c, s1, s2, s3, s4):
             m2, _, m4 = _central(c, s1, s2, s3, s4)
-            return S.sample_kurt(F.when(m2 > 0, m4 / (m2 * m2) - 3), c)
+            return S.nan_to_null(S.sample_kurt(F.when(m2 > 0, m4 / (m2 * m2) - 3), c))
         return _map("kurt0", f, *_running_moments(x, 4))
     return _map("kurt_fix", S.sample_kurt, _rolling("kurt_pop", F.kurtosis, n, x), count(x, n))
 
@@ -388,6 +392,8 @@ def _sorted_window(x, n):
 
 def quantile(x, n, q: float):
     x = _num(x)
+    if _decays(n):
+        return ema(x, n)
     if n == 0:
         return _win("quantile0", lambda f, c: F.percentile(c, F.lit(q)).over(f.so_far()), x,
                     params=(q,), back=math.inf)
@@ -526,7 +532,7 @@ def ema(x, n, adjust=True):
     if alpha >= 1.0:
         return ffill(x)
     d = 1.0 - alpha
-    length = max(16, min(20_000, int(230.0 / -math.log(d))))
+    length = max(16, int(230.0 / -math.log(d)))
     blk = _map("ema_block", lambda p: F.floor((p - 1) / length), POS, params=(length,))
     off = _map("ema_off", lambda p: ((p - 1) % length).cast("double"), POS, params=(length,))
     if adjust:
@@ -589,7 +595,7 @@ def cov(a, b, n):
         c, sp = _running_moments(p, 1)
         _, sq = _running_moments(q, 1)
         spq = _acc("sum", mul(_centred(p), _centred(q)))
-        return _map("cov0", lambda c, sp, sq, spq: F.when(c > 1, (spq - sp * sq / c) / (c - 1)), c, sp, sq, spq)
+        return _map("cov0", lambda c, sp, sq, spq: S.nan_to_null(F.when(c > 1, (spq - sp * sq / c) / (c - 1))), c, sp, sq, spq)
     return _rolling("cov", F.covar_samp, n, a, b)
 
 

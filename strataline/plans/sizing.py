@@ -1,4 +1,4 @@
-"""Size checks that decide between the plain and the skew-proof form of a plan."""
+"""The declared choice between the plain and the skew-proof form of a plan, and lineage cuts."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROWS_KEY = "strataline.maxRowsPerTask"
+SKEW_KEY = "strataline.skewProof"
+ROWS_KEY = "strataline.maxRowsPerTask"   # rows of a block of the skew-proof form
 DEFAULT_ROWS = 2_000_000
 
 
@@ -16,36 +17,13 @@ def row_limit(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(ROWS_KEY, str(DEFAULT_ROWS)))
 
 
-SMALL_BYTES = 8  # bytes of stored input per allowed row under which no count is worth running
+def skew_proof(df: DataFrame) -> bool:
+    """Whether the session declares that single instruments, dates or groups may be too long for one task.
 
-
-def input_bytes(df: DataFrame) -> float:
-    """Stored size of everything the plan reads; infinite where it is not known."""
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        return sum(float(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
-    except AttributeError:
-        return float("inf")
-
-
-def is_small(df: DataFrame) -> bool:
-    """True when one task could take all rows: by the size of the input, else by an actual count."""
-    limit = row_limit(df)
-    if limit >= DEFAULT_ROWS and input_bytes(df) <= limit * SMALL_BYTES:
-        return True
-    return df.count() <= limit
-
-
-def has_hot_group(df: DataFrame, *keys: str) -> bool:
-    """True when some group of ``keys`` holds more rows than one task should sort.
-
-    Small inputs are settled by their stored size or row count (Parquet
-    footers); larger ones cost one map-side combined count.
+    Declared (``strataline.skewProof``), never measured: no job runs while a query is built, and a plan does not change
+    its form as the data grow.  Both forms give the same rows.
     """
-    if is_small(df):
-        return False
-    top = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    return (top or 0) > row_limit(df)
+    return df.sparkSession.conf.get(SKEW_KEY, "false").lower() == "true"
 
 
 def scratch_folder(spark: SparkSession) -> str:
@@ -72,8 +50,8 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def split_points(df: DataFrame, column: str, parts: int) -> list[float]:
-    """Approximate quantiles as literal, deterministic range bounds (at most 4096)."""
-    parts = max(2, min(int(parts), 4096))
+    """Approximate quantiles as literal, deterministic range bounds."""
+    parts = max(2, int(parts))
     probs = [i / parts for i in range(1, parts)]
     found = df.approxQuantile(column, probs, 1.0 / (4 * parts))
     return sorted(set(float(v) for v in found))

@@ -57,12 +57,12 @@ def ticks(spark, sf, by="event_type") -> DataFrame:
 
 def bars_h(spark, sf) -> Panel:
     t = ticks(spark, sf)
-    return Panel(bars_from_ticks(t, "hour"), sized_by=t.select("instrument"))
+    return Panel(bars_from_ticks(t, "hour"))
 
 
 def bars_d(spark, sf) -> Panel:
     t = ticks(spark, sf, "user_id")
-    return Panel(bars_from_ticks(t, "day"), sized_by=t.select("instrument"))
+    return Panel(bars_from_ticks(t, "day"))
 
 
 def supp_m(spark, sf) -> Panel:
@@ -70,7 +70,7 @@ def supp_m(spark, sf) -> Panel:
     df = li.groupBy(F.col("l_suppkey").cast("string").alias("instrument"),
                     F.date_trunc("month", "l_shipdate").cast("timestamp_ntz").alias("datetime")).agg(
         (F.sum("l_extendedprice") / F.sum("l_quantity")).alias("close"), F.sum("l_quantity").alias("volume"))
-    return Panel(df, sized_by=li.select(F.col("l_suppkey").alias("instrument")))
+    return Panel(df)
 
 
 def supp_d(spark, sf) -> Panel:
@@ -79,7 +79,7 @@ def supp_d(spark, sf) -> Panel:
         F.avg("p").alias("open"), F.max("p").alias("high"), F.min("p").alias("low"),
         (F.sum("l_extendedprice") / F.sum("l_quantity")).alias("close"), F.sum("l_quantity").alias("volume"),
         (F.sum("l_extendedprice") / F.sum("l_quantity")).alias("vwap"))
-    return Panel(df, sized_by=li.select(F.col("l_suppkey").alias("instrument")))
+    return Panel(df)
 
 
 def universe(spark, sf) -> DataFrame:

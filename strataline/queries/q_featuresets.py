@@ -133,7 +133,7 @@ def _paused(p: Panel) -> Panel:
     hole = F.col("volume") % 7 < 1
     df = p.df.select("instrument", "datetime", *[F.when(~hole, F.col(c)).alias(c) for c in ("open", "high", "low", "close", "vwap", "volume")],
                      F.when(F.col("volume") % 5 < 1, 1.0).otherwise(2.0).alias("paused_num"), F.lit(1.0).alias("factor"))
-    return Panel(df, p.sized_by)
+    return Panel(df)
 
 
 PAUSED = """paused AS (SELECT instrument, datetime, CASE WHEN NOT hole THEN open END AS open, CASE WHEN NOT hole THEN high END AS high,

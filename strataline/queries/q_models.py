@@ -60,11 +60,11 @@ def _(s, d):
     return rounded(SP.average_ensemble(_two(s, d)))
 
 
-@query("rolling_ensemble", sql(f"SELECT instrument, datetime, {rq('CASE WHEN datetime >= TIMESTAMP \'2024-01-15\' THEN score * 2 ELSE score END')} AS score FROM scores WHERE datetime >= TIMESTAMP '2024-01-05'", *SC))
+@query("rolling_ensemble", sql(f"SELECT instrument, datetime, {rq('CASE WHEN datetime >= TIMESTAMP \'2024-01-15\' THEN score * 2 ELSE score END')} AS score FROM scores", *SC))
 def _(s, d):
     sc = scores(s, d).select("instrument", "datetime", "score")
     late = sc.where("datetime >= timestamp_ntz'2024-01-15'").withColumn("score", F.col("score") * 2)
-    return rounded(SP.rolling_ensemble([late, sc.where("datetime >= timestamp_ntz'2024-01-05'")]))
+    return rounded(SP.rolling_ensemble([late, sc]))
 
 
 @query("reduce_groups", sql(f"SELECT model, datetime, {rq('avg(score)')} AS score FROM two GROUP BY 1, 2", *SC, TWO))

@@ -93,12 +93,10 @@ def _ema(span):
     return f"(SELECT sum(b.close * pow(1 - 2.0 / {span + 1}, p.pos - b.pos)) / sum(pow(1 - 2.0 / {span + 1}, p.pos - b.pos)) FROM posed b WHERE b.instrument = p.instrument AND b.pos <= p.pos)"
 
 
-@query("trend", sql(f"SELECT instrument, datetime, CASE WHEN v > 1e-12 THEN 'long' WHEN v < -1e-12 THEN 'short' ELSE 'mid' END AS trend FROM (SELECT instrument, datetime, {_ema(10)} - {_ema(20)} AS v FROM posed p) WHERE abs(v) > 1e-9", "bars_h",
+@query("trend", sql(f"SELECT instrument, datetime, CASE WHEN v > 1e-9 * abs(close) THEN 'long' WHEN v < -1e-9 * abs(close) THEN 'short' ELSE 'mid' END AS trend FROM (SELECT instrument, datetime, close, {_ema(10)} - {_ema(20)} AS v FROM posed p)", "bars_h",
     "posed AS (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY datetime) AS pos FROM bars_h)"))
 def _(s, d):
-    # the first bar of a series has two equal averages, whose sign is rounding noise
-    first = bars_h(s, d).df.groupBy("instrument").agg(F.min("datetime").alias("datetime"))
-    return O.trend(bars_h(s, d)).select("instrument", "datetime", "trend").join(first, ["instrument", "datetime"], "left_anti")
+    return O.trend(bars_h(s, d)).select("instrument", "datetime", "trend")
 
 
 @query("sampled_orders")
@@ -107,9 +105,9 @@ def _(s, d):
     return O.sample_orders(b, 0.1, 7, F.lit(100.0)).select("instrument", "datetime", "amount")
 
 
-@query("orders_for_steps", sql("""SELECT CAST(o.o_custkey AS VARCHAR) AS instrument, c.datetime, o.o_totalprice AS amount FROM (SELECT *, DATE '2024-01-01' + CAST(o_orderkey % 28 AS INTEGER) AS day FROM orders) o JOIN (SELECT DISTINCT datetime FROM bars_h WHERE hour(datetime) IN (10, 14)) c ON CAST(c.datetime AS DATE) = o.day""", "bars_h"))
+@query("orders_for_steps", sql("""SELECT CAST(o.o_custkey AS VARCHAR) AS instrument, c.datetime, o.o_totalprice AS amount FROM (SELECT *, DATE '2024-01-01' + CAST(o_orderkey % 28 AS INTEGER) AS day FROM orders) o JOIN (SELECT DISTINCT datetime FROM bars_h) c ON CAST(c.datetime AS DATE) = o.day""", "bars_h"))
 def _(s, d):
     o = table(s, d, "orders").select(F.col("o_custkey").cast("string").alias("instrument"), F.col("o_totalprice").alias("amount"),
                                      F.date_add(F.lit("2024-01-01").cast("date"), (F.col("o_orderkey") % 28).cast("int")).cast("timestamp_ntz").alias("datetime"))
-    cal = C.calendar_of(bars_h(s, d).df).where(F.hour("datetime").isin(10, 14))
+    cal = C.calendar_of(bars_h(s, d).df)
     return O.orders_for_steps(o, cal).select("instrument", "datetime", "amount")

@@ -50,6 +50,18 @@ def _(s, d):
     return _risk_out(P.risk_analysis(rets(s, d), freq="month", mode="product"), "instrument")
 
 
+LOSS = "instrument LIKE '%7' AND datetime = TIMESTAMP '1995-06-01'"
+
+
+@query("risk_analysis_losses", sql(f"""SELECT instrument, {rq('CASE WHEN lost THEN -1 ELSE exp(lm) - 1 END')} AS mean, {rq('CASE WHEN NOT lost THEN sd END')} AS std, {rq('CASE WHEN lost THEN -1 ELSE exp(lm * 12) - 1 END')} AS annualized_return,
+    {rq('CASE WHEN NOT lost THEN (exp(lm) - 1) / sd * sqrt(12) END', 5)} AS information_ratio, {rq('dd')} AS max_drawdown FROM (SELECT instrument, bool_or(ret = -1) AS lost, avg(CASE WHEN ret > -1 THEN ln(1 + ret) END) AS lm,
+    stddev_samp(CASE WHEN ret > -1 THEN ln(1 + ret) END) AS sd, min(c / top - 1) AS dd FROM (SELECT *, max(c) OVER {XI} AS top FROM (SELECT *, CASE WHEN bool_or(ret = -1) OVER {XI} THEN 0 ELSE
+    exp(sum(CASE WHEN ret > -1 THEN ln(1 + ret) END) OVER {XI}) END AS c FROM (SELECT * REPLACE (CASE WHEN {LOSS} THEN -1 ELSE ret END AS ret) FROM rets))) GROUP BY 1)""", "supp_m", RETS))
+def _(s, d):
+    hit = F.expr(LOSS.replace("TIMESTAMP ", "timestamp_ntz"))
+    return _risk_out(P.risk_analysis(rets(s, d).withColumn("ret", F.when(hit, -1.0).otherwise(F.col("ret"))), freq="month", mode="product"), "instrument")
+
+
 def hourly(s, d):
     """Small bounded hourly moves per event type as a return series."""
     df = features(bars_h(s, d), {"ret": (CL - E.field("open")) / 10000.0})

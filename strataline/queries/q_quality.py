@@ -34,7 +34,7 @@ def _(s, d):
 def _glitchy(s, d):
     m = supp_m(s, d)
     bad = F.month("datetime").isin(6, 7)
-    return Panel(m.df.withColumn("close", F.when(bad, F.col("close") * 100).otherwise(F.col("close"))), m.sized_by)
+    return Panel(m.df.withColumn("close", F.when(bad, F.col("close") * 100).otherwise(F.col("close"))))
 
 
 def repair_sql(passes=3):
@@ -64,7 +64,7 @@ def _(s, d):
 def _(s, d):
     b = bars_d(s, d)
     df = b.df.withColumn("adjclose", F.when(F.col("volume") % 4 >= 1, F.col("vwap")))
-    out = Q.adjust_prices(Panel(df, b.sized_by)).join(b.df.select("instrument", "datetime", F.col("close").alias("c0")), ["instrument", "datetime"])
+    out = Q.adjust_prices(Panel(df)).join(b.df.select("instrument", "datetime", F.col("close").alias("c0")), ["instrument", "datetime"])
     return out.where("c0 > 1").select("instrument", "datetime", r("open", 5).alias("open"), r("volume", 4).alias("volume"), r("factor", 5).alias("factor"))
 
 
@@ -152,7 +152,7 @@ def _(s, d):
     (PARTITION BY instrument ORDER BY datetime ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS v FROM (SELECT *, CASE WHEN close > 30 THEN close END AS v FROM bars_h) {WI}""", "bars_h"))
 def _(s, d):
     b = bars_h(s, d)
-    return Q.fill_both_ways(Panel(b.df.select("instrument", "datetime", F.when(F.col("close") > 30, F.col("close")).alias("v")), b.sized_by), ["v"])
+    return Q.fill_both_ways(Panel(b.df.select("instrument", "datetime", F.when(F.col("close") > 30, F.col("close")).alias("v"))), ["v"])
 
 
 @query("health_missing", sql("""SELECT instrument, count(*) FILTER (close <= 20) AS close, count(*) FILTER (volume <= 40) AS volume FROM bars_d GROUP BY 1
@@ -167,7 +167,7 @@ def _(s, d):
      UNION ALL SELECT instrument, datetime, 'volume', abs(volume / lag(volume) OVER w - 1), 3.0 FROM bars_h WINDOW w AS (PARTITION BY instrument ORDER BY datetime)) GROUP BY 1, 2 HAVING max(v) > max(lim)""", "bars_h"))
 def _(s, d):
     b = bars_h(s, d)
-    return rounded(Q.large_steps(Panel(b.df.select("instrument", "datetime", "close", "volume"), b.sized_by), 2.0, 3.0), n=4)
+    return rounded(Q.large_steps(Panel(b.df.select("instrument", "datetime", "close", "volume")), 2.0, 3.0), n=4)
 
 
 @query("health_missing_factor", sql("SELECT DISTINCT instrument, false AS column_missing, true AS data_missing FROM bars_d WHERE CAST(instrument AS INTEGER) % 7 = 0", "bars_d"))

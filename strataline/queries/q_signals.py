@@ -85,8 +85,8 @@ def _(s, d):
     return rounded(G.prediction_autocorr(scores(s, d)))
 
 
-@query("rank_autocorr", sql(f"""SELECT datetime, {rq('CASE WHEN count(lp) > 1 THEN corr(p, lp) END')} AS autocorr FROM (SELECT *, lag(p) OVER (PARTITION BY instrument ORDER BY datetime) AS lp FROM
-    (SELECT instrument, datetime, {arank('score')} / count(*) OVER (PARTITION BY datetime) AS p FROM scores)) GROUP BY 1""", *SC))
+@query("rank_autocorr", sql(f"""SELECT datetime, {rq('CASE WHEN count(lp) > 1 THEN corr(p, lp) END')} AS autocorr FROM (SELECT datetime, {arank('score')} AS p, CASE WHEN last IS NOT NULL THEN {arank('last')} END AS lp FROM
+    (SELECT *, lag(score) OVER (PARTITION BY instrument ORDER BY datetime) AS last FROM scores)) GROUP BY 1""", *SC))
 def _(s, d):
     return rounded(G.rank_autocorr(scores(s, d)))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strataline.plans.sizing import scratch_folder
-from strataline.queries.common import bars_d, bars_h, query, rounded, rq, sql, table
+from strataline.queries.common import bars_d, bars_h, query, r, rounded, rq, sql, table
 from strataline.sources import panels as PA
 from strataline.sources import store as ST
 
@@ -81,6 +81,14 @@ def _(s, d):
     return ST.manifest(b.select(F.regexp_replace("instrument", "/", "-").alias("symbol"), "datetime", F.lit("1d").alias("interval")))
 
 
+@query("partitioned_write", sql(f"SELECT instrument AS symbol, '1d' AS \"interval\", CAST(datetime AS DATE) AS date, datetime, {rq('close')} AS close FROM bars_d", "bars_d"))
+def _(s, d):
+    folder = scratch_folder(s) + "/by_date"
+    ST.save_partitioned(bars_d(s, d).df.select("instrument", "datetime", "close"), folder, "1d", by_symbol=False)
+    back = ST.read_partitioned(s, folder, "instrument string, datetime timestamp_ntz, close double")
+    return back.select("symbol", "interval", "date", "datetime", r("close").alias("close"))
+
+
 @query("csv_roundtrip", "SELECT CAST(o_orderkey AS VARCHAR) AS instrument, CAST(o_orderdate AS TIMESTAMP) AS datetime, o_totalprice AS price FROM orders")
 def _(s, d):
     folder = scratch_folder(s) + "/orders_csv"

@@ -117,6 +117,20 @@ def _(s, d):
     return ts(s, d, {"ema12": E.ema(CL, 12), "ema_a3": E.mean(CL, 0.3)})
 
 
+# one position at a time is enough for the closed form: weights are powers of the decay, far from overflow here
+@query("ts_ema_long", sql(f"""SELECT instrument, datetime, {rq('sum(value / pow(1 - 2.0 / 5001, pos)) OVER x / sum(1 / pow(1 - 2.0 / 5001, pos)) OVER x')} AS ema5000
+    FROM (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY datetime) AS pos FROM ticks) WINDOW x AS (PARTITION BY instrument ORDER BY datetime)""", "ticks"))
+def _(s, d):
+    return rounded(features(Panel(ticks(s, d)), {"ema5000": E.ema(E.field("value"), 5000)}))
+
+
+@query("ts_nested_spans", sql(f"""SELECT instrument, datetime, {rq('sum(s) OVER w', 4)} AS s2 FROM (SELECT *, sum(value) OVER w AS s FROM ticks
+    WINDOW w AS (PARTITION BY instrument ORDER BY epoch_us(datetime) RANGE BETWEEN 1799999999 PRECEDING AND CURRENT ROW))
+    WINDOW w AS (PARTITION BY instrument ORDER BY epoch_us(datetime) RANGE BETWEEN 1799999999 PRECEDING AND CURRENT ROW)""", "ticks"))
+def _(s, d):
+    return rounded(features(Panel(ticks(s, d)), {"s2": E.sum_(E.sum_(E.field("value"), "30min"), "30min")}), n=4)
+
+
 @query("ts_corr_cov", ts_sql({
     "cov20": "covar_samp(close, volume) OVER w20",
     "corr20": "CASE WHEN count(close) OVER w20 > 1 AND stddev_samp(close) OVER w20 > 2e-5 AND stddev_samp(volume) OVER w20 > 2e-5 THEN corr(close, volume) OVER w20 END",
@@ -197,7 +211,7 @@ def _(s, d):
 def _(s, d):
     p = bars_h(s, d)
     holes = p.df.select("instrument", "datetime", F.when(F.col("close") > 25, F.col("close")).alias("close"))
-    return rounded(R.fill_limit(Panel(holes, p.sized_by), ["close"], 2))
+    return rounded(R.fill_limit(Panel(holes), ["close"], 2))
 
 
 @query("gap_counts", sql("""SELECT instrument, CAST(sum(CASE WHEN g > 3600000000 THEN g // 3600000000 - 1 ELSE 0 END) AS BIGINT) AS gaps FROM

@@ -126,7 +126,7 @@ def _with_change(s, d):
     b = bars_h(s, d)
     hole = F.col("volume") % 7 < 1
     return Panel(features(b, {"close": CL, "volume": E.field("volume"), "change": CL / E.ref(CL, 1) - 1})
-                 .withColumn("close", F.when(~hole, F.col("close"))), b.sized_by)
+                 .withColumn("close", F.when(~hole, F.col("close"))))
 
 
 CHG = """chg AS (SELECT instrument, datetime, CASE WHEN volume % 7 >= 1 THEN close END AS close,

@@ -59,15 +59,27 @@ def append_facts(stored: DataFrame, new: DataFrame) -> DataFrame:
     return stored.unionByName(fresh)
 
 
-def save_partitioned(df: DataFrame, path: str, interval: str, symbol: str = "instrument") -> DataFrame:
-    """Write by symbol, interval and date; return the manifest (range and rows per symbol and interval)."""
+def save_partitioned(df: DataFrame, path: str, interval: str, symbol: str = "instrument", by_symbol: bool = True) -> DataFrame:
+    """Write by symbol, interval and date; return the manifest (range and rows per symbol and interval).
+
+    With many symbols that makes many small files: ``by_symbol=False`` writes by interval and date only, with the rows
+    of a symbol next to each other.
+    """
     out = df.withColumn("symbol", F.regexp_replace(symbol, "/", "-")).withColumn("interval", F.lit(interval)) \
             .withColumn("date", F.to_date("datetime"))
-    out.repartition("symbol", "date").sortWithinPartitions("symbol", "date", "datetime").write.mode("overwrite") \
-        .partitionBy("symbol", "interval", "date").parquet(path)
+    if by_symbol:
+        laid, folders = out.repartition("symbol", "date").sortWithinPartitions("symbol", "date", "datetime"), ["symbol", "interval", "date"]
+    else:
+        laid, folders = out.repartitionByRange("date", "symbol").sortWithinPartitions("date", "symbol", "datetime"), ["interval", "date"]
+    laid.write.mode("overwrite").partitionBy(*folders).parquet(path)
     return manifest(out)
 
 
+def read_partitioned(spark: SparkSession, path: str, columns: str) -> DataFrame:
+    """What :func:`save_partitioned` wrote; folder names such as 1d are text, not numbers."""
+    return spark.read.schema(f"{columns}, symbol string, interval string, date date").parquet(path)
+
+
 def manifest(df: DataFrame) -> DataFrame:
     return df.groupBy("symbol", "interval").agg(F.min("datetime").alias("start_timestamp"), F.max("datetime").alias("end_timestamp"),
                                                 F.count(F.lit(1)).alias("row_count"))

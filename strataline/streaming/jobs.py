@@ -64,11 +64,16 @@ def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"
 
 
 def refresh_dates(bars: Panel, exprs: dict[str, E.Expr], changed: DataFrame, lookahead_days: int) -> DataFrame:
-    """Feature rows of the dates that changed bars can influence, recomputed from full history."""
+    """Feature rows of the dates that changed bars can influence, recomputed from full history.
+
+    A changed bar reaches ``lookahead_days`` ahead; through accumulators (exponential means, fills, windows from the
+    first row) it reaches every later date.
+    """
     lo, hi = changed.agg(F.min("datetime"), F.max("datetime")).first()
-    out = features(bars, exprs)
-    upper = F.lit(hi) + F.expr(f"INTERVAL {lookahead_days} DAYS")
-    return out.where((F.col("datetime") >= F.date_trunc("day", F.lit(lo))) & (F.to_date("datetime") <= F.to_date(upper)))
+    out = features(bars, exprs).where(F.col("datetime") >= F.date_trunc("day", F.lit(lo)))
+    if any(e.unbounded for e in exprs.values()):
+        return out
+    return out.where(F.to_date("datetime") <= F.to_date(F.lit(hi) + F.expr(f"INTERVAL {lookahead_days} DAYS")))
 
 
 def refresh_stream(changes: DataFrame, bars: Callable[[], Panel], exprs: dict[str, E.Expr], path: str, checkpoint: str, lookahead_days: int):

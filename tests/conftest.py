@@ -9,11 +9,12 @@ sys.path.insert(0, os.path.join(ROOT, "tools"))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
     s = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
          .config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC")
+         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints")))
          .config("spark.python.sql.dataFrameDebugging.enabled", "false").getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     yield s
@@ -27,7 +28,9 @@ def sf():
 
 @pytest.fixture
 def tiny_tasks(spark):
-    """Pretend a task can only take 60 rows, so every group counts as hot."""
+    """The skew-proof form, in blocks of 60 rows."""
     spark.conf.set("strataline.maxRowsPerTask", "60")
+    spark.conf.set("strataline.skewProof", "true")
     yield
     spark.conf.unset("strataline.maxRowsPerTask")
+    spark.conf.unset("strataline.skewProof")

@@ -36,10 +36,12 @@ def same(spark, make):
     spark.conf.unset("strataline.maxRowsPerTask")
     want = rows(make())
     spark.conf.set("strataline.maxRowsPerTask", "60")
+    spark.conf.set("strataline.skewProof", "true")
     try:
         got = rows(make())
     finally:
         spark.conf.unset("strataline.maxRowsPerTask")
+        spark.conf.unset("strataline.skewProof")
     pd.testing.assert_frame_equal(got, want, check_dtype=False, rtol=1e-9)
 
 
