@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataline.llm.common import settle
+
 FOLDER = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 BLOCK = 256   # lengths per block of the suffix sums
@@ -59,6 +61,7 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
 
     Blocks of lengths are summed first, so no window runs over more rows than there are blocks.
     """
+    hist = settle(hist)   # texts are encoded once
     h = hist.withColumn("__block", F.floor(F.col("length") / BLOCK)).withColumn("__tokens", F.col("length") * F.col("n_docs"))
     blocks = h.groupBy("__block").agg(F.sum("n_docs").alias("__d"), F.sum("__tokens").alias("__t"))
     after = Window.orderBy(F.desc("__block")).rowsBetween(Window.unboundedPreceding, -1)
