@@ -18,6 +18,7 @@ the smallest is sought; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -107,56 +108,73 @@ def sketch(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, __row binary, n_shingles long, node binary, bands array<long>")
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, set of the wanted (__row, node): texts are read again only for documents that are in a bucket with others."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def packed_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, z (the packed text) of the wanted (__row, node): a packed text is a third of its shingle hashes."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = list(shingle_sets(batch.column(1)))
-            at = np.concatenate(([0], np.cumsum([len(u) for u in sets]))).astype(np.int32)
-            flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["node", "set"])
+            x, offsets = raw(batch.column(1))
+            buf = memoryview(x)
+            z = [zlib.compress(buf[a:b], 4) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z, pa.binary())], ["__row", "z"])
+
+    rows = docs.select(F.unhex(row_digest("doc_id", "text")).alias("__row"), F.col("text").cast("string")).mapInArrow(pack, "__row binary, z binary")
+    once = rows.groupBy("__row").agg(F.first("z").alias("z"))   # repeated rows meet map-side
+    return once.join(wanted, "__row").select("node", "z")
+
 
-    texts = docs.select(F.unhex(row_digest("doc_id", "text")).alias("__row"), F.col("text").cast("string").alias("text")).join(wanted, "__row")
-    sets = texts.select("node", "text").mapInArrow(run, "node binary, set array<long>")
-    return sets.dropDuplicates(["node"])   # rows may be repeated
+def _unpacked(z: pa.Array) -> Iterator[np.ndarray]:
+    """The shingle sets of packed texts; a run of the same text is worked on once."""
+    last, held = None, None
+    for v in z:
+        b = v.as_buffer().to_pybytes()
+        if b != last:
+            last, held = b, next(shingle_sets(pa.array([zlib.decompress(b).decode()])))
+        yield held
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets have 100 * intersection >= percent * union."""
-    both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
-            .join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b"))
-    common = F.size(F.array_intersect("x", "y")).cast("long")
-    return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(_unpacked(batch.column(2)), _unpacked(batch.column(3))):
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(100 * common >= percent * (len(x) + len(y) - common))
+            kept = batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+            yield kept
+
+    both = (pairs.join(texts.select(F.col("node").alias("a"), F.col("z").alias("x")), "a")
+            .join(texts.select(F.col("node").alias("b"), F.col("z").alias("y")), "b"))
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, root of every node of the links (a, b): alternating large and small stars until nothing changes."""
-    def stamp(e):
-        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    """node, root of every node of the links (a, b): alternating large and small stars until all edges are stars."""
+    def unfinished(e):
+        ends = e.select(F.col("a").alias("x"), F.lit(1).alias("child"), F.lit(0).alias("root")).union(e.select("b", F.lit(0), F.lit(1)))
+        return not ends.groupBy("x").agg(F.sum("child").alias("child"), F.max("root").alias("root")).where("child + root > 1").isEmpty()
 
     e = settle(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
-    seen = stamp(e)
-    while seen[0]:
-        both = e.union(e.select("b", "a")).toDF("u", "v")
+    while unfinished(e):   # a node has two parents, or is a parent and has one
+        both = e.select(F.inline(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a != b")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = settle(small.union(least.toDF("a", "b")).distinct())
-        now = stamp(e)
-        if now == seen:
-            break
-        seen = now
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select("b", "b")).distinct()
 
 
-def shared_sizes(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Per node of the members: n, the size of its set, and shared, how many of its shingles another member has too."""
-    own = sets.join(members.select("node").distinct(), "node", "left_semi")
-    lone = own.select("node", F.explode("set").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("node")).where("k = 1")
-    lone = lone.groupBy("node").agg(F.count(F.lit(1)).alias("lone"))
-    return own.select("node", F.size("set").cast("long").alias("n")).join(lone, "node", "left").select(
-        "node", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("shared"))
+def lone_shingles(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """node, lone: how many of a node's shingles no other of the nodes has."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, u in enumerate(_unpacked(batch.column(1))):
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(u), i))), pa.array(u.view(np.int64))], ["node", "h"])
+
+    own = texts.join(nodes, "node", "left_semi").mapInArrow(run, "node binary, h long")
+    once = own.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("node")).where("k = 1")
+    return once.groupBy("node").agg(F.count(F.lit(1)).alias("lone"))
 
 
 def still_open(members: DataFrame, percent: int) -> DataFrame:
@@ -172,22 +190,27 @@ def still_open(members: DataFrame, percent: int) -> DataFrame:
 
 def group_roots(docs: DataFrame, sketches: DataFrame, percent: int = PERCENT) -> DataFrame:
     """node, root of every node that is linked with another."""
-    nodes = sketches.where("n_shingles > 0").groupBy("node").agg(F.first("bands").alias("bands"), F.min("__row").alias("__row"))
-    nodes = nodes.select("node", "__row", F.explode("bands").alias("key"))
-    shared = settle(nodes.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))   # a join can then split a large key
-    members = settle(nodes.join(shared, "key"))
-    rank = members.groupBy("node", "__row").agg(F.sum("size").alias("score"))
-    sets = settle(full_sets(docs, rank.select("node", "__row")))
-    # every member has a label of its own at first, and one hub is found by partial maxima
-    members = members.select("key", "node").join(rank.select("node", "score"), "node").withColumn("label", F.col("node"))
-    hubs = settle(members.groupBy("key").agg(F.max(F.struct("score", "node")).alias("top")).select("key", F.col("top.node").alias("hub")))
-    pairs = settle(_pairs(members.join(hubs, "key").where("node != hub")))
-    stars, tested, n_hubs = components(confirm(pairs, sets, percent)), [pairs], 1
-    rest = _relabel(members, hubs, stars)
-    members = settle(_mixed(rest))
-    members = members.join(settle(shared_sizes(members, sets)), "node")
+    nodes = settle(sketches.where("n_shingles > 0").groupBy("node").agg(
+        F.first("bands").alias("bands"), F.min("__row").alias("__row"), F.first("n_shingles").alias("n")))
+    keyed = nodes.select("node", F.explode("bands").alias("key"))
+    shared = settle(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))   # a join can then split a large key
+    members = settle(keyed.join(shared, "key"))
+    rank = members.groupBy("node").agg(F.sum("size").alias("score")).join(nodes.select("node", "__row", "n"), "node")
+    rank = settle(rank)
+    texts = settle(packed_texts(docs, rank.select("node", "__row")))
+    # every member is in a component of its own at first, and one hub is found by partial maxima
+    members = members.select("key", "node").join(rank.select("node", "score", "n"), "node")
+    hubs = members.groupBy("key").agg(F.max(F.struct("score", "node")).alias("top")).select("key", F.col("top.node").alias("hub"))
+    members = settle(members.join(settle(hubs), "key").where("node != hub"))
+    tested, n_hubs = [settle(_pairs(members))], 1
+    stars = components(confirm(tested[0], texts, percent))
+    # on with the buckets whose other members are in more than one component
+    members = settle(_mixed(_labelled(members.drop("hub"), stars)))
+    if members.isEmpty():
+        return stars
+    lone = lone_shingles(members.select("node").distinct(), texts)
+    members = members.join(lone, "node", "left").withColumn("shared", F.col("n") - F.coalesce("lone", F.lit(0))).drop("lone")
     while True:
-        # on with the buckets whose other members are in more than one component
         members = settle(still_open(members, percent))
         if members.isEmpty():
             return stars
@@ -200,25 +223,24 @@ def group_roots(docs: DataFrame, sketches: DataFrame, percent: int = PERCENT) ->
         both = F.least("shared", "hub_shared")
         near = members.join(hubs, (members["key"] == hubs["key"]) & (F.col("label") != F.col("hub_label"))
                             & (100 * both >= percent * (F.col("n") + F.col("hub_n") - both)))
-        pairs = settle(_pairs(near).join(reduce(DataFrame.union, tested), ["a", "b"], "left_anti"))
-        tested.append(pairs)
-        new = settle(confirm(pairs, sets, percent))
+        tested.append(settle(_pairs(near).join(reduce(DataFrame.union, tested), ["a", "b"], "left_anti")))
+        new = settle(confirm(tested[-1], texts, percent))
         if not new.isEmpty():
             stars = components(new.union(stars.toDF("a", "b")))
-        members = _relabel(members, hubs, stars)
+        rest = members.drop("label").join(hubs.select("key", F.col("hub").alias("node")), ["key", "node"], "left_anti")
+        members = _labelled(rest, stars)
 
 
 def _pairs(near: DataFrame) -> DataFrame:
     return near.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
 
 
-def _relabel(members: DataFrame, hubs: DataFrame, stars: DataFrame) -> DataFrame:
-    """The members that were not hubs, labelled by their components."""
-    rest = members.drop("label").join(hubs.select("key", F.col("hub").alias("node")), ["key", "node"], "left_anti")
-    return rest.join(stars, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+def _labelled(members: DataFrame, stars: DataFrame) -> DataFrame:
+    return members.join(stars, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
 
 
 def _mixed(members: DataFrame) -> DataFrame:
+    """The members of buckets that hold more than one component."""
     mixed = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
     return members.join(mixed, "key", "left_semi")
 
