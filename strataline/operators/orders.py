@@ -79,8 +79,9 @@ def trend(panel: Panel, fast: int = 10, slow: int = 20) -> DataFrame:
 
 
 def sample_orders(candidates: DataFrame, fraction: float, seed: int, amount: Column) -> DataFrame:
-    """Random order list per step, reproducible: a row is taken by the hash of its key and the seed."""
-    u = F.pmod(F.xxhash64("instrument", "datetime", F.lit(seed)), F.lit(1_000_000)) / 1_000_000
+    """Random order list per step, reproducible on any engine: a row is taken by the digest of its key and the seed."""
+    key = F.concat_ws("|", "instrument", F.unix_seconds(F.col("datetime").cast("timestamp")).cast("string"), F.lit(str(seed)))
+    u = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") / float(1 << 32)
     return candidates.where(u < fraction).withColumn("amount", amount)
 
 

@@ -16,13 +16,18 @@ WINDOWS = (5, 10, 20, 30, 60)
 def kbar() -> dict[str, Expr]:
     """Shape of the bar: body, range, shadows and balance, over open and over range."""
     top, bottom, span = E.greater(O, C), E.less(O, C), H - L + TINY
-    shapes = {"MID": C - O, "UP": H - top, "LOW": bottom - L, "SFT": 2 * C - H - L}
-    out = {}
-    for name, v in shapes.items():
-        out[f"K{name}"], out[f"K{name}2"] = v / O, v / span
-        if name == "MID":
-            out["KLEN"] = (H - L) / O
-    return out
+    # fixed values: names and formulas of the published set
+    return {
+        "KMID": (C - O) / O,
+        "KLEN": (H - L) / O,
+        "KMID2": (C - O) / span,
+        "KUP": (H - top) / O,
+        "KUP2": (H - top) / span,
+        "KLOW": (bottom - L) / O,
+        "KLOW2": (bottom - L) / span,
+        "KSFT": (2 * C - H - L) / O,
+        "KSFT2": (2 * C - H - L) / span,
+    }
 
 
 def _up_down(x):
@@ -41,7 +46,7 @@ def _moves(n):
     return E.abs_(C / E.ref(C, 1) - 1) * V
 
 
-# family -> (column prefix, factor for a window)
+# fixed values, the published families: family -> (column prefix, factor for a window)
 ROLLING = {
     "ROC": ("ROC", lambda n: E.ref(C, n) / C),
     "MA": ("MA", lambda n: E.mean(C, n) / C),
@@ -216,6 +221,7 @@ def crypto_alphas(groups=("price", "volume", "momentum", "volatility")) -> dict[
     d7 = E.delta(C, 7)
     prev = E.ref(C, 1)
     true_range = E.greater(H - L, E.greater(E.abs_(H - prev), E.abs_(L - prev)))
+    # fixed values: names and formulas of the published alphas
     every = {
         "price": {
             "alpha001": rk(_full(E.idxmax, shocked, 5) - 1) - 0.5,

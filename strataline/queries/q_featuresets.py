@@ -8,7 +8,7 @@ from strataline.operators import orderbook as B
 from strataline.plans import expr as E
 from strataline.plans import featuresets as FS
 from strataline.plans.evaluate import Panel, features, on_instrument
-from strataline.queries.common import bars_d, bars_h, query, r, rounded, rq, sql, supp_d, table, ticks
+from strataline.queries.common import ORACLE, bars_d, bars_h, query, r, rounded, rq, sql, supp_d, table, ticks
 
 EPS = "1e-12"
 
@@ -87,6 +87,11 @@ def _(s, d):
     return rounded(features(bars_h(s, d), FS.factors158()), n=4)
 
 
+@query("factors158_daily_suppliers", factor_query("supp_d"))
+def _(s, d):
+    return rounded(features(supp_d(s, d), FS.factors158()), n=4)
+
+
 FAST = ("ROC", "MA", "STD", "BETA", "MAX", "LOW", "RSV", "CNTP", "SUMP", "VMA", "VSTD")
 
 
@@ -309,29 +314,34 @@ POSED = "posed AS (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY
     {rq('CASE WHEN count(*) OVER w96 = 96 THEN volume / avg(volume) OVER w96 END', 5)} AS volume_ratio,
     {rq('CASE WHEN count(*) OVER w5 = 5 THEN avg(close) OVER w5 END', 5)} AS bb_middle,
     {rq('CASE WHEN count(*) OVER w5 = 5 THEN avg(close) OVER w5 + 2 * stddev_pop(close) OVER w5 END', 5)} AS bb_upper,
+    {rq('CASE WHEN count(*) OVER w5 = 5 THEN avg(close) OVER w5 - 2 * stddev_pop(close) OVER w5 END', 5)} AS bb_lower,
     coalesce(lead(ret) OVER w > 0, false) AS target FROM (SELECT *, close / lag(close) OVER (PARTITION BY instrument ORDER BY datetime) - 1 AS ret FROM bars_h)
     WINDOW w AS (PARTITION BY instrument ORDER BY datetime), {window_defs((5, 96))}""", "bars_h"))
 def _(s, d):
     every = FS.crypto_technical()
-    names = ("returns", "log_returns", "volatility", "volume_ma", "volume_std", "volume_ratio", "bb_middle", "bb_upper", "target")
+    names = ("returns", "log_returns", "volatility", "volume_ma", "volume_std", "volume_ratio", "bb_middle", "bb_upper", "bb_lower", "target")
     df = features(bars_h(s, d), {k: every[k] for k in names})
     return df.select("instrument", "datetime", *[r(k, 4 if k in ("volume_ma", "volume_std") else 5).alias(k) for k in names if k != "target"], "target")
 
 
-def _ema_of(col, decay, alias):
+def _ema_of(col, decay, alias, base="base"):
     return f"""(SELECT p.instrument, p.pos, sum(b.{col} * pow({decay}, p.pos - b.pos)) / sum(pow({decay}, p.pos - b.pos)) AS {alias}
-        FROM base p JOIN base b ON b.instrument = p.instrument AND b.pos <= p.pos AND b.{col} IS NOT NULL GROUP BY 1, 2)"""
+        FROM {base} p JOIN {base} b ON b.instrument = p.instrument AND b.pos <= p.pos AND b.{col} IS NOT NULL GROUP BY 1, 2)"""
 
 
 @query("technical_crypto_ema", sql(f"""SELECT b.instrument, b.datetime, {rq('CASE WHEN l.v > 0 THEN 100 - 100 / (1 + g.v / l.v) WHEN g.v > 0 THEN 100 END', 4)} AS rsi,
-    {rq('f.v - s.v', 5)} AS macd FROM base b LEFT JOIN {_ema_of('gain', '(1 - 1.0 / 14)', 'v')} g USING (instrument, pos) LEFT JOIN {_ema_of('loss', '(1 - 1.0 / 14)', 'v')} l USING (instrument, pos)
-    JOIN {_ema_of('close', '(1 - 2.0 / 13)', 'v')} f USING (instrument, pos) JOIN {_ema_of('close', '(1 - 2.0 / 27)', 'v')} s USING (instrument, pos)""", "bars_h", POSED,
+    {rq('b.macd', 5)} AS macd, {rq('m.v', 5)} AS macd_signal, {rq('e.v', 5)} AS ema_12, {rq('h.v', 5)} AS ema_24 FROM md b LEFT JOIN {_ema_of('gain', '(1 - 1.0 / 14)', 'v')} g USING (instrument, pos) LEFT JOIN {_ema_of('loss', '(1 - 1.0 / 14)', 'v')} l USING (instrument, pos)
+    JOIN {_ema_of('macd', '(1 - 2.0 / 10)', 'v', 'md')} m USING (instrument, pos) JOIN {_ema_of('close', '(1 - 2.0 / 49)', 'v')} e USING (instrument, pos)
+    JOIN {_ema_of('close', '(1 - 2.0 / 97)', 'v')} h USING (instrument, pos)""", "bars_h", POSED,
     """base AS (SELECT *, CASE WHEN d IS NOT NULL THEN greatest(d, 0) END AS gain, CASE WHEN d IS NOT NULL THEN greatest(-d, 0) END AS loss FROM
-       (SELECT *, close - lag(close) OVER (PARTITION BY instrument ORDER BY datetime) AS d FROM posed))"""))
+       (SELECT *, close - lag(close) OVER (PARTITION BY instrument ORDER BY datetime) AS d FROM posed))""",
+    f"""md AS (SELECT b.*, f.v - s.v AS macd FROM base b JOIN {_ema_of('close', '(1 - 2.0 / 13)', 'v')} f USING (instrument, pos)
+       JOIN {_ema_of('close', '(1 - 2.0 / 27)', 'v')} s USING (instrument, pos))"""))
 def _(s, d):
     every = FS.crypto_technical()
-    df = features(bars_h(s, d), {k: every[k] for k in ("rsi", "macd")})
-    return df.select("instrument", "datetime", r("rsi", 4).alias("rsi"), r("macd", 5).alias("macd"))
+    names = ("rsi", "macd", "macd_signal", "ema_12", "ema_24")
+    df = features(bars_h(s, d), {k: every[k] for k in names})
+    return df.select("instrument", "datetime", *[r(k, 4 if k == "rsi" else 5).alias(k) for k in names])
 
 
 def _pct(c, part="instrument"):
@@ -361,7 +371,40 @@ def _(s, d):
     return rounded(features(bars_h(s, d), {k: every[k] for k in names}))
 
 
-@query("alphas_all")
+def _place(value, window):
+    return f"(len(list_filter({window}, lambda v: v < {value})) + (len(list_filter({window}, lambda v: v = {value})) + 1) / 2.0) / len({window})"
+
+
+def _full_corr(a, b, n):
+    return f"CASE WHEN count(CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN 1 END) OVER w{n} = {n} AND {FLAT.format(a, n)} AND {FLAT.format(b, n)} THEN corr({a}, {b}) OVER w{n} END"
+
+
+def _recursive_ema(span, alias):
+    a = f"(2.0 / {span + 1})"
+    return f"""(SELECT p.instrument, p.pos, sum(b.close * CASE WHEN b.pos = 1 THEN 1 ELSE {a} END * pow(1 - {a}, p.pos - b.pos)) AS {alias}
+        FROM posed p JOIN posed b ON b.instrument = p.instrument AND b.pos <= p.pos GROUP BY 1, 2)"""
+
+
+W = "(PARTITION BY instrument ORDER BY datetime)"
+OTHER_ALPHAS = sql(f"""SELECT instrument, datetime, {rq('(' + _pct('x001') + ') - 0.5')} AS alpha001, {rq('-c002')} AS alpha002, {rq('-c003')} AS alpha003,
+    {rq('-(' + 'CASE WHEN n9 = 9 THEN ' + _place('r_l', 'll9') + ' END)')} AS alpha004, {rq('r_ot * -abs(r_ct)')} AS alpha005,
+    {rq('CASE WHEN m20v < volume THEN -(CASE WHEN n7 = 10 THEN ' + _place('abs(d7)', 'l7') + ' END) * sign(d7) ELSE -1 END')} AS alpha102, {rq('c104')} AS alpha104,
+    {rq(_pct('rsi'))} AS alpha201, {rq(_pct('macd'))} AS alpha202, {rq('CASE WHEN nsd = 10 THEN ' + _place('s20', 'lsd') + ' END')} AS alpha304
+    FROM (SELECT *, CASE WHEN n5 = 5 THEN list_position(ls, list_max(ls)) - 1 END AS x001 FROM (SELECT *, list(sh) OVER w5 AS ls, count(sh) OVER w5 AS n5, list(r_l) OVER w9 AS ll9, count(r_l) OVER w9 AS n9,
+       list(s20) OVER w10 AS lsd, count(s20) OVER w10 AS nsd, {_full_corr('r_lv', 'r_co', 6)} AS c002, {_full_corr('r_h', 'r_v', 5)} AS c003, {_full_corr('vc5', 'cc5', 10)} AS c104
+      FROM (SELECT *, pow(CASE WHEN ret < 0 THEN sr ELSE close END, 2) AS sh, {_pct('lv2')} AS r_lv, {_pct('co')} AS r_co, {_pct('high')} AS r_h, {_pct('volume')} AS r_v, {_pct('low')} AS r_l,
+         {_pct('ct')} AS r_ct, {_pct('ot')} AS r_ot, CASE WHEN n14 = 14 AND l14 > 0 THEN 100 - 100 / (1 + g14 / l14) WHEN n14 = 14 AND g14 > 0 THEN 100 END AS rsi
+        FROM (SELECT *, CASE WHEN count(ret) OVER w20 = 20 THEN stddev_samp(ret) OVER w20 END AS sr, CASE WHEN count(*) OVER w20 = 20 THEN avg(volume) OVER w20 END AS m20v,
+           CASE WHEN count(*) OVER w20 = 20 THEN stddev_samp(close) OVER w20 END AS s20, open - CASE WHEN count(*) OVER w10 = 10 THEN sum(tp) OVER w10 END / 10 AS ot, close - tp AS ct,
+           list(abs(d7)) OVER w10 AS l7, count(d7) OVER w10 AS n7, count(*) OVER w14 AS n14, avg(CASE WHEN dl > 0 THEN dl ELSE 0 END) OVER w14 AS g14, avg(CASE WHEN dl < 0 THEN -dl ELSE 0 END) OVER w14 AS l14
+          FROM (SELECT p.*, f.v - s.v AS macd, close / lag(close) OVER {W} - 1 AS ret, close - lag(close) OVER {W} AS dl, close - lag(close, 7) OVER {W} AS d7, ln(volume) - ln(lag(volume, 2) OVER {W}) AS lv2,
+             (close - open) / open AS co, (high + low + close) / 3 AS tp, volume / lag(volume, 5) OVER {W} - 1 AS vc5, close / lag(close, 5) OVER {W} - 1 AS cc5
+            FROM posed p JOIN {_recursive_ema(12, 'v')} f USING (instrument, pos) JOIN {_recursive_ema(26, 'v')} s USING (instrument, pos))
+          WINDOW {window_defs((10, 14, 20))}))
+      WINDOW {window_defs((5, 6, 9, 10))}))""", "bars_h", POSED)
+
+
+@query("alphas_all", f"SELECT * FROM ({ORACLE['alphas_price_volume']}) JOIN ({OTHER_ALPHAS}) USING (instrument, datetime)")
 def _(s, d):
     return rounded(features(bars_h(s, d), FS.crypto_alphas()))
 

@@ -99,7 +99,8 @@ def _(s, d):
     return O.trend(bars_h(s, d)).select("instrument", "datetime", "trend")
 
 
-@query("sampled_orders")
+@query("sampled_orders", sql("""SELECT instrument, datetime, 100.0::DOUBLE AS amount FROM supp_m
+    WHERE CAST('0x' || substr(md5(instrument || '|' || CAST(epoch(datetime) AS BIGINT) || '|7'), 1, 8) AS BIGINT) / 4294967296.0 < 0.1""", "supp_m"))
 def _(s, d):
     b = supp_m(s, d).df.select("instrument", "datetime", "volume")
     return O.sample_orders(b, 0.1, 7, F.lit(100.0)).select("instrument", "datetime", "amount")
