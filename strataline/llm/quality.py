@@ -18,6 +18,7 @@ from strataline.llm.common import WORD, packed, row_digest, settle, words
 
 SHARE = 0.03      # a line above this share of a host's distinct documents is boilerplate ...
 LEAST = 20        # ... if it stands in more than this many of them
+BROADCAST_KEYS = 1 << 16   # frequent lines (8 bytes each) up to which they go to all tasks; more are joined by key
 MIN_WORDS = 50
 MAX_REPEATED = 50  # per cent of the words that may lie in repeated three-word windows
 
@@ -38,7 +39,7 @@ def text_features(docs: DataFrame, keep: list[str]) -> DataFrame:
     Each step is a projection of its own, so that no array is computed twice.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    a = docs.select(*keep, F.xxhash64("source").alias("__host"), row_digest("text").alias("__digest"), text.alias("__text"),
+    a = docs.select(*keep, F.xxhash64("source").alias("__host"), F.unhex(row_digest("text")).alias("__digest"), text.alias("__text"),
                     words("text").alias("__w"), normal_lines(text).alias("__n"),
                     F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD)).alias("__l"))
     n = F.size("__w")
@@ -77,8 +78,9 @@ def frequent_lines(features: DataFrame, share: float = SHARE, least: int = LEAST
     hosts = distinct.groupBy("__host").agg(F.count(F.lit(1)).alias("__docs"))
     counts = (distinct.select("__host", F.explode(F.array_distinct("__keys")).alias("key")).groupBy("key")
               .agg(F.count(F.lit(1)).alias("__n"), F.max("__host").alias("__host")).where(F.col("__n") > least))
-    # settled, so that a line that most documents share can be split in the join
-    return settle(counts.join(hosts, "__host").where(F.col("__n") > F.lit(share) * F.col("__docs")).select("key"))
+    # settled: their number is known, and a join can split a line that most documents share
+    frequent = settle(counts.join(hosts, "__host").where(F.col("__n") > F.lit(share) * F.col("__docs")).select("key"))
+    return F.broadcast(frequent) if frequent.count() <= BROADCAST_KEYS else frequent
 
 
 def lost_lines(features: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
@@ -101,7 +103,7 @@ def keep_documents(docs: DataFrame, share: float = SHARE, least: int = LEAST) ->
     """The documents that pass, without their frequent lines, in the columns of ``docs``; n_chars, if any, is recounted."""
     features = settle(text_features(docs, []))
     passed = verdicts(features, share, least).where("kept").select("__host", "__digest", "__frequent").dropDuplicates(["__host", "__digest"])
-    rows = packed(docs, F.xxhash64("source").alias("__host"), row_digest("text").alias("__digest"), F.col("text").alias("__text"))
+    rows = packed(docs, F.xxhash64("source").alias("__host"), F.unhex(row_digest("text")).alias("__digest"), F.col("text").alias("__text"))
     rows = rows.join(passed, ["__host", "__digest"]).withColumn("__n", F.when(F.col("__frequent").isNotNull(), normal_lines(F.col("__text"))))
     left = F.array_join(F.filter(F.split("__text", "\n", -1), lambda x, i: ~F.array_contains(
         "__frequent", F.xxhash64("__host", F.trim(F.get("__n", i))))), "\n")
