@@ -1,7 +1,7 @@
 """Toxicity by maximum-scoring segments.
 
-Every token has a score, its log-odds between toxic and clean documents under a Dirichlet prior in proportion to the
-token's overall frequency.  A word that is not significant by itself takes the log-odds of its longest significant
+Every token has a score, its log-odds between toxic and clean documents (counted once per document) under a Dirichlet
+prior in proportion to the token's overall frequency.  A word that is not significant by itself takes the log-odds of its longest significant
 beginning (compounds and inflected forms are too rare to learn one by one); what is not significant at all counts as
 nothing, and a small drift is taken off, so that a clean text scores downhill.  A linear scan (Ruzzo and Tompa) finds all maximal-scoring segments of a text.  By
 extreme-value theory the best segment of a clean text of n tokens has lambda * score - ln(K n) distributed by Gumbel's
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +33,10 @@ from strataline.llm.tokens import PUNCTUATION, chunks, raw, word_hashes
 
 SAMPLE = 20_000    # labelled rows that the fit uses at most
 TABLE = 1 << 20    # cells of the token table
-LEAST_SEEN = 5     # words behind a score at least
+LEAST_SEEN = 5     # documents behind a score at least
 BEGINNINGS = (6, 5, 4)   # bytes of the word beginnings that back a word up, longest first
 PRIOR = 1000.0     # tokens that the prior is worth
-LEAST_Z = 2.5      # standard errors from which a token's log-odds count
+CHANCE = 10        # tokens that may pass as significant by chance, however many there are
 DRIFT = 0.05
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 3, 1
@@ -72,11 +73,14 @@ def token_rows(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
 
 
 def word_scores(table: np.ndarray, cell: np.ndarray) -> np.ndarray:
-    """The scores of words: their own, or else that of the longest beginning that has one."""
+    """The scores of words: their own, or else that of the longest beginning that has one.  Only the first of equal
+    words can score, so that one word over and over is not a passage."""
     score = table[cell[0]]
     for c in cell[1:]:
         score = np.where(score == 0, table[c], score)
-    return score - DRIFT
+    again = np.ones(len(score), bool)
+    again[np.unique(cell[0], return_index=True)[1]] = False
+    return np.where(again, np.minimum(score, 0), score) - DRIFT
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -136,8 +140,9 @@ def token_scores(rows: DataFrame) -> np.ndarray:
         n = np.zeros(2, np.int64)
         for batch in batches:
             for toxic, (cell, _, _) in zip(batch.column(1).to_pylist(), token_rows(batch.column(0))):
-                n[int(toxic > 0)] += cell.shape[1]
-                np.add.at(both[int(toxic > 0)], np.concatenate([cell[0], *(c[c != p] for p, c in zip(cell, cell[1:]))]), 1)
+                # once per document: a word repeated in one toxic document says nothing about others
+                n[int(toxic > 0)] += len(np.unique(cell[0]))
+                both[int(toxic > 0), np.unique(cell)] += 1
         at = np.flatnonzero(both.sum(0))
         cols = [np.append(at, -1), np.append(both[0, at], n[0]), np.append(both[1, at], n[1])]   # cell -1: all words
         yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], ["cell", "clean", "toxic"])
@@ -153,7 +158,8 @@ def token_scores(rows: DataFrame) -> np.ndarray:
     t, c = t + prior, c + prior
     odds = np.log(t / np.maximum(n_toxic + PRIOR - t, 1e-9)) - np.log(c / np.maximum(n_clean + PRIOR - c, 1e-9))
     table = np.zeros(TABLE, np.float32)
-    table[cell.astype(np.int64)] = np.where(np.abs(odds / np.sqrt(1 / t + 1 / c)) >= LEAST_Z, odds, 0.0)
+    least_z = NormalDist().inv_cdf(1 - min(0.5, CHANCE / max(len(cell), 1)))
+    table[cell.astype(np.int64)] = np.where(np.abs(odds / np.sqrt(1 / t + 1 / c)) >= least_z, odds, 0.0)
     return table
 
 
