@@ -5,10 +5,10 @@ shingles are hashed once and dealt into bins by their leading bits; a bin keeps
 borrows from a bin picked by a hash of (bin, attempt), the same for every document (optimal densification).  Bands of
 bins give bucket keys.  Inside a bucket the candidates form a star around one hub, the document of largest total bucket
 size, so a bucket of n documents gives n - 1 pairs; pairs are confirmed on full sets.  Documents of a bucket that are
-still in different components get new hubs from the smallest components, four times as many each round, until every
-bucket is in one component.  A document leaves a bucket when it has been a hub, or when so many of its shingles are in no
-other open document that none there can reach the threshold with it: no pair of a bucket that could join two components
-is left untested.
+still in different components get new hubs from the smallest components, many more each round, until every
+bucket is in one component.  Before that, pairs that share a rare shingle (one of at most RARE open documents) are tested
+if they can reach the threshold at all; then a document leaves a bucket when it has been a hub, or when it has too few
+frequent shingles to be linked by these alone: no pair of a bucket that could join two components is left untested.
 
 Equal sets are one node, so copies cost nothing.  Defined results: documents without words have an empty set and
 are linked with nothing; equal doc_ids are one identity (smallest doc_id of a component); null doc_ids are ignored when
@@ -34,7 +34,8 @@ WORDS = 5
 PERCENT = 75
 BANDS, ROWS = 32, 4    # a pair at the threshold is missed with probability (1 - 0.75**4)**32, 5 in a million
 BINS = BANDS * ROWS
-MORE_HUBS = 4          # times as many hubs per bucket in the next round
+RARE = 5               # documents up to which a shingle counts as rare
+MORE_HUBS = 16         # times as many hubs per bucket in the next round
 
 _weights = mix(np.arange(1, WORDS + 2, dtype=np.uint64))
 _bounds = (np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1))
@@ -165,23 +166,43 @@ def components(links: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select("b", "b")).distinct()
 
 
-def lone_shingles(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """node, lone: how many of a node's shingles no other of the nodes has."""
+def node_shingles(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """node, h: the shingles of the nodes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, u in enumerate(_unpacked(batch.column(1))):
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(u), i))), pa.array(u.view(np.int64))], ["node", "h"])
 
-    own = texts.join(nodes, "node", "left_semi").mapInArrow(run, "node binary, h long")
-    once = own.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("node")).where("k = 1")
-    return once.groupBy("node").agg(F.count(F.lit(1)).alias("lone"))
+    return texts.join(nodes, "node", "left_semi").mapInArrow(run, "node binary, h long")
+
+
+def rare_shingles(members: DataFrame, texts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of the members' nodes: node, rare (how many of its shingles stand in at most RARE of the nodes); and the pairs
+    (a, b) that share some of these and could reach the threshold.
+
+    Two sets share at most their common rare shingles and the smaller of their numbers of other shingles.
+    """
+    nodes = settle(members.select("node", "n").distinct())
+    shingles = node_shingles(nodes.select("node"), texts)
+    few = settle(shingles.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") <= RARE))
+    held = shingles.join(few, "h")
+    rare = settle(held.groupBy("node").agg(F.count(F.lit(1)).alias("rare")))
+    sizes = nodes.join(rare, "node", "left").select("node", "n", (F.col("n") - F.coalesce("rare", F.lit(0))).alias("other"))
+    # at most RARE nodes a list
+    lists = held.where("k > 1").groupBy("h").agg(F.array_sort(F.collect_list("node")).alias("x"))
+    pairs = lists.select(F.posexplode("x").alias("i", "b"), "x").select("b", F.explode(F.slice("x", F.lit(1), F.col("i"))).alias("a"))
+    pairs = pairs.groupBy("b", "a").agg(F.count(F.lit(1)).alias("common"))
+    side = lambda c: sizes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("other").alias(f"o{c}"))
+    most = F.col("common") + F.least("oa", "ob")
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * most >= percent * (F.col("na") + F.col("nb") - most))
+    return rare, near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
 
 def still_open(members: DataFrame, percent: int) -> DataFrame:
-    """The members that may still join two components: a set that shares too little with any other of its bucket cannot
-    be linked there, and a bucket of one component has nothing left to join.
+    """The members that may still join two components: a set with too few frequent shingles (``shared``) cannot be linked
+    by these in its bucket, and a bucket of one component has nothing left to join.
 
-    Two sets have at most min(shared) shingles in common, and none is smaller than the smallest of the bucket.
+    Two sets have at most min(shared) frequent shingles in common, and none is smaller than the smallest of the bucket.
     """
     least = members.groupBy("key").agg(F.min("n").alias("least"))
     members = members.join(least, "key").where(F.expr(f"100 * shared >= {percent} * (n + greatest(least, shared) - shared)")).drop("least")
@@ -208,8 +229,12 @@ def group_roots(docs: DataFrame, sketches: DataFrame, percent: int = PERCENT) ->
     members = settle(_mixed(_labelled(members.drop("hub"), stars)))
     if members.isEmpty():
         return stars
-    lone = lone_shingles(members.select("node").distinct(), texts)
-    members = members.join(lone, "node", "left").withColumn("shared", F.col("n") - F.coalesce("lone", F.lit(0))).drop("lone")
+    # pairs with rare shingles in common are tested one by one; hubs are for those that only share frequent ones
+    rare, near = rare_shingles(members, texts, percent)
+    tested.append(settle(near.join(tested[0], ["a", "b"], "left_anti")))
+    stars = components(confirm(tested[-1], texts, percent).union(stars.toDF("a", "b")))
+    members = members.join(rare, "node", "left").withColumn("shared", F.col("n") - F.coalesce("rare", F.lit(0))).drop("rare", "label")
+    members = _labelled(members, stars)
     while True:
         members = settle(still_open(members, percent))
         if members.isEmpty():
