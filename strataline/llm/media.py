@@ -2,10 +2,15 @@
 
 An image column holds binary PGM (P5) or PPM (P6) files.  Corners are found on several scales (Harris response,
 strongest of their neighbourhood); each gets an orientation from its intensity centroid and BITS binary comparisons of
-smoothed pixels, turned by that orientation.  A descriptor is cut into TABLES substrings; two descriptors that differ in
-fewer than TABLES bits share at least one of them, so an equality join per table finds the candidates.  Images that
-share substrings of NEEDED corners or more are compared corner by corner, and are copies if at least NEEDED matches
-agree on one rotation, scale and shift.
+smoothed pixels, turned by that orientation.  A descriptor is cut into TABLES substrings, and a query's are also looked up
+with each one of their bits turned, so an equality join per table finds all substrings that differ in one bit at most.
+Images with two such corners, whose whole descriptors differ in FAR bits at most, are compared corner by corner, and are
+copies if at least NEEDED matches agree on one rotation, scale and shift.
+
+Two corners are sure to meet if they differ in fewer than 2 * TABLES bits; of those that differ in d of BITS bits, spread
+evenly, 99.7 % meet at d = 13, 73 % at 26, 36 % at 35 and 8 % at FAR.  A copy is lost only if fewer than two of its
+corners meet.
+The number of corners grows with a picture's area, so that a part of it has as many as a picture of the part's size.
 
 Identical images are one class from the start, so copies cost nothing.  Defined results: null, empty, unreadable and
 very small images have no corners and match nothing; equal rows match alike; ties in response go to the first pixel;
@@ -24,13 +29,15 @@ from pyspark.sql import functions as F
 from strataline.llm.common import settle
 
 SCALES = (1.0, 0.75, 0.5)
-CORNERS = (14, 10, 6)    # per scale
-BITS, TABLES = 256, 4
+CORNERS = (14, 10, 6)    # per scale, in a picture of AREA pixels or fewer
+AREA = 96 * 96
+BITS, TABLES = 256, 8
 REACH = 11               # pixels of the comparisons around a corner
 TURNS = 32               # steps of orientation
 FAR = 48                 # bits in which two matching descriptors may differ
 NEEDED = 5               # matches that must agree
 SLACK = 4.0              # pixels by which an agreeing match may be off
+BLOCK = 2000             # corners looked at together
 
 _pairs = np.random.default_rng(7).normal(0, REACH / 2, (BITS, 2, 2))
 _pairs *= np.minimum(1, (REACH - 0.5) / np.hypot(_pairs[..., 0], _pairs[..., 1]))[..., None]   # within the disc, so turns stay inside
@@ -105,6 +112,7 @@ def corners(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Descriptors (corner, BITS/8 bytes) and places (row, column, log2 of the scale, turn) of an image."""
     found, places = [], []
     for scale, most in zip(SCALES, CORNERS):
+        most = round(most * max(1, x.size / AREA))
         s = resized(x, scale)
         if min(s.shape) < 2 * REACH + 6:
             continue
@@ -153,24 +161,35 @@ def describe(images: DataFrame) -> DataFrame:
                                        F.first("descriptors").alias("descriptors"), F.first("places").alias("places"))
 
 
-def substrings(described: DataFrame, id_: str, side: str) -> DataFrame:
-    """One row per distinct (table, substring) of an image: key, and how many of its corners have it."""
-    step = BITS // 8 // TABLES
-    n = F.octet_length("descriptors") / (BITS // 8)
-    each = described.where(F.octet_length("descriptors") > 0).select(id_, "descriptors", F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))).alias("__k"))
-    each = each.select(id_, "__k", "descriptors", F.explode(F.sequence(F.lit(0), F.lit(TABLES - 1))).alias("__t"))
-    part = F.substring("descriptors", F.col("__k") * (BITS // 8) + F.col("__t") * step + 1, F.lit(step))
-    return each.select(id_, F.concat(F.col("__t").cast("string").cast("binary"), part).alias("key"), F.col("__k").alias(side))
+def substrings(described: DataFrame, id_: str, side: str, near: bool = False) -> DataFrame:
+    """One row per (corner, table) of an image: its id, key and whole descriptor (four longs, named by ``side``); with
+    ``near``, the keys one bit away as well."""
+    turned = np.concatenate(([0], 1 << np.arange(BITS // TABLES))) if near else np.zeros(1, np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d = [v.as_py() for v in batch.column(1)]
+            whole = np.frombuffer(b"".join(d), "<i8").reshape(-1, BITS // 64)
+            parts = whole.view("<u4").astype(np.int64)
+            row = np.repeat(np.arange(len(d)), [len(v) // (BITS // 8) for v in d])
+            for k in range(0, len(row), BLOCK):
+                key = (np.arange(TABLES) << BITS // TABLES)[:, None] | parts[k:k + BLOCK, :, None] ^ turned
+                at = np.repeat(np.arange(k, k + len(key)), key[0].size)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[at])), pa.array(key.ravel()), *(pa.array(v) for v in whole[at].T)], [id_, "key", *names])
+
+    names = [f"{side}{i}" for i in range(BITS // 64)]
+    return described.select(id_, "descriptors").mapInArrow(run, f"{id_} binary, key long, {', '.join(f'{c} long' for c in names)}")
 
 
 def agreeing(da: np.ndarray, pa_: np.ndarray, db: np.ndarray, pb: np.ndarray) -> int:
     """The most matches of two images' corners that agree on one similarity transform."""
     if not len(da) or not len(db):
         return 0
-    far = np.bitwise_count(da[:, None, :] ^ db[None, :, :]).sum(axis=2)
-    i = np.arange(len(da))
-    j = far.argmin(axis=1)
-    i, j = i[far[i, j] <= FAR], j[far[i, j] <= FAR]
+    step = max(1, BLOCK * BLOCK // len(db))
+    each = [np.bitwise_count(da[k:k + step, None, :] ^ db[None, :, :]).sum(axis=2) for k in range(0, len(da), step)]
+    j = np.concatenate([f.argmin(axis=1) for f in each])
+    i = np.flatnonzero(np.concatenate([f.min(axis=1) for f in each]) <= FAR)
+    j = j[i]
     if len(i) < NEEDED:
         return 0
     turn = (pb[j, 3] - pa_[i, 3]) * 2 * np.pi / TURNS
@@ -192,11 +211,13 @@ def find_copies(queries: DataFrame, images: DataFrame) -> DataFrame:
     agreeing (matches) and n_classes (classes that are copies)."""
     index = settle(describe(images))
     asked = settle(describe(queries.withColumnRenamed("query_id", "image_id")))
-    left = substrings(asked.select(F.col("digest").alias("q"), "descriptors"), "q", "i")
-    right = substrings(index.select("digest", "descriptors"), "digest", "j")
-    # corners of the query that share a substring with an image; a pair needs NEEDED of them to be compared
-    shared = left.join(right, "key").groupBy("q", "digest").agg(F.count_distinct("i").alias("n")).where(F.col("n") >= NEEDED)
-    pairs = (shared.select("q", "digest")
+    left = substrings(asked.select(F.col("digest").alias("q"), "descriptors"), "q", "a", near=True)
+    right = substrings(index.select("digest", "descriptors"), "digest", "b")
+    # two matching corners are enough for a pair to be compared
+    far = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(BITS // 64)), F.lit(0))
+    corner = F.xxhash64(*[f"a{i}" for i in range(BITS // 64)])
+    pairs = (left.join(right, "key").where(far <= FAR).groupBy("q", "digest").agg(F.min(corner).alias("low"), F.max(corner).alias("high"))
+             .where("low < high").select("q", "digest")
              .join(asked.select(F.col("digest").alias("q"), F.col("descriptors").alias("da"), F.col("places").alias("pa")), "q")
              .join(index.select("digest", F.col("descriptors").alias("db"), F.col("places").alias("pb")), "digest"))
 

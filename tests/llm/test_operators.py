@@ -99,6 +99,33 @@ def test_copies_are_found(spark):
     assert media.find_copies(none, spark.createDataFrame(index, "image_id long, image binary")).collect() == []
 
 
+def agreeing_pairs(asked, index):
+    """Brute force: the pairs of images that the verifier confirms."""
+    a, b = ([media.corners(media.read_image(bytes(x))) for _, x in rows] for rows in (asked, index))
+    return {(q, k) for (q, _), (da, p) in zip(asked, a) for (k, _), (db, r) in zip(index, b) if media.agreeing(da, p, db, r) >= media.NEEDED}
+
+
+def test_altered_copies_are_found_as_by_brute_force(spark):
+    rng = np.random.default_rng(5)
+    ims = pictures(24, 4)
+    index = [(i, bytearray(media.write_image(x))) for i, x in enumerate(ims)]
+    asked = []
+    for i, x in enumerate(ims):
+        altered = [x + rng.normal(0, 14, x.shape), x + rng.normal(0, 25, x.shape), media.resized(x.astype(np.float32), 0.85), x[20:76, 16:72]]
+        asked += [(100 * k + i, bytearray(media.write_image(y))) for k, y in enumerate(altered)]
+    want = agreeing_pairs(asked, index)
+    got = media.find_copies(spark.createDataFrame(asked, "query_id long, image binary"), spark.createDataFrame(index, "image_id long, image binary")).collect()
+    found = {(r.query_id, r.image_class) for r in got}
+    assert len(want) > 48 and found <= want and len(found) >= 0.97 * len(want)
+
+
+def test_small_part_of_a_large_picture_is_found(spark):
+    large = np.block([pictures(5, s) for s in range(5)])
+    asked = [(i, bytearray(media.write_image(large[y:y + 80, x:x + 80]))) for i, (y, x) in enumerate([(8, 8), (200, 104), (392, 296)])]
+    got = media.find_copies(spark.createDataFrame(asked, "query_id long, image binary"), spark.createDataFrame([(7, bytearray(media.write_image(large)))], "image_id long, image binary")).collect()
+    assert {(r.query_id, r.image_class) for r in got} == {(0, 7), (1, 7), (2, 7)}
+
+
 def test_image_files():
     x = np.arange(12, dtype=np.float32).reshape(3, 4)
     assert (media.read_image(media.write_image(x)) == x).all()
