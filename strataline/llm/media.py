@@ -206,9 +206,8 @@ def agreeing(da: np.ndarray, pa_: np.ndarray, db: np.ndarray, pb: np.ndarray) ->
 
 
 def find_copies(queries: DataFrame, images: DataFrame) -> DataFrame:
-    """Copies of the queries' images (query_id, image) among ``images`` (image_id, image): per query that has any, the
-    image_class that agrees best (the smallest id of a class of identical images), copies (images in the class),
-    agreeing (matches) and n_classes (classes that are copies)."""
+    """Copies of the queries' images (query_id, image) among ``images`` (image_id, image), all of them: query_id,
+    image_class (the smallest id of a class of identical images), copies (images in the class) and agreeing (matches)."""
     index = settle(describe(images))
     asked = settle(describe(queries.withColumnRenamed("query_id", "image_id")))
     left = substrings(asked.select(F.col("digest").alias("q"), "descriptors"), "q", "a", near=True)
@@ -229,12 +228,8 @@ def find_copies(queries: DataFrame, images: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], ["q", "digest", "agreeing"])
 
     hits = pairs.select("q", "digest", "da", "pa", "db", "pb").mapInArrow(run, "q binary, digest binary, agreeing long").where(F.col("agreeing") >= NEEDED)
-    # one row per query: the class that agrees best, and how many do
-    best = hits.join(index.select("digest", "image_class", "copies"), "digest").groupBy("q").agg(
-        F.count(F.lit(1)).alias("n_classes"), F.max(F.struct("agreeing", (-F.col("image_class")).alias("low"), "copies")).alias("top"))
     ids = queries.select("query_id", F.unhex(F.md5(F.coalesce("image", F.lit(b"")))).alias("q"))
-    return ids.join(best, "q").select("query_id", (-F.col("top.low")).alias("image_class"), F.col("top.copies").alias("copies"),
-                                      F.col("top.agreeing").alias("agreeing"), "n_classes")
+    return ids.join(hits, "q").join(index.select("digest", "image_class", "copies"), "digest").select("query_id", "image_class", "copies", "agreeing")
 
 
 # ------------------------------------------------------------------ images of vectors

@@ -119,6 +119,15 @@ def test_altered_copies_are_found_as_by_brute_force(spark):
     assert len(want) > 48 and found <= want and len(found) >= 0.97 * len(want)
 
 
+def test_every_copy_of_a_query_is_returned(spark):
+    ims = pictures(3, 6)
+    index = [(i, bytearray(media.write_image(x))) for i, x in enumerate([ims[0], 0.7 * ims[0] + 30, np.rot90(ims[0]), ims[1], ims[2], ims[0]])]
+    asked = [(i, bytearray(media.write_image(0.9 * ims[0] + 10))) for i in range(2)]
+    got = media.find_copies(spark.createDataFrame(asked, "query_id long, image binary"), spark.createDataFrame(index, "image_id long, image binary")).collect()
+    assert sorted((r.query_id, r.image_class, r.copies) for r in got) == [(q, c, n) for q in range(2) for c, n in ((0, 2), (1, 1), (2, 1))]
+    assert all(r.agreeing >= media.NEEDED for r in got)
+
+
 def test_small_part_of_a_large_picture_is_found(spark):
     large = np.block([pictures(5, s) for s in range(5)])
     asked = [(i, bytearray(media.write_image(large[y:y + 80, x:x + 80]))) for i, (y, x) in enumerate([(8, 8), (200, 104), (392, 296)])]
