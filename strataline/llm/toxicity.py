@@ -38,6 +38,7 @@ BEGINNINGS = (6, 5, 4)   # bytes of the word beginnings that back a word up, lon
 PRIOR = 1000.0     # tokens that the prior is worth
 CHANCE = 10        # tokens that may pass as significant by chance, however many there are
 DRIFT = 0.05
+NEAR = 40          # tokens within which a word that stood before does not score again
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 3, 1
 
@@ -73,13 +74,14 @@ def token_rows(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
 
 
 def word_scores(table: np.ndarray, cell: np.ndarray) -> np.ndarray:
-    """The scores of words: their own, or else that of the longest beginning that has one.  Only the first of equal
-    words can score, so that one word over and over is not a passage."""
+    """The scores of words: their own, or else that of the longest beginning that has one.  A word that stood
+    within the last NEAR tokens cannot score, so that one word over and over is not a passage; further back does not count."""
     score = table[cell[0]]
     for c in cell[1:]:
         score = np.where(score == 0, table[c], score)
-    again = np.ones(len(score), bool)
-    again[np.unique(cell[0], return_index=True)[1]] = False
+    order = np.argsort(cell[0], kind="stable")
+    again = np.zeros(len(score), bool)
+    again[order[1:]] = (np.diff(cell[0][order]) == 0) & (np.diff(order) <= NEAR)
     return np.where(again, np.minimum(score, 0), score) - DRIFT
 
 

@@ -275,6 +275,21 @@ def test_segments_are_maximal():
         assert all(math.isclose(v, s[a:b].sum(), abs_tol=1e-9) for a, b, v in found)
 
 
+def test_passages_of_words_that_stood_before():
+    bad = [f"bad{i}" for i in range(12)]
+    table = np.zeros(toxicity.TABLE, np.float32)
+    for cell, _, _ in toxicity.token_rows(pa.array(bad)):
+        table[cell[0]] = 2.0
+    model = toxicity.Model(table, 1.0, 0.0, (0.0, 0.0, 0.0))
+    filler = [" ".join(f"w{k}x{j}" for j in range(60)) for k in range(16)]
+    scattered = " ".join(f"{f} {b}" for f, b in zip(filler, bad)) + " " + filler[12]
+    text = f"{scattered} {' '.join(bad)} {' '.join(filler)} {' '.join(bad)} {filler[15]}"
+    (n, found), (m, again) = toxicity.measure(table, pa.array([text, "bad0 " * 200]))
+    spans = [text[a:b] for a, b, s in found if model.normalised(s, n) > 5]
+    assert spans == [" ".join(bad)] * 2
+    assert toxicity.summary(model, m, again)[0] < 0
+
+
 def test_toxicity_on_held_out_documents(spark):
     table, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     got = toxicity.score_documents(table, labels).join(labels, "doc_id").where("held_out and toxic is not null").select("score", "predicted", "toxic").collect()
