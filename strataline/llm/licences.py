@@ -1,6 +1,6 @@
 """Licence scans by canonical digests.
 
-A text is brought to a canonical form (lower case, copyright lines dropped, one spelling per word, punctuation and
+A text is brought to a canonical form (lower case, copyright notices dropped, one spelling per word, punctuation and
 white space as one space) and its digest is joined with the digests of known licence texts.  A text matches only as a
 whole; a document is looked up entire, and so is each of its lines, since short licence notices stand on lines of
 their own.  Everything here is DataFrame work inside the JVM.
@@ -42,7 +42,9 @@ KNOWN = [
             "NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
 ]
 
-COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright|\(c\)|©)[^\n]*$"
+# notices only, not lines of a sentence on copyright notices or holders, nor list items (c)
+COPYRIGHT_LINE = (r"(?m)^[ \t]*(?:copyright[ \t:,]*(?:\(c\)|©|by\b|[\[<{]?(?:[0-9]{4}|yyyy|year))|©|\(c\)[ \t]*copyright\b"
+                  r"|(?:copyright(?![ \t]+(?:notice|holder|owner|law|licen))|\(c\))(?=[^\n]*\b(?:19|20)[0-9]{2}\b))[^\n]*$")
 NOT_WORDS = r"[^\p{L}\p{N}\n]+"
 
 

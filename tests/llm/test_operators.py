@@ -425,6 +425,19 @@ def test_licence_digests(spark, docs, empty):
     assert licences.scan(docs, known).count() == docs.count() and licences.scan(empty, known).collect() == []
 
 
+def test_licences_wrapped_anywhere(spark):
+    import textwrap
+
+    notices = ["Copyright (c) 2020 A. Person", "Copyright 2001-2020 A. Person", "Copyright by A. Person", "© A. Person", "(C) 1999 A. Person", "Copyright [yyyy] [name of copyright owner]"]
+    rows, want = [], {}
+    for name, text in licences.KNOWN:
+        for width in range(24, 101, 4):
+            want[len(rows)] = name
+            rows.append((len(rows), notices[len(rows) % len(notices)] + "\n\n" + textwrap.fill(text, width), "en", "s", 0, 0, "", "", 0))
+    got = licences.scan(spark.createDataFrame(rows, brute.SCHEMA), licences.known_table(spark)).collect()
+    assert {r.doc_id: r.licence for r in got} == want
+
+
 # ------------------------------------------------------------------ 10 pieces
 
 def unigram(p):
