@@ -11,6 +11,8 @@ with one canonical form the first in order is given; an empty table gives no row
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +44,16 @@ KNOWN = [
             "NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
 ]
 
+TEXTS = Path(__file__).with_name("licence_texts")   # NAME.txt or NAME.VARIANT.txt: whole licences as published, short ones without title and notice
+TITLES = {
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "Simplified BSD License", "BSD License", "The BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "New BSD License", "BSD License", "The BSD License"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"],
+}
+APPENDICES = [("END OF TERMS AND CONDITIONS", True), ("Exhibit A - Source Code Form License Notice", False), ("EXHIBIT A -Mozilla Public License.", False)]
+
 # notices only, not lines of a sentence on copyright notices or holders, nor list items (c)
 COPYRIGHT_LINE = (r"(?m)^[ \t]*(?:copyright[ \t:,]*(?:\(c\)|©|by\b|[\[<{]?(?:[0-9]{4}|yyyy|year))|©|\(c\)[ \t]*copyright\b"
                   r"|(?:copyright(?![ \t]+(?:notice|holder|owner|law|licen))|\(c\))(?=[^\n]*\b(?:19|20)[0-9]{2}\b))[^\n]*$")
@@ -61,9 +73,23 @@ def whole(canonical: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(canonical, "[ \n]+", " ")), F.lit(""))
 
 
-def known_table(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    """name, text of the known licences."""
-    return spark.createDataFrame(known, "name string, text string")
+def published() -> list[tuple[str, str]]:
+    """name, text of whole licences in their usual variants: with and without appendix, title and reservation of rights."""
+    out = []
+    for path in sorted(TEXTS.glob("*.txt")):
+        name, text = path.stem.removesuffix(".University"), path.read_text(encoding="utf-8")
+        out.append((name, text))
+        for mark, kept in APPENDICES:
+            if mark in text:
+                head = text[:text.rindex(mark)]
+                out += [(name, head)] + [(name, head + mark)] * kept
+    short = [(n, t) for n, t in [*out, *KNOWN] if n in TITLES and len(t) > 200]
+    return out + [(n, "\n".join([title, rights, t])) for n, t in short for title in ["", *TITLES[n]] for rights in ("", "All rights reserved.")]
+
+
+def known_table(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
+    """name, text of the known licences: the short notices and the published texts if none are given."""
+    return spark.createDataFrame(KNOWN + published() if known is None else known, "name string, text string")
 
 
 def digests(known: DataFrame) -> DataFrame:

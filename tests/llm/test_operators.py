@@ -438,6 +438,21 @@ def test_licences_wrapped_anywhere(spark):
     assert {r.doc_id: r.licence for r in got} == want
 
 
+def test_whole_licences_are_known(spark):
+    def text(name):
+        return (licences.TEXTS / f"{name}.txt").read_text(encoding="utf-8")
+
+    head = "Copyright (c) 2020 A. Person"
+    cases = [(name, text(name)) for name in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0")]
+    cases += [(name, f"{title}\n\n{head}\n{rights}\n{text(name)}") for name, title, rights in (
+        ("MIT", "The MIT License (MIT)", ""), ("MIT", "", ""), ("BSD-2-Clause", "", "All rights reserved.\n"),
+        ("BSD-3-Clause", "BSD 3-Clause License", ""), ("ISC", "ISC License", ""))]
+    cases += [("Apache-2.0", text("Apache-2.0").split("APPENDIX:")[0]), (None, text("MIT") + "\nAnd more."), (None, text("GPL-3.0")[:20000])]
+    rows = [(i, t, "en", "s", 0, 0, "", "", 0) for i, (_, t) in enumerate(cases)]
+    got = {r.doc_id: r.licence for r in licences.scan(spark.createDataFrame(rows, brute.SCHEMA), licences.known_table(spark)).collect()}
+    assert [got[i] for i in range(len(cases))] == [name for name, _ in cases]
+
+
 # ------------------------------------------------------------------ 10 pieces
 
 def unigram(p):
