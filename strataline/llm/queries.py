@@ -172,4 +172,39 @@ def op2_image_copies(spark, sf):
                              media.draw(vectors, "vec_id", "embedding"))
 
 
+MERKLE_SQL = r"""
+WITH RECURSIVE e AS (SELECT row_number() OVER () AS r, doc_id, lang, n_chars, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-')
+        || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS a,
+        coalesce(strlen(text) || ':' || text, '-') AS z,
+        coalesce(xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+            lambda c: [CAST(ascii(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+            lambda x, y: xor(xor(x, y) >> 1, 3988292384 * (xor(x, y) & 1)))) % 7 = 0, false) AS bad FROM documents),
+l AS (SELECT r, doc_id, coalesce('=' || lang, '-') AS t, sha256(a || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || z) AS leaf,
+        sha256(a || coalesce(strlen(CAST(n_chars + CAST(bad AS INT) AS VARCHAR)) || ':' || (n_chars + CAST(bad AS INT)), '-') || z) AS start FROM e),
+p AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS pos, count(*) OVER (PARTITION BY t) AS n FROM l),
+lv AS (SELECT t, 0 AS level, pos, n, leaf AS h FROM p UNION ALL
+    SELECT t, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM lv WHERE n > 1 GROUP BY t, level, pos // 2, n),
+s AS (SELECT t, h AS subroot, row_number() OVER (ORDER BY t) - 1 AS pos, count(*) OVER () AS n FROM lv WHERE n = 1),
+tv AS (SELECT 0 AS level, pos, n, subroot AS h FROM s UNION ALL
+    SELECT level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM tv WHERE n > 1 GROUP BY level, pos // 2, n),
+c AS (SELECT r, t, 0 AS level, pos, n, start AS h, '' AS proof FROM p UNION ALL
+    SELECT c.r, c.t, c.level + 1, c.pos // 2, (c.n + 1) // 2,
+        sha256(CASE WHEN c.pos % 2 = 1 THEN lv.h || c.h ELSE c.h || coalesce(lv.h, '') END), c.proof || coalesce(lv.h, '')
+    FROM c LEFT JOIN lv ON lv.t = c.t AND lv.level = c.level AND lv.pos = xor(c.pos, 1) WHERE c.n > 1),
+u AS (SELECT c.r, 0 AS level, s.pos, s.n, c.h, c.proof, s.subroot FROM c JOIN s ON c.t = s.t WHERE c.n = 1 UNION ALL
+    SELECT u.r, u.level + 1, u.pos // 2, (u.n + 1) // 2,
+        sha256(CASE WHEN u.pos % 2 = 1 THEN tv.h || u.h ELSE u.h || coalesce(tv.h, '') END), u.proof || coalesce(tv.h, ''), u.subroot
+    FROM u LEFT JOIN tv ON tv.level = u.level AND tv.pos = xor(u.pos, 1) WHERE u.n > 1)
+SELECT p.doc_id, p.leaf, u.subroot, tv.h AS root, sha256(u.proof) AS proof_sha256, u.h AS folded_root, u.h = tv.h AS verified
+FROM u JOIN p ON u.r = p.r JOIN tv ON tv.n = 1 WHERE u.n = 1
+"""
+
+
+@query("op11_merkle_manifest", MERKLE_SQL)
+def op11_merkle_manifest(spark, sf):
+    from strataline.llm import merkle
+
+    return merkle.report(documents(spark, sf))
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
