@@ -207,4 +207,23 @@ def op11_merkle_manifest(spark, sf):
     return merkle.report(documents(spark, sf))
 
 
+WINDOW_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+g AS (SELECT r, doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+low AS (SELECT g, min(doc_id) AS low FROM g GROUP BY g HAVING count(*) > 1),
+hit AS (SELECT r, i FROM g JOIN low USING (g) WHERE coalesce(doc_id > low, low IS NOT NULL)),
+gone AS (SELECT r, list(DISTINCT p) AS p FROM (SELECT r, unnest(range(i, i + 13)) AS p FROM hit) GROUP BY r),
+x AS (SELECT d.r, doc_id, w, coalesce(p, []) AS p FROM d LEFT JOIN gone ON d.r = gone.r),
+kept AS (SELECT r, string_agg(w[i], ' ' ORDER BY i) AS t FROM (SELECT r, w, p, unnest(range(1, len(w) + 1)) AS i FROM x) WHERE NOT list_contains(p, i) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(p) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM x LEFT JOIN kept ON x.r = kept.r
+"""
+
+
+@query("op12_window_dedup", WINDOW_SQL)
+def op12_window_dedup(spark, sf):
+    from strataline.llm import windows
+
+    return windows.report(documents(spark, sf))
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
