@@ -226,4 +226,29 @@ def op12_window_dedup(spark, sf):
     return windows.report(documents(spark, sf))
 
 
+SEARCH_SQL = r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS x FROM documents),
+d AS (SELECT r, doc_id, CAST(len(x) AS BIGINT) AS n FROM t WHERE len(x) > 0),
+c AS (SELECT CAST(count(*) AS BIGINT) AS nn, CAST(sum(n) AS BIGINT) AS l FROM d),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(x) AS term FROM t) GROUP BY r, term),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * nn + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM df, c),
+q AS (SELECT k, item_id, term, count(*) AS m FROM (SELECT row_number() OVER () AS k, item_id,
+        unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM benchmark) GROUP BY ALL),
+s AS (SELECT k, item_id, d.r, doc_id, CAST(sum(q.m * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * nn) // l))))) AS BIGINT) AS score
+    FROM q JOIN w USING (term) JOIN tf USING (term) JOIN d ON d.r = tf.r, c GROUP BY k, item_id, d.r, doc_id)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM
+    (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id, r) AS rank FROM s WHERE score > 0) WHERE rank <= 10
+"""
+
+
+@query("op13_lexical_search", SEARCH_SQL)
+def op13_lexical_search(spark, sf):
+    from strataline.llm import lexical
+
+    return lexical.search(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
