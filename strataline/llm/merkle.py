@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from strataline.llm.common import settle
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
-HEIGHT = 6            # levels of a storey: blocks of 64 nodes
+HEIGHT = 8            # levels of a storey: blocks of 256 nodes
 ROW_LIMIT = "spark.sql.cteRecursionRowLimit"   # rows a recursive query may return; a climb returns a few for each leaf
 FOLD = "aggregate({siblings}, lower(hex({start})), (h, s) -> sha2(CASE WHEN s.hash IS NULL THEN h WHEN s.left THEN concat(s.hash, h) ELSE concat(h, s.hash) END, 256))"
 
@@ -165,7 +165,7 @@ def climb(manifest: Manifest) -> DataFrame:
                 UNION ALL
                 SELECT c.doc_id, c.leaf, n.parent, unhex({FOLD.format(siblings='n.siblings', start='c.folded')}), concat(c.proof, n.proof),
                        coalesce(c.subroot, n.subroot), n.root
-                FROM climb c JOIN {nodes} n ON c.node = n.node)
+                FROM climb c JOIN {nodes} n ON c.node = n.node AND c.node <> '/')
             SELECT doc_id, leaf, subroot, root, unhex(sha2(lower(hex(proof)), 256)) AS proof_sha256, folded FROM climb WHERE node = '/'"""))
     finally:
         spark.conf.set(ROW_LIMIT, before)
