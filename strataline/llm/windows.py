@@ -1,13 +1,13 @@
 """Substring dedup by Rabin-Karp hashes of every fixed-length token window.
 
 Words are kept as they are written.  A word's two values are polynomials of its bytes modulo 2**64, a window's two hashes
-polynomials of its words' values, all from prefix sums, so a window costs the same for any length.  96 bits of them tell
-windows apart: of the 1.5e13 windows of 100 TB of text, 0.001 would be taken for an equal of another.
+polynomials of its words' values, all from prefix sums, so a window costs the same for any length.  88 bits of them tell
+windows apart: of the 1.5e13 windows of 100 TB of text, less than one would be taken for an equal of another.
 
 Texts are hashed in chunks of up to CHUNK bytes.  Of a window that stands several times in a chunk only the first place
 under the smallest doc_id goes on: under larger ones it is already known to repeat, and a window that repeats inside
 its document is asked for once and looked up again when the document is cut.  So a passage that a third of all
-documents hold, however often, sends one place per chunk.  The windows of a chunk are dealt to shards by their hash, packed (12 bytes a hash, 2 a place), and a shard, of
+documents hold, however often, sends one place per chunk.  The windows of a chunk are dealt to shards by their hash, packed (11 bytes a hash, 1 a place), and a shard, of
 about SHARD bytes of text, is one bounded group: it sorts hashes and returns the places whose window also starts
 in a document with a smaller doc_id.  Places meet again by document, where covered words merge into maximal intervals.
 
@@ -33,8 +33,8 @@ from strataline.llm.common import free_names, n_bytes, packed
 from strataline.llm.tokens import chunks, mix, raw
 
 LENGTH = 13            # words of a window
-CHUNK = 8 << 20        # bytes of text hashed at once
-SHARD = 16 << 20       # bytes of text per shard of hashes
+CHUNK = 8 << 20        # bytes of text whose windows are compared before they are sent
+SHARD = 24 << 20       # bytes of text per shard of hashes
 
 _space = np.zeros(256, bool)
 _space[[9, 10, 11, 12, 13, 32]] = True
@@ -115,28 +115,52 @@ def _ranks(ids: pa.Array) -> np.ndarray:
     return pc.rank(ids, sort_keys="ascending", null_placement="at_end", tiebreaker="dense").to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _steps(at: np.ndarray, kind: str = "<u2") -> bytes:
-    """Ascending places as steps of two bytes, or of four where one is too wide (a first byte tells)."""
+def _steps(at: np.ndarray) -> bytes:
+    """Ascending places as one byte for each step, with 255 for a part of a wider one; or, if shorter, as four bytes each (the
+    first byte tells)."""
     d = np.diff(at, prepend=0)
-    return b"\2" + d.astype("<u2").tobytes() if not len(d) or d.max() < 1 << 16 else b"\4" + d.astype("<u4").tobytes()
+    if not len(d) or int((d // 255).sum()) > 3 * len(d):
+        return b"\4" + at.astype("<u4").tobytes()
+    out = np.full(int((d // 255).sum()) + len(d), 255, np.uint8)
+    out[np.cumsum(d // 255 + 1) - 1] = d % 255
+    return b"\1" + out.tobytes()
 
 
 def _places(b: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(b, "<u2" if b[:1] == b"\2" else "<u4", offset=1).astype(np.int64))
+    if b[:1] == b"\4":
+        return np.frombuffer(b, "<u4", offset=1).astype(np.int64)
+    x = np.frombuffer(b, np.uint8, offset=1)
+    return np.cumsum(x, dtype=np.int64)[x != 255]
 
 
-def _windows(docs: DataFrame, doc_id: str, length: int, shards: int) -> DataFrame:
+def _three(g: np.ndarray) -> np.ndarray:
+    """The upper 24 bits of 32 as three bytes."""
+    return np.ascontiguousarray(g.astype("<u4").view(np.uint8).reshape(-1, 4)[:, 1:])
+
+
+def _windows(docs: DataFrame, doc_id: str, length: int, shards: int, chunk: int) -> DataFrame:
     """Packed windows: shard, ids, tags and first words of the documents they are from, h and g (hashes), at (places), and
     known (places whose window stands in the same chunk under a smaller doc_id)."""
     kind = docs.schema[doc_id].dataType
 
+    def hashed(data, offsets):
+        """window_hashes of any number of rows, about a megabyte at a time."""
+        parts, words, firsts = [], 0, [np.zeros(1, np.int64)]
+        for a, b in chunks(offsets):
+            h, g, at, first = window_hashes(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], length)
+            parts.append((h, g, at + words))
+            firsts.append(first[1:] + words)
+            words += int(first[-1])
+        return *(np.concatenate(x) for x in zip(*parts)), np.concatenate(firsts)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = raw(batch.column(2))
-            for a, b in chunks(offsets, CHUNK):
-                h, g, at, first = window_hashes(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], length)
+            for a, b in chunks(offsets, chunk):
+                h, g, at, first = hashed(data, offsets[a:b + 1])
                 if not len(at):
                     continue
+                g &= np.uint32(0xFFFFFF00)
                 ids, tags = batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a)
                 doc = np.searchsorted(first, at, "right") - 1
                 rank = _ranks(ids)[doc]
@@ -144,63 +168,65 @@ def _windows(docs: DataFrame, doc_id: str, length: int, shards: int) -> DataFram
                 goes, knows = np.ones(len(at), bool), np.zeros(len(at), bool)
                 goes[by] = new & (rank[by] == low)         # texts of one doc_id all have to ask
                 knows[by] = rank[by] > low
-                yield from deal(h, g, at, first, doc, goes, knows, ids, tags)
+                yield deal(h, g, at, first, doc, goes, knows, ids, tags)
 
     def deal(h, g, at, first, doc, goes, knows, ids, tags):
+        """A row for each shard that gets something."""
         shard = np.where(goes, (h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32), doc.astype(np.uint64) % np.uint64(shards)).astype(np.int64)
         order = np.argsort(shard, kind="stable")
         order = order[(goes | knows)[order]]
-        cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-        for s in np.flatnonzero(np.diff(cuts)):
-            mine = order[cuts[s]:cuts[s + 1]]
-            here = np.unique(doc[mine])
-            out, known = mine[goes[mine]], mine[~goes[mine]]
-            pick = pa.array(here)
-            yield pa.RecordBatch.from_arrays([
-                pa.array([int(s)], pa.int64()), pa.array([ids.take(pick).to_pylist()], pa.list_(ids.type)), pa.array([tags.take(pick).to_pylist()], pa.list_(pa.int64())),
-                pa.array([first[here].astype(np.int64)], pa.list_(pa.int64())), pa.array([h[out].tobytes()], pa.binary()),
-                pa.array([g[out].tobytes()], pa.binary()), pa.array([_steps(at[out])], pa.binary()), pa.array([_steps(at[known])], pa.binary())],
-                ["shard", "ids", "tags", "first", "h", "g", "at", "known"])
+        shard, doc, at, out = shard[order], doc[order], at[order], goes[order]
+        start = np.flatnonzero(np.diff(shard, prepend=-1))
+        own = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(shard, prepend=-1) != 0))     # documents of each shard
+        cuts = pa.array(np.append(np.searchsorted(own, start), len(own)).astype(np.int32))
+        pick = pa.array(doc[own])
+        hs, gs, steps, known = [], [], [], []
+        for part, goes_, at_ in zip(np.split(order, start[1:]), np.split(out, start[1:]), np.split(at, start[1:])):
+            hs.append(h[part[goes_]].tobytes())
+            gs.append(_three(g[part[goes_]]).tobytes())
+            steps.append(_steps(at_[goes_]))
+            known.append(_steps(at_[~goes_]))
+        lists = [pa.ListArray.from_arrays(cuts, x) for x in (ids.take(pick), tags.take(pick), pa.array(first[doc[own]].astype(np.int32)))]
+        return pa.RecordBatch.from_arrays([pa.array(shard[start]), *lists, *[pa.array(x, pa.binary()) for x in (hs, gs, steps, known)]],
+                                          ["shard", "ids", "tags", "first", "h", "g", "at", "known"])
 
     rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.xxhash64("text").alias("tag"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    return rows.mapInArrow(run, f"shard long, ids array<{kind.simpleString()}>, tags array<long>, first array<long>, h binary, g binary, at binary, known binary")
+    return rows.mapInArrow(run, f"shard long, ids array<{kind.simpleString()}>, tags array<long>, first array<int>, h binary, g binary, at binary, known binary")
 
 
-def repeated_places(docs: DataFrame, doc_id: str = "doc_id", length: int = LENGTH) -> DataFrame:
+def repeated_places(docs: DataFrame, doc_id: str = "doc_id", length: int = LENGTH, chunk: int = CHUNK, shard: int = SHARD) -> DataFrame:
     """id, tag (digest of the text) and places (packed numbers of first words) of the windows that also start under a smaller id."""
     total = docs.agg(F.sum(n_bytes("text"))).first()[0] or 0
-    shards = math.ceil(total / SHARD) + 1
+    shards = math.ceil(total / shard) + 1
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def find(table: pa.Table) -> pa.Table:
-        ids, tags, firsts, docs_of, places, hs, gs = [], [], [], [], [], [], []
-        known_doc, known_at, base = [], [], 0
-        for r in range(table.num_rows):
-            part = table.slice(r, 1)
-            first = part.column("first").combine_chunks().values.to_numpy()
-            for name, to in (("ids", ids), ("tags", tags)):
-                to.append(part.column(name).combine_chunks().flatten())
-            at, known = _places(part.column("at")[0].as_py()), _places(part.column("known")[0].as_py())
-            for x, to_doc, to_at in ((at, docs_of, places), (known, known_doc, known_at)):
-                doc = np.searchsorted(first, x, "right") - 1
-                to_doc.append(doc + base)
-                to_at.append(x - first[doc])
-            hs.append(np.frombuffer(part.column("h")[0].as_py(), np.uint64))
-            gs.append(np.frombuffer(part.column("g")[0].as_py(), np.uint32))
-            base += len(first)
-        id_, tag = pa.concat_arrays(ids), pa.concat_arrays(tags)
-        doc, at, h, g = (np.concatenate(x) for x in (docs_of, places, hs, gs))
-        rank = _ranks(id_)[doc]
+        table = table.combine_chunks()
+        id_, tag, first = (table.column(name).combine_chunks().flatten() for name in ("ids", "tags", "first"))
+        first, base, parts = first.to_numpy(), 0, []
+        for lists, at, known in zip(table.column("ids").combine_chunks().value_lengths().to_pylist(), table.column("at"), table.column("known")):
+            own = first[base:base + lists]
+            for b in (at, known):
+                x = _places(b.as_buffer().to_pybytes())
+                doc = np.searchsorted(own, x, "right") - 1
+                parts.append(((doc + base).astype(np.int32), (x - own[doc]).astype(np.int32)))
+            base += lists
+        doc, at = (np.concatenate(x) for x in zip(*parts[::2]))
+        h = np.concatenate([np.frombuffer(b.as_buffer(), np.uint64) for b in table.column("h")])
+        g3 = np.concatenate([np.frombuffer(b.as_buffer(), np.uint8) for b in table.column("g")]).reshape(-1, 3).astype(np.int32)
+        g = g3[:, 0] | g3[:, 1] << 8 | g3[:, 2] << 16
+        rank = _ranks(id_).astype(np.int32)[doc]
         by, _, low = _order(h, g, rank, doc)
         hit = by[rank[by] > low]
-        doc, at = np.concatenate([doc[hit], *known_doc]), np.concatenate([at[hit], *known_at])
+        known = [np.concatenate(x) for x in zip(*parts[1::2])]
+        doc, at = np.concatenate([doc[hit], known[0]]), np.concatenate([at[hit], known[1]])
         order = np.lexsort((at, doc))
         doc, at = doc[order], at[order]
         own, start = np.unique(doc, return_index=True)
         steps = [_steps(x) for x in np.split(at, start[1:])] if len(own) else []
         return pa.table({"id": id_.take(pa.array(own)), "tag": tag.take(pa.array(own)), "places": pa.array(steps, pa.binary())})
 
-    found = _windows(docs, doc_id, length, shards).groupBy("shard").applyInArrow(find, f"id {kind}, tag long, places binary")
+    found = _windows(docs, doc_id, length, shards, chunk).groupBy("shard").applyInArrow(find, f"id {kind}, tag long, places binary")
     return found.groupBy("id", "tag").agg(F.collect_list("places").alias("places"))   # at most the windows of one text
 
 
@@ -214,11 +240,12 @@ def _removed(text: bytes, places: list[bytes], n: int, length: int) -> np.ndarra
     return np.cumsum(edge[:-1]) > 0
 
 
-def _cut(docs: DataFrame, make, schema: str, doc_id: str, length: int) -> DataFrame:
-    """make(texts, lists of places) per batch of documents, beside the documents' own columns in __doc."""
-    found = repeated_places(docs, doc_id, length)
-    rows = packed(docs, F.col(f"`{doc_id}`").alias("id"), F.xxhash64("text").alias("tag"), F.col("text").cast("string").alias("text"))
-    both = rows.join(found, rows["id"].eqNullSafe(found["id"]) & (rows["tag"] == found["tag"]), "left").select("__doc", "text", "places")
+def _cut(docs: DataFrame, make, schema: str, doc_id: str, length: int, keep: list[str], sizes: dict[str, int]) -> DataFrame:
+    """make(text, lists of places, length) of each document, beside the columns ``keep`` in __doc."""
+    found = repeated_places(docs, doc_id, length, **sizes)
+    rows = packed(docs, F.col(f"`{doc_id}`").alias("id"), F.xxhash64("text").alias("tag"))
+    both = rows.join(found, rows["id"].eqNullSafe(found["id"]) & (rows["tag"] == found["tag"]), "left")
+    both = both.select(F.struct(*[F.col(f"__doc.`{c}`") for c in keep]).alias("__doc"), F.col("__doc.text").cast("string").alias("text"), "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,10 +270,10 @@ def _spans(text: bytes, places: list[bytes], length: int) -> tuple:
     return len(words), [{"start": int(a), "end": int(b)} for a, b in edges.reshape(-1, 2)], b" ".join(compress(words, ~gone)).decode()
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", length: int = LENGTH, **sizes: int) -> DataFrame:
     """The documents with three more columns (renamed where taken): n_words, removed (intervals of words), kept_text."""
     names = free_names(docs, "n_words", "removed", "kept_text")
-    out = _cut(docs, _spans, "n_words long, removed array<struct<start:long,end:long>>, kept_text string", doc_id, length)
+    out = _cut(docs, _spans, "n_words long, removed array<struct<start:long,end:long>>, kept_text string", doc_id, length, docs.columns, sizes)
     return out.select("__doc.*", *[F.col(c).alias(name) for c, name in zip(("n_words", "removed", "kept_text"), names)])
 
 
@@ -257,7 +284,7 @@ def _digest(text: bytes, places: list[bytes], length: int) -> tuple:
     return len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest()
 
 
-def report(docs: DataFrame, doc_id: str = "doc_id", length: int = LENGTH) -> DataFrame:
+def report(docs: DataFrame, doc_id: str = "doc_id", length: int = LENGTH, **sizes: int) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, one row per document."""
-    out = _cut(docs.select(doc_id, "text"), _digest, "n_words long, n_removed long, kept_sha256 string", doc_id, length)
+    out = _cut(docs.select(doc_id, "text"), _digest, "n_words long, n_removed long, kept_sha256 string", doc_id, length, [doc_id], sizes)
     return out.select(F.col(f"__doc.`{doc_id}`").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
