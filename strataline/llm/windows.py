@@ -1,14 +1,14 @@
 """Substring dedup by Rabin-Karp hashes of every fixed-length token window.
 
 Words are kept as they are written.  A word's two values are polynomials of its bytes modulo 2**64, a window's two hashes
-polynomials of its words' values, all from prefix sums, so a window costs the same for any length.  88 bits of them tell
-windows apart: of the 1.5e13 windows of 100 TB of text, less than one would be taken for an equal of another.
+polynomials of its words' values, all from prefix sums, so a window costs the same for any length.
 
 Texts are hashed in chunks of up to CHUNK bytes.  Of a window that stands several times in a chunk only the first place
 under the smallest doc_id goes on: under larger ones it is already known to repeat, and a window that repeats inside
 its document is asked for once and looked up again when the document is cut.  So a passage that a third of all
-documents hold, however often, sends one place per chunk.  The windows of a chunk are dealt to shards by their hash, packed (11 bytes a hash, 1 a place), and a shard, of
-about SHARD bytes of text, is one bounded group: it sorts hashes and returns the places whose window also starts
+documents hold, however often, sends one place per chunk.  The windows of a chunk are dealt to shards by the first hash and packed: the second hash, a byte of the first and a byte or two of
+place.  A shard, of about SHARD bytes of text, is one bounded group.  72 bits tell its windows apart, so of the 1.5e13
+windows of 100 TB of text 0.01 would be taken for an equal of another.  It sorts hashes and returns the places whose window also starts
 in a document with a smaller doc_id.  Places meet again by document, where covered words merge into maximal intervals.
 
 Defined results: null and empty texts, and texts of fewer words than a window, lose nothing; several rows with one
@@ -34,7 +34,7 @@ from strataline.llm.tokens import chunks, mix, raw
 
 LENGTH = 13            # words of a window
 CHUNK = 8 << 20        # bytes of text whose windows are compared before they are sent
-SHARD = 24 << 20       # bytes of text per shard of hashes
+SHARD = 32 << 20       # bytes of text per shard of hashes
 
 _space = np.zeros(256, bool)
 _space[[9, 10, 11, 12, 13, 32]] = True
@@ -76,18 +76,18 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def window_hashes(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Two hashes (64 and 32 bits) of each window of some rows, the number of its first word, and the first word of each row."""
+    """Two hashes of each window of some rows, the number of its first word, and the first word of each row."""
     start, end, first = word_bounds(data, offsets)
     n = len(start)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     at = np.flatnonzero(np.arange(n) + length <= first[1:][row]) if n else np.zeros(0, np.int64)
     if not len(at):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint32), at, first
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), at, first
     h = []
     for lane in (0, 1):
         words = mix(_polynomials(_codes[lane][data], lane, start, end) + (end - start).astype(np.uint64))
         h.append(mix(_polynomials(words, lane, at, at + length)))
-    return h[0], (h[1] >> np.uint64(32)).astype(np.uint32), at, first
+    return h[0], h[1], at, first
 
 
 def _order(h: np.ndarray, g: np.ndarray, rank: np.ndarray, tag: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,13 +133,8 @@ def _places(b: bytes) -> np.ndarray:
     return np.cumsum(x, dtype=np.int64)[x != 255]
 
 
-def _three(g: np.ndarray) -> np.ndarray:
-    """The upper 24 bits of 32 as three bytes."""
-    return np.ascontiguousarray(g.astype("<u4").view(np.uint8).reshape(-1, 4)[:, 1:])
-
-
 def _windows(docs: DataFrame, doc_id: str, length: int, shards: int, chunk: int) -> DataFrame:
-    """Packed windows: shard, ids, tags and first words of the documents they are from, h and g (hashes), at (places), and
+    """Packed windows: shard, ids, tags and first words of the documents they are from, h and g (the second hash and a byte of the first), at (places), and
     known (places whose window stands in the same chunk under a smaller doc_id)."""
     kind = docs.schema[doc_id].dataType
 
@@ -160,11 +155,10 @@ def _windows(docs: DataFrame, doc_id: str, length: int, shards: int, chunk: int)
                 h, g, at, first = hashed(data, offsets[a:b + 1])
                 if not len(at):
                     continue
-                g &= np.uint32(0xFFFFFF00)
                 ids, tags = batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a)
                 doc = np.searchsorted(first, at, "right") - 1
                 rank = _ranks(ids)[doc]
-                by, new, low = _order(h, g, rank, tags.to_numpy(zero_copy_only=False)[doc])
+                by, new, low = _order(g, h, rank, tags.to_numpy(zero_copy_only=False)[doc])
                 goes, knows = np.ones(len(at), bool), np.zeros(len(at), bool)
                 goes[by] = new & (rank[by] == low)         # texts of one doc_id all have to ask
                 knows[by] = rank[by] > low
@@ -182,8 +176,8 @@ def _windows(docs: DataFrame, doc_id: str, length: int, shards: int, chunk: int)
         pick = pa.array(doc[own])
         hs, gs, steps, known = [], [], [], []
         for part, goes_, at_ in zip(np.split(order, start[1:]), np.split(out, start[1:]), np.split(at, start[1:])):
-            hs.append(h[part[goes_]].tobytes())
-            gs.append(_three(g[part[goes_]]).tobytes())
+            hs.append(g[part[goes_]].tobytes())
+            gs.append(h[part[goes_]].astype(np.uint8).tobytes())
             steps.append(_steps(at_[goes_]))
             known.append(_steps(at_[~goes_]))
         lists = [pa.ListArray.from_arrays(cuts, x) for x in (ids.take(pick), tags.take(pick), pa.array(first[doc[own]].astype(np.int32)))]
@@ -213,8 +207,7 @@ def repeated_places(docs: DataFrame, doc_id: str = "doc_id", length: int = LENGT
             base += lists
         doc, at = (np.concatenate(x) for x in zip(*parts[::2]))
         h = np.concatenate([np.frombuffer(b.as_buffer(), np.uint64) for b in table.column("h")])
-        g3 = np.concatenate([np.frombuffer(b.as_buffer(), np.uint8) for b in table.column("g")]).reshape(-1, 3).astype(np.int32)
-        g = g3[:, 0] | g3[:, 1] << 8 | g3[:, 2] << 16
+        g = np.concatenate([np.frombuffer(b.as_buffer(), np.uint8) for b in table.column("g")])
         rank = _ranks(id_).astype(np.int32)[doc]
         by, _, low = _order(h, g, rank, doc)
         hit = by[rank[by] > low]
