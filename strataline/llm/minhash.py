@@ -4,11 +4,13 @@ A document's set holds its distinct shingles of five words (A-Z lower-cased); a
 shingles are hashed once and dealt into bins by their leading bits; a bin keeps its smallest hash, and an empty bin
 borrows from a bin picked by a hash of (bin, attempt), the same for every document (optimal densification).  Bands of
 bins give bucket keys.  Inside a bucket the candidates form a star around one hub, the document of largest total bucket
-size, so a bucket of n documents gives n - 1 pairs; pairs are confirmed on full sets.  Documents of a bucket that are
-still in different components get new hubs from the smallest components, many more each round, until every
-bucket is in one component.  Before that, pairs that share a rare shingle (one of at most RARE open documents) are tested
-if they can reach the threshold at all; then a document leaves a bucket when it has been a hub, or when it has too few
-frequent shingles to be linked by these alone: no pair of a bucket that could join two components is left untested.
+size, so a bucket of n documents gives n - 1 pairs; pairs are confirmed on full sets.  In a bucket that is still in
+several components, pairs that share a rare shingle (one of at most RARE open documents) are tested if they can reach the
+threshold at all.  Then stars go on: each turn another member of a bucket's largest component is the hub of all that
+are not in it, so a turn makes at most one pair per member and bucket, as long as turns find links.  What is still apart
+then is mostly apart for good: a pair of two components is tested if its bounds allow a link, from the numbers of
+shingles and of frequent ones, counted in PARTS parts of all hashes.  So no pair of a bucket that could join two
+components is left untested, and few of those that cannot are tested.
 
 Equal sets are one node, so copies cost nothing.  Defined results: documents without words have an empty set and
 are linked with nothing; equal doc_ids are one identity (smallest doc_id of a component); null doc_ids are ignored when
@@ -20,11 +22,10 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataline.llm.common import packed, row_digest, settle
@@ -35,7 +36,7 @@ PERCENT = 75
 BANDS, ROWS = 32, 4    # a pair at the threshold is missed with probability (1 - 0.75**4)**32, 5 in a million
 BINS = BANDS * ROWS
 RARE = 5               # documents up to which a shingle counts as rare
-MORE_HUBS = 16         # times as many hubs per bucket in the next round
+PARTS = 32             # parts of all hashes in which frequent shingles are counted
 
 _weights = mix(np.arange(1, WORDS + 2, dtype=np.uint64))
 _bounds = (np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1))
@@ -177,25 +178,35 @@ def node_shingles(nodes: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def rare_shingles(members: DataFrame, texts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Of the members' nodes: node, rare (how many of its shingles stand in at most RARE of the nodes); and the pairs
-    (a, b) that share some of these and could reach the threshold.
+    """Of the members' nodes: node, n, shared (how many of its shingles stand in more than RARE of the nodes) and parts (these,
+    counted in PARTS parts of all hashes); and the pairs (a, b) that share rarer shingles and could reach the threshold.
 
-    Two sets share at most their common rare shingles and the smaller of their numbers of other shingles.
+    Two sets share at most their common rare shingles and, part by part, the smaller of their numbers of others.
     """
     nodes = settle(members.select("node", "n").distinct())
     shingles = node_shingles(nodes.select("node"), texts)
     few = settle(shingles.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") <= RARE))
-    held = shingles.join(few, "h")
-    rare = settle(held.groupBy("node").agg(F.count(F.lit(1)).alias("rare")))
-    sizes = nodes.join(rare, "node", "left").select("node", "n", (F.col("n") - F.coalesce("rare", F.lit(0))).alias("other"))
+    part = F.pmod("h", F.lit(PARTS))
+    marked = shingles.join(few, "h", "left")
+    counts = marked.groupBy("node").agg(*[F.count(F.when(F.col("k").isNull() & (part == i), 1)).cast("int").alias(f"p{i}") for i in range(PARTS)])
+    sizes = settle(nodes.join(counts, "node").select("node", "n", F.array(*[f"p{i}" for i in range(PARTS)]).alias("parts"),
+                                                     sum((F.col(f"p{i}") for i in range(1, PARTS)), F.col("p0")).alias("shared")))
     # at most RARE nodes a list
-    lists = held.where("k > 1").groupBy("h").agg(F.array_sort(F.collect_list("node")).alias("x"))
+    lists = shingles.join(few.where("k > 1"), "h").groupBy("h").agg(F.array_sort(F.collect_list("node")).alias("x"))
     pairs = lists.select(F.posexplode("x").alias("i", "b"), "x").select("b", F.explode(F.slice("x", F.lit(1), F.col("i"))).alias("a"))
     pairs = pairs.groupBy("b", "a").agg(F.count(F.lit(1)).alias("common"))
-    side = lambda c: sizes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("other").alias(f"o{c}"))
-    most = F.col("common") + F.least("oa", "ob")
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * most >= percent * (F.col("na") + F.col("nb") - most))
-    return rare, near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    side = lambda c: sizes.select(F.col("node").alias(c), *[F.col(k).alias(f"{k}_{c}") for k in ("n", "shared", "parts")])
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where(could_link("a", "b", percent, F.col("common")))
+    return sizes, near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+
+
+def could_link(a: str, b: str, percent: int, common: Column | int = 0) -> Column:
+    """Whether two sets (columns n, shared and parts with these suffixes) can reach the threshold with ``common`` rare shingles."""
+    def reached(most):
+        return 100 * most >= percent * (F.col(f"n_{a}") + F.col(f"n_{b}") - most)
+    by_part = sum((F.least(F.get(f"parts_{a}", F.lit(i)), F.get(f"parts_{b}", F.lit(i))) for i in range(PARTS)), F.lit(0))
+    common = F.lit(common) if isinstance(common, int) else common
+    return reached(common + F.least(f"shared_{a}", f"shared_{b}")) & reached(common + by_part)
 
 
 def still_open(members: DataFrame, percent: int) -> DataFrame:
@@ -223,41 +234,47 @@ def group_roots(docs: DataFrame, sketches: DataFrame, percent: int = PERCENT) ->
     members = members.select("key", "node").join(rank.select("node", "score", "n"), "node")
     hubs = members.groupBy("key").agg(F.max(F.struct("score", "node")).alias("top")).select("key", F.col("top.node").alias("hub"))
     members = settle(members.join(settle(hubs), "key").where("node != hub"))
-    tested, n_hubs = [settle(_pairs(members))], 1
-    stars = components(confirm(tested[0], texts, percent))
+    tested = settle(members.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct())
+    stars = components(confirm(tested, texts, percent))
     # on with the buckets whose other members are in more than one component
-    members = settle(_mixed(_labelled(members.drop("hub"), stars)))
+    members = settle(_mixed(_labelled(members.select("key", "node", "n"), stars)))
     if members.isEmpty():
         return stars
-    # pairs with rare shingles in common are tested one by one; hubs are for those that only share frequent ones
-    rare, near = rare_shingles(members, texts, percent)
-    tested.append(settle(near.join(tested[0], ["a", "b"], "left_anti")))
-    stars = components(confirm(tested[-1], texts, percent).union(stars.toDF("a", "b")))
-    members = members.join(rare, "node", "left").withColumn("shared", F.col("n") - F.coalesce("rare", F.lit(0))).drop("rare", "label")
-    members = _labelled(members, stars)
+    # pairs with rare shingles in common are tested one by one; what follows is for those that only share frequent ones
+    sizes, near = rare_shingles(members, texts, percent)
+    near = settle(near.join(tested, ["a", "b"], "left_anti"))
+    tested = tested.union(near)
+    stars = components(confirm(near, texts, percent).union(stars.toDF("a", "b")))
+    members = members.select("key", "node").join(sizes, "node")
+    turn, linked = 0, True
     while True:
-        members = settle(still_open(members, percent))
+        members = settle(still_open(_labelled(members, stars), percent))
         if members.isEmpty():
             return stars
-        # hubs: from the labels that are rarest in the bucket, the members of largest total bucket size
-        n_hubs *= MORE_HUBS
-        labels = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("score", "node", "n", "shared")).alias("top"))
-        order = Window.partitionBy("key").orderBy("k", F.desc("top.score"), "top.node")
-        hubs = settle(labels.withColumn("at", F.row_number().over(order)).where(F.col("at") <= n_hubs).select(
-            "key", F.col("top.node").alias("hub"), F.col("label").alias("hub_label"), F.col("top.n").alias("hub_n"), F.col("top.shared").alias("hub_shared")))
-        both = F.least("shared", "hub_shared")
-        near = members.join(hubs, (members["key"] == hubs["key"]) & (F.col("label") != F.col("hub_label"))
-                            & (100 * both >= percent * (F.col("n") + F.col("hub_n") - both)))
-        tested.append(settle(_pairs(near).join(reduce(DataFrame.union, tested), ["a", "b"], "left_anti")))
-        new = settle(confirm(tested[-1], texts, percent))
-        if not new.isEmpty():
-            stars = components(new.union(stars.toDF("a", "b")))
-        rest = members.drop("label").join(hubs.select("key", F.col("hub").alias("node")), ["key", "node"], "left_anti")
-        members = _labelled(rest, stars)
-
-
-def _pairs(near: DataFrame) -> DataFrame:
-    return near.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
+        one = members.toDF(*[f"{c}_a" if c != "key" else c for c in members.columns])
+        if linked:
+            # a star around another member of each bucket's largest component, for all who are not in it
+            turn += 1
+            labels = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct(
+                F.xxhash64("node", F.lit(turn)).alias("draw"), "node", "n", "shared", "parts")).alias("top"))
+            hubs = settle(labels.groupBy("key").agg(F.max(F.struct("k", "label", "top")).alias("h")).select(
+                "key", F.col("h.label").alias("label_b"), *[F.col(f"h.top.{c}").alias(f"{c}_b") for c in ("node", "n", "shared", "parts")]))
+            near = one.join(hubs, "key").where(F.col("label_a") != F.col("label_b"))
+        else:
+            # stars find nothing more: every pair of two components whose bounds allow a link is tested, which ends the search
+            other = members.toDF(*[f"{c}_b" if c != "key" else c for c in members.columns])
+            near = one.join(other, "key").where(F.col("label_a") < F.col("label_b"))
+        pairs = near.where(could_link("a", "b", percent)).select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b"))
+        fresh = settle(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
+        found = settle(confirm(fresh, texts, percent))
+        tested = tested.union(fresh)
+        more = not found.isEmpty()
+        if more:
+            stars = components(found.union(stars.toDF("a", "b")))
+        if not linked:
+            return stars
+        linked = more
+        members = members.drop("label")
 
 
 def _labelled(members: DataFrame, stars: DataFrame) -> DataFrame:
