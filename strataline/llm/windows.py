@@ -9,7 +9,8 @@ its document is asked for once and looked up again when the document is cut.  So
 documents hold, however often, sends one place per chunk.  The windows of a chunk are dealt to shards by the first hash and packed: the second hash, a byte of the first and a byte or two of
 place.  A shard, of about SHARD bytes of text, is one bounded group.  72 bits tell its windows apart, so of the 1.5e13
 windows of 100 TB of text 0.01 would be taken for an equal of another.  It sorts hashes and returns the places whose window also starts
-in a document with a smaller doc_id.  Places meet again by document, where covered words merge into maximal intervals.
+in a document with a smaller doc_id.  Places meet again by document (packed
+by buckets of documents), where covered words merge into maximal intervals.
 
 Defined results: null and empty texts, and texts of fewer words than a window, lose nothing; several rows with one
 doc_id are not smaller than each other, so repeated rows stay whole; null doc_ids count as larger than all others; other
@@ -184,12 +185,12 @@ def _windows(docs: DataFrame, doc_id: str, length: int, shards: int, chunk: int)
         return pa.RecordBatch.from_arrays([pa.array(shard[start]), *lists, *[pa.array(x, pa.binary()) for x in (hs, gs, steps, known)]],
                                           ["shard", "ids", "tags", "first", "h", "g", "at", "known"])
 
-    rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.xxhash64("text").alias("tag"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.xxhash64(F.col(f"`{doc_id}`"), "text").alias("tag"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     return rows.mapInArrow(run, f"shard long, ids array<{kind.simpleString()}>, tags array<long>, first array<int>, h binary, g binary, at binary, known binary")
 
 
 def repeated_places(docs: DataFrame, doc_id: str = "doc_id", length: int = LENGTH, chunk: int = CHUNK, shard: int = SHARD) -> DataFrame:
-    """id, tag (digest of the text) and places (packed numbers of first words) of the windows that also start under a smaller id."""
+    """id, tag (digest of id and text) and places (packed numbers of first words) of the windows that also start under a smaller id."""
     total = docs.agg(F.sum(n_bytes("text"))).first()[0] or 0
     shards = math.ceil(total / shard) + 1
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -217,10 +218,22 @@ def repeated_places(docs: DataFrame, doc_id: str = "doc_id", length: int = LENGT
         doc, at = doc[order], at[order]
         own, start = np.unique(doc, return_index=True)
         steps = [_steps(x) for x in np.split(at, start[1:])] if len(own) else []
-        return pa.table({"id": id_.take(pa.array(own)), "tag": tag.take(pa.array(own)), "places": pa.array(steps, pa.binary())})
+        tags = tag.to_numpy(zero_copy_only=False)[own]
+        bucket = (tags.view(np.uint64) % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+        lists = [pa.ListArray.from_arrays(pa.array(np.append(cuts, len(own)).astype(np.int32)), x)
+                 for x in (id_.take(pa.array(own[order])), pa.array(tags[order]), pa.array([steps[i] for i in order], pa.binary()))]
+        return pa.table([pa.array(bucket[order][cuts]), *lists], ["bucket", "ids", "tags", "places"])
 
-    found = _windows(docs, doc_id, length, shards, chunk).groupBy("shard").applyInArrow(find, f"id {kind}, tag long, places binary")
-    return found.groupBy("id", "tag").agg(F.collect_list("places").alias("places"))   # at most the windows of one text
+    def gather(table: pa.Table) -> pa.Table:
+        flat = pa.table({name: table.column(to).combine_chunks().flatten() for name, to in (("id", "ids"), ("tag", "tags"), ("places", "places"))})
+        return flat.group_by(["id", "tag"]).aggregate([("places", "list")]).rename_columns(["id", "tag", "places"])
+
+    # a shard answers with one row for each bucket of documents; a bucket holds the answers to its documents
+    found = _windows(docs, doc_id, length, shards, chunk).groupBy("shard").applyInArrow(
+        find, f"bucket long, ids array<{kind}>, tags array<long>, places array<binary>")
+    return found.groupBy("bucket").applyInArrow(gather, f"id {kind}, tag long, places array<binary>")
 
 
 def _removed(text: bytes, places: list[bytes], n: int, length: int) -> np.ndarray:
@@ -236,7 +249,7 @@ def _removed(text: bytes, places: list[bytes], n: int, length: int) -> np.ndarra
 def _cut(docs: DataFrame, make, schema: str, doc_id: str, length: int, keep: list[str], sizes: dict[str, int]) -> DataFrame:
     """make(text, lists of places, length) of each document, beside the columns ``keep`` in __doc."""
     found = repeated_places(docs, doc_id, length, **sizes)
-    rows = packed(docs, F.col(f"`{doc_id}`").alias("id"), F.xxhash64("text").alias("tag"))
+    rows = packed(docs, F.col(f"`{doc_id}`").alias("id"), F.xxhash64(F.col(f"`{doc_id}`"), "text").alias("tag"))
     both = rows.join(found, rows["id"].eqNullSafe(found["id"]) & (rows["tag"] == found["tag"]), "left")
     both = both.select(F.struct(*[F.col(f"__doc.`{c}`") for c in keep]).alias("__doc"), F.col("__doc.text").cast("string").alias("text"), "places")
 
