@@ -36,6 +36,7 @@ PERCENT = 75
 BANDS, ROWS = 32, 4    # a pair at the threshold is missed with probability (1 - 0.75**4)**32, 5 in a million
 BINS = BANDS * ROWS
 RARE = 5               # documents up to which a shingle counts as rare
+LITTLE = 100           # stars end with a turn that finds fewer links than this part of the open bucket entries
 PARTS = 32             # parts of all hashes in which frequent shingles are counted
 
 _weights = mix(np.arange(1, WORDS + 2, dtype=np.uint64))
@@ -240,40 +241,43 @@ def group_roots(docs: DataFrame, sketches: DataFrame, percent: int = PERCENT) ->
     members = settle(_mixed(_labelled(members.select("key", "node", "n"), stars)))
     if members.isEmpty():
         return stars
-    # pairs with rare shingles in common are tested one by one; what follows is for those that only share frequent ones
-    sizes, near = rare_shingles(members, texts, percent)
-    near = settle(near.join(tested, ["a", "b"], "left_anti"))
-    tested = tested.union(near)
-    stars = components(confirm(near, texts, percent).union(stars.toDF("a", "b")))
+    # pairs with rare shingles in common are tested one by one; stars and bounds are for those that only share frequent ones
+    sizes, rare = rare_shingles(members, texts, percent)
     members = members.select("key", "node").join(sizes, "node")
-    turn, linked = 0, True
+    turn, star, late = 0, True, None
     while True:
         members = settle(still_open(_labelled(members, stars), percent))
-        if members.isEmpty():
+        open_ = members.count()
+        if not open_ and turn:
             return stars
         one = members.toDF(*[f"{c}_a" if c != "key" else c for c in members.columns])
-        if linked:
+        turn += 1
+        if star:
             # a star around another member of each bucket's largest component, for all who are not in it
-            turn += 1
             labels = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct(
                 F.xxhash64("node", F.lit(turn)).alias("draw"), "node", "n", "shared", "parts")).alias("top"))
             hubs = settle(labels.groupBy("key").agg(F.max(F.struct("k", "label", "top")).alias("h")).select(
                 "key", F.col("h.label").alias("label_b"), *[F.col(f"h.top.{c}").alias(f"{c}_b") for c in ("node", "n", "shared", "parts")]))
             near = one.join(hubs, "key").where(F.col("label_a") != F.col("label_b"))
         else:
-            # stars find nothing more: every pair of two components whose bounds allow a link is tested, which ends the search
+            # stars find little more: every pair of two components whose bounds allow a link is tested, which ends the search
             other = members.toDF(*[f"{c}_b" if c != "key" else c for c in members.columns])
             near = one.join(other, "key").where(F.col("label_a") < F.col("label_b"))
         pairs = near.where(could_link("a", "b", percent)).select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b"))
+        pairs = pairs.union(rare) if turn == 1 else pairs
         fresh = settle(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
         found = settle(confirm(fresh, texts, percent))
         tested = tested.union(fresh)
-        more = not found.isEmpty()
-        if more:
+        links = found.count()
+        found = found if late is None else found.union(late)
+        if star and links * LITTLE < open_:
+            star, late = False, found     # its few links are joined with those of the last step
+            members = members.drop("label")
+            continue
+        if links or late is not None:
             stars = components(found.union(stars.toDF("a", "b")))
-        if not linked:
+        if not star:
             return stars
-        linked = more
         members = members.drop("label")
 
 

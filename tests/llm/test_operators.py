@@ -237,6 +237,25 @@ def test_large_group_of_near_copies(spark):
     assert taken(minhash.groups(brute.frame(spark, data)).select("doc_id", "n_shingles", "component_id").collect()) == taken(want)
 
 
+def test_large_group_in_which_no_member_is_linked_with_most(spark):
+    """Copies that differ in a choice of ten words, linked where at most three differ; outliers that share all but few
+    shingles with them and are linked with none; and texts of the group with words of their own."""
+    rnd = random.Random(11)
+    base = [f"w{i}" for i in range(120)]
+    data = []
+    for i in range(420):
+        t = list(base)
+        for k in range(10):
+            if rnd.random() < 0.5:
+                t[7 + 11 * k] = f"x{k}"
+        for k in range(0 if i % 3 else 5 if i % 2 else 1):
+            t[2 + 22 * k] = f"own{i}"
+        data.append((i, " ".join(t), "en", "s", 0, 0, "", "", 0))
+    want = brute.near_groups([(r[0], r[1]) for r in data])
+    assert 2 < len({c for *_, c in want}) < 200
+    assert taken(minhash.groups(brute.frame(spark, data)).select("doc_id", "n_shingles", "component_id").collect()) == taken(want)
+
+
 def test_components_of_chains(spark):
     edges = [(bytearray([a // 256, a % 256]), bytearray([(a + 1) // 256, (a + 1) % 256])) for a in range(0, 300) if a % 100 != 99]
     got = minhash.components(spark.createDataFrame(edges, "a binary, b binary")).collect()
@@ -393,6 +412,15 @@ def test_keep_documents(spark, empty):
     assert quality.keep_documents(empty).collect() == []
 
 
+def test_repeats_in_a_very_long_text_are_exact(spark):
+    """Three million different words with one window twice: six words lie in repeated windows."""
+    words = [f"{i:x}" for i in range(3_000_000)]
+    words[2_000_000:2_000_003] = words[5:8]
+    rows = [(1, " ".join(words), "en", "s", 0, 0, "", "", 0), (2, " ".join([*words[:40_000], *words[5:9]]), "en", "s", 0, 0, "", "", 0)]
+    got = quality.text_features(spark.createDataFrame(rows, brute.SCHEMA), ["doc_id"]).select("doc_id", "n_words", "n_repeat_words").collect()
+    assert sorted(map(tuple, got)) == [(1, 3_000_000, 6), (2, 40_004, 8)]
+
+
 # ------------------------------------------------------------------ 8 lengths
 
 def test_length_histogram(docs, empty):
