@@ -6,7 +6,7 @@ that loses more than half of its words is depleted and rejected.  Equal texts co
 document do not turn its own lines into boilerplate.  Everything here is DataFrame work inside the JVM.
 
 Defined results: a null or empty text has no words and fails the base rules; a null host is a host of its own; equal
-rows get equal verdicts; blank lines are never counted; an empty table gives no rows.
+rows get equal verdicts; texts of any length are counted whole; blank lines are never counted; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from strataline.llm.common import WORD, packed, row_digest, settle, words
 SHARE = 0.03      # a line above this share of a host's distinct documents is boilerplate ...
 LEAST = 20        # ... if it stands in more than this many of them
 BROADCAST_KEYS = 1 << 16   # frequent lines (8 bytes each) up to which they go to all tasks; more are joined by key
+PACKED_BITS = 14           # bits of a place that may be taken from a window's hash
 MIN_WORDS = 50
 MAX_REPEATED = 50  # per cent of the words that may lie in repeated three-word windows
 
@@ -52,12 +53,15 @@ def text_features(docs: DataFrame, keep: list[str]) -> DataFrame:
                                                 (F.char_length(x) - F.char_length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("words"))).alias("__lines"),
                  F.transform(F.slice("__w", F.lit(1), F.greatest(n - 2, F.lit(0))),
                              lambda x, i: F.xxhash64(x, F.get("__w", i + 1), F.get("__w", i + 2))).alias("__h"))
-    # repeated windows: sort (hash, place) packed in one long and compare neighbours; skipped where all windows differ
+    # repeated windows: sort (hash, place) and compare neighbours; skipped where all windows differ.  Both are packed in one
+    # long while the place takes few bits from the hash; longer texts sort pairs, with the whole hash
     base = [c for c in b.columns if c != "__h"]
     bits = F.length(F.bin(F.size("__h")))
+    repeats = F.size(F.array_distinct("__h")) < F.size("__h")
     c = b.select(*base, bits.alias("__bits"), F.when(
-        F.size(F.array_distinct("__h")) < F.size("__h"),
-        F.sort_array(F.transform("__h", lambda x, i: F.call_function("shiftleft", x, bits).bitwiseOR(i.cast("long"))))).alias("__s"))
+        repeats & (bits <= PACKED_BITS),
+        F.sort_array(F.transform("__h", lambda x, i: F.call_function("shiftleft", x, bits).bitwiseOR(i.cast("long"))))).alias("__s"), F.when(
+        repeats & (bits > PACKED_BITS), F.sort_array(F.transform("__h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))).alias("__pairs"))
 
     def high(x):
         return F.call_function("shiftright", x, F.col("__bits"))
@@ -65,8 +69,12 @@ def text_features(docs: DataFrame, keep: list[str]) -> DataFrame:
     def twin(v, i):
         return (F.coalesce(high(F.get("__s", i - 1)) == high(v), F.lit(False)) | F.coalesce(high(F.get("__s", i + 1)) == high(v), F.lit(False)))
 
+    def same(v, i):
+        return (F.coalesce(F.get("__pairs", i - 1)["h"] == v["h"], F.lit(False)) | F.coalesce(F.get("__pairs", i + 1)["h"] == v["h"], F.lit(False)))
+
     low = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("__bits")) - 1
-    d = c.select(*base, F.sort_array(F.transform(F.filter("__s", twin), lambda v: v.bitwiseAND(low))).alias("__at"))
+    d = c.select(*base, F.sort_array(F.coalesce(F.transform(F.filter("__s", twin), lambda v: v.bitwiseAND(low)),
+                                                F.transform(F.filter("__pairs", same), lambda v: v["i"].cast("long")))).alias("__at"))
     covered = F.aggregate(F.transform("__at", lambda v, i: F.least(F.lit(3), F.coalesce(F.get("__at", i + 1), v + 3) - v).cast("long")),
                           F.lit(0).cast("long"), lambda s, x: s + x)
     return d.select(*base, F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
