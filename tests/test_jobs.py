@@ -87,6 +87,52 @@ def test_rolling_risk(returns):
     assert out.date.nunique() == 41
 
 
+@pytest.mark.parametrize("nan", ["fill", "mask"])
+def test_small_tiles_give_the_same_covariance(returns, nan):
+    """Several tiles and chunks, with holes: products over pairs of tiles, added up over chunks."""
+    _, names, df = returns
+    holes = df.where(~((F.col("instrument") == "n1") & (F.dayofmonth("datetime") % 5 == 0)))
+    for make in (lambda **k: K.sample_covariance(holes, nan, **k), lambda **k: K.sample_covariance(holes, nan, correlation=True, **k)):
+        np.testing.assert_allclose(matrix(make(tile=2, span=17), names), matrix(make(), names), rtol=1e-9, atol=1e-12)
+
+
+@pytest.mark.parametrize("target", ["const_corr", "single_factor"])
+def test_small_tiles_give_the_same_shrinkage(returns, target):
+    _, names, df = returns
+    got, want = (K.shrunk_covariance(df, target, **k) for k in ({"tile": 2, "span": 17}, {}))
+    np.testing.assert_allclose(matrix(got, names), matrix(want, names), rtol=1e-9, atol=1e-12)
+    assert got.first()["intensity"] == pytest.approx(want.first()["intensity"], rel=1e-9)
+
+
+def test_factors_by_subspace_iteration(spark):
+    """More instruments than the random space is wide, in several tiles and chunks."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, (90, 4)) @ rng.normal(0, 3, (4, 60)) + rng.normal(0, 1, (90, 60))
+    names = [f"n{i:02d}" for i in range(60)]
+    long = pd.DataFrame(x, columns=names, index=pd.date_range("2024-01-01", periods=90, name="datetime")).reset_index().melt("datetime", var_name="instrument", value_name="ret")
+    model = K.structured_covariance(panel(spark, long), 2, tile=9, span=40)
+    c = x - x.mean(axis=0)
+    _, s, vt = np.linalg.svd(c, full_matrices=False)
+    f = vt[:2].T
+    b = c @ f
+    want = f @ np.diag((b * b).sum(axis=0) / 89) @ f.T + np.diag((c - b @ f.T).var(axis=0))
+    np.testing.assert_allclose(matrix(model["covariance"], names), want, rtol=1e-6, atol=1e-7)
+    e = model["exposure"].toPandas().pivot(index="instrument", columns="factor", values="exposure").loc[names].to_numpy()
+    np.testing.assert_allclose(e, f * np.where(f.sum(axis=0) < 0, -1, 1), atol=1e-6)
+    np.testing.assert_allclose(model["factor"].orderBy("factor").toPandas()["variance"], s[:2] ** 2 / 89)
+
+
+def test_rolling_risk_in_tiles(returns):
+    _, names, df = returns
+    members = df.where(~((F.col("instrument") == "n3") & (F.dayofmonth("datetime") > 20)))
+    one, two = (K.rolling_risk(df, members.select("instrument", "datetime"), C.calendar_of(df), 30, 3, **k).toPandas().sort_values(["date", "instrument"])
+                for k in ({}, {"tile": 2}))
+    assert len(one) == len(two) and (one[["date", "instrument"]].to_numpy() == two[["date", "instrument"]].to_numpy()).all()
+    for c in ("exposure", "factor_variance"):
+        np.testing.assert_allclose(np.stack(one[c]), np.stack(two[c]), atol=1e-8)
+    np.testing.assert_allclose(one["specific_risk"], two["specific_risk"], rtol=1e-8)
+
+
 def test_alphas_match_pandas(spark):
     rng = np.random.default_rng(2)
     n = 120
