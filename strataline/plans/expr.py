@@ -237,6 +237,107 @@ def _long_window(op, agg, n, x):
     return _map(f"{op}_joined", _JOINED[op], older, head)
 
 
+# ---------------------------------------------------------------- mergeable moments
+
+LADDER = 10       # rows from which moments are merged from parts
+RUNG, STEP = 8, 8   # rows of the smallest parts (5 where the window is a multiple), and how many parts a larger one is made of
+
+
+def _rungs(n: int) -> list[int]:
+    """Widths of the parts that a window of n rows is made of, ascending."""
+    widths = [5 if n % 5 == 0 else RUNG]
+    while widths[-1] * STEP <= n:
+        widths.append(widths[-1] * STEP)
+    return widths
+
+
+FIELDS = {"one": ["n", "a", "aa"], "two": ["n", "a", "b", "aa", "bb", "ab"], "high": ["n", "a", "aa", "a3", "a4"]}
+
+
+def _part(n: int, xs: tuple, kind: str) -> Expr:
+    """Count, mean and centred moments (each divided by the count) of a short window in one struct; of two series over
+    complete pairs, or of one up to the fourth."""
+    def make(f, *c):
+        w = f.rows(n)
+        if kind == "two":
+            x, y = F.when(c[1].isNotNull(), c[0]), F.when(c[0].isNotNull(), c[1])
+            return F.struct(F.count(x).over(w).alias("n"), F.avg(x).over(w).alias("a"), F.avg(y).over(w).alias("b"), F.var_pop(x).over(w).alias("aa"),
+                            F.var_pop(y).over(w).alias("bb"), F.covar_pop(x, y).over(w).alias("ab"))
+        aa = F.var_pop(c[0]).over(w)
+        cells = [F.count(c[0]).over(w).alias("n"), F.avg(c[0]).over(w).alias("a"), aa.alias("aa")]
+        if kind == "high":
+            cells += [(S.nan_to_null(F.skewness(c[0]).over(w)) * aa * F.sqrt(aa)).alias("a3"), ((S.nan_to_null(F.kurtosis(c[0]).over(w)) + 3) * aa * aa).alias("a4")]
+        return F.struct(*cells)
+    return _win("moments", make, *xs, params=(n, kind), back=n - 1)
+
+
+def _merged(kind: str, *parts: dict) -> dict[str, Column]:
+    """The moments of disjoint parts together.
+
+    Values are taken relative to one part's mean, which lies inside the window, so the sums lose no more digits than the
+    window's own values do, and no value from outside the window takes part.
+    """
+    def added(values):
+        return sum(values[1:], values[0])
+    n = [p["n"] for p in parts]
+    count = added(n)
+    base, shift, mean = {}, {}, {}
+    for v in "ab" if kind == "two" else "a":
+        base[v] = F.coalesce(*[p[v] for p in parts])
+        shift[v] = [F.coalesce(p[v] - base[v], F.lit(0.0)) for p in parts]
+        mean[v] = S.null_div(added([k * d for k, d in zip(n, shift[v])]), count)
+    out = {"n": count} | {v: base[v] + mean[v] for v in mean}
+    own = lambda p, v: F.coalesce(p[v], F.lit(0.0))
+    for v in ("aa", "bb", "ab") if kind == "two" else ("aa",):
+        x, y = v
+        out[v] = S.null_div(added([k * (own(p, v) + d * e) for k, p, d, e in zip(n, parts, shift[x], shift[y])]), count) - mean[x] * mean[y]
+    if kind == "high":
+        m, d = mean["a"], shift["a"]
+        s2 = S.null_div(added([k * (own(p, "aa") + e * e) for k, p, e in zip(n, parts, d)]), count)
+        s3 = S.null_div(added([k * (own(p, "a3") + 3 * e * own(p, "aa") + e * e * e) for k, p, e in zip(n, parts, d)]), count)
+        s4 = S.null_div(added([k * (own(p, "a4") + 4 * e * own(p, "a3") + 6 * e * e * own(p, "aa") + e * e * e * e) for k, p, e in zip(n, parts, d)]), count)
+        out |= {"a3": s3 - 3 * m * s2 + 2 * m * m * m, "a4": s4 - 4 * m * s3 + 6 * m * m * s2 - 3 * m * m * m * m}
+    return {k: out[k] for k in FIELDS[kind]}
+
+
+def _moments(n: int, *xs: Expr, high: bool = False) -> Expr:
+    """Moments of the trailing n rows, in a struct of FIELDS: parts of a few rows, merged by lags.
+
+    A window of any length costs a few lags for each power of STEP in it; windows of several lengths share their parts.
+    """
+    kind = "two" if len(xs) == 2 else "high" if high else "one"
+    if n < LADDER:
+        return _part(n, xs, kind)
+    widths = _rungs(n)
+    built = {widths[0]: _part(widths[0], xs, kind)}
+
+    def merge(parts):
+        if len(parts) == 1:
+            return parts[0]
+
+        def make(f, *cols):
+            # before the first row a part is missing, which is a part of no rows
+            cells = [{k: F.coalesce(c[k], F.lit(0)) if k == "n" else c[k] for k in FIELDS[kind]} for c in cols]
+            return F.struct(*[v.alias(k) for k, v in _merged(kind, *cells).items()])
+        # a column of its own (as windows are): what follows names its fields many times
+        return _win("merged", make, *parts, params=(kind,))
+
+    for w in widths[1:]:
+        built[w] = merge([built[w // STEP] if k == 0 else ref(built[w // STEP], k * (w // STEP)) for k in range(STEP)])
+    parts, at = [], 0
+    for w in reversed(widths):
+        while n - at >= w:
+            parts.append(ref(built[w], at) if at else built[w])
+            at += w
+    if n > at:
+        parts.append(ref(_part(n - at, xs, kind), at))
+    return merge(parts)
+
+
+def _moment(op, fn, m: Expr) -> Expr:
+    return _map(op, fn, m)
+
+
 _UNITS = {"us": 1, "ms": 1_000, "s": 1_000_000, "min": 60_000_000, "h": 3_600_000_000, "d": 86_400_000_000}
 
 
@@ -292,6 +393,10 @@ def min_(x, n):
     return _acc("min", x) if n == 0 else _rolling("min", F.min, n, x)
 
 
+def _laddered(n) -> bool:
+    return isinstance(n, (int, float)) and n >= LADDER
+
+
 def _centred(x):
     """x minus the first value of its series, to keep running power sums accurate."""
     return sub(x, first_value(x))
@@ -317,6 +422,8 @@ def var(x, n):
             v = S.nan_to_null((q - s * s / c) / (c - 1))
             return F.when((c > 1) & v.isNotNull(), F.greatest(v, F.lit(0.0)))
         return _map("var0", f, *_running_moments(x, 2))
+    if _laddered(n):
+        return _moment("var_of", lambda m: S.nan_to_null(F.when(m["n"] > 1, F.greatest(m["aa"], F.lit(0.0)) * m["n"] / (m["n"] - 1))), _moments(int(n), x))
     return _rolling("var", F.var_samp, n, x)
 
 
@@ -324,7 +431,7 @@ def std(x, n):
     x = _num(x)
     if _decays(n):
         return ema(x, n)
-    return sqrt(var(x, 0)) if n == 0 else _rolling("std", F.stddev_samp, n, x)
+    return sqrt(var(x, n)) if n == 0 or _laddered(n) else _rolling("std", F.stddev_samp, n, x)
 
 
 def _central(c, s1, s2, s3, s4=None):
@@ -344,6 +451,8 @@ def skew(x, n):
             m2, m3, _ = _central(c, s1, s2, s3)
             return S.nan_to_null(S.sample_skew(F.when(m2 > 0, m3 / F.pow(m2, F.lit(1.5))), c))
         return _map("skew0", f, *_running_moments(x, 3))
+    if _laddered(n):
+        return _moment("skew_of", lambda m: S.nan_to_null(S.sample_skew(F.when(m["aa"] > 0, m["a3"] / F.pow(m["aa"], F.lit(1.5))), m["n"])), _moments(int(n), x, high=True))
     return _map("skew_fix", S.sample_skew, _rolling("skew_pop", F.skewness, n, x), count(x, n))
 
 
@@ -356,6 +465,8 @@ def kurt(x, n):
             m2, _, m4 = _central(c, s1, s2, s3, s4)
             return S.nan_to_null(S.sample_kurt(F.when(m2 > 0, m4 / (m2 * m2) - 3), c))
         return _map("kurt0", f, *_running_moments(x, 4))
+    if _laddered(n):
+        return _moment("kurt_of", lambda m: S.nan_to_null(S.sample_kurt(F.when(m["aa"] > 0, m["a4"] / (m["aa"] * m["aa"]) - 3), m["n"])), _moments(int(n), x, high=True))
     return _map("kurt_fix", S.sample_kurt, _rolling("kurt_pop", F.kurtosis, n, x), count(x, n))
 
 
@@ -466,9 +577,19 @@ def slope(x, n):
         c, sx, _, st, stt, stx, _ = _running_regression(x)
         return _map("slope0", lambda c, sx, st, stt, stx: S.null_div(stx - st * sx / c, stt - st * st / c),
                     c, sx, st, stt, stx)
+    return _line_slope(x, n)
+
+
+def _line_slope(x, n):
+    if _laddered(n):
+        return _moment("slope_of", lambda m: S.nan_to_null(S.null_div(m["ab"], m["bb"])), _moments(int(n), x, _clock()))
     return _map("nn", S.nan_to_null, _rolling("slope", F.regr_slope, n, x, POS))
 
 
+def _clock() -> Expr:
+    return _map("clock", lambda p: p.cast("double"), POS)
+
+
 def rsquare(x, n):
     x = _num(x)
     if n == 0:
@@ -476,8 +597,11 @@ def rsquare(x, n):
         return _map("rsq0", lambda c, sx, sxx, st, stt, stx: S.null_div(
             F.pow(stx - st * sx / c, F.lit(2.0)), (stt - st * st / c) * (sxx - sx * sx / c)),
             c, sx, sxx, st, stt, stx)
-    return _map("rsq_mask", lambda r, s: F.when((s > FLAT_STD) | s.isNull(), S.nan_to_null(r)),
-                _rolling("rsq", F.regr_r2, n, x, POS), std(x, n))
+    if _laddered(n):
+        square = _moment("rsq_of", lambda m: S.null_div(m["ab"] * m["ab"], m["aa"] * m["bb"]), _moments(int(n), x, _clock()))
+    else:
+        square = _rolling("rsq", F.regr_r2, n, x, POS)
+    return _map("rsq_mask", lambda r, s: F.when((s > FLAT_STD) | s.isNull(), S.nan_to_null(r)), square, std(x, n))
 
 
 def resi(x, n):
@@ -488,6 +612,8 @@ def resi(x, n):
         return _map("resi0", lambda d, p, c, sx, st, stt, stx: d - (
             sx / c + S.null_div(stx - st * sx / c, stt - st * st / c) * (p - st / c)),
             d, POS, c, sx, st, stt, stx)
+    if _laddered(n):
+        return _map("resi_of", lambda v, p, m: v - (m["a"] + S.nan_to_null(S.null_div(m["ab"], m["bb"])) * (p - m["b"])), x, POS, _moments(int(n), x, _clock()))
     t = _map("pos_of", lambda p, c: F.when(c.isNotNull(), p.cast("double")), POS, x)
     return _map("resi", lambda v, p, m, b, pm: v - (m + S.nan_to_null(b) * (p - pm)),
                 x, POS, mean(x, n), _rolling("slope", F.regr_slope, n, x, POS), mean(t, n))
@@ -596,6 +722,8 @@ def cov(a, b, n):
         _, sq = _running_moments(q, 1)
         spq = _acc("sum", mul(_centred(p), _centred(q)))
         return _map("cov0", lambda c, sp, sq, spq: S.nan_to_null(F.when(c > 1, (spq - sp * sq / c) / (c - 1))), c, sp, sq, spq)
+    if _laddered(n):
+        return _moment("cov_of", lambda m: S.nan_to_null(F.when(m["n"] > 1, m["ab"] * m["n"] / (m["n"] - 1))), _moments(int(n), a, b))
     return _rolling("cov", F.covar_samp, n, a, b)
 
 
@@ -608,6 +736,9 @@ def corr(a, b, n):
                     cov(a, b, 0), std(p, 0), std(q, 0))
     p, q = _paired(a, b)
     flat = lambda s: (s > FLAT_STD) | s.isNull()
+    if _laddered(n):
+        ratio = _moment("corr_of", lambda m: S.nan_to_null(F.try_divide(m["ab"], F.sqrt(m["aa"]) * F.sqrt(m["bb"]))), _moments(int(n), a, b))
+        return _map("corr_mask", lambda r, s, t: F.when(flat(s) & flat(t), r), ratio, std(a, n), std(b, n))
     ratio = _map("corr", lambda c, u, v: S.nan_to_null(F.try_divide(c, u * v)), cov(a, b, n), std(p, n), std(q, n))
     return _map("corr_mask", lambda r, s, t: F.when(flat(s) & flat(t), r), ratio, std(a, n), std(b, n))
 

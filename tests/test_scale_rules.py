@@ -37,7 +37,10 @@ def test_all_periods(spark):
     lambda v: E.mean(v, 150),
     lambda v: E.day_cumsum(v, 0, 3),
     lambda v: E.day_last(v),
-], ids=["nested spans", "ema", "corr", "long window", "day sum", "day last"])
+    lambda v: E.std(v, 37) + E.kurt(v, 50),
+    lambda v: E.slope(v, 130),
+    lambda v: E.resi(v, 20) + E.rsquare(v, 300),
+], ids=["nested spans", "ema", "corr", "long window", "day sum", "day last", "std", "slope", "line"])
 def test_forms_agree(spark, make):
     df = series(spark, np.random.default_rng(2).normal(0, 1, 600), "3s")
     e = {"x": make(E.field("v"))}
@@ -50,6 +53,37 @@ def test_forms_agree(spark, make):
     pd.testing.assert_series_equal(blocked, plain, rtol=1e-9)
 
 
+@pytest.mark.parametrize("n", [10, 13, 64, 77, 250, 700])
+def test_merged_moments(spark, n):
+    """Windows made of parts against whole windows, with missing values, a flat stretch and a far level."""
+    rng = np.random.default_rng(n)
+    x, y = 1e6 + rng.normal(0, 1, 1500).cumsum(), rng.normal(0, 1, 1500)
+    x[rng.random(1500) < 0.1] = np.nan
+    x[900:1000], y[rng.random(1500) < 0.05] = 1e6, np.nan
+    df = series(spark, x).withColumnRenamed("v", "x").join(series(spark, y).select("datetime", F.col("v").alias("y")), "datetime")
+    df = df.select("instrument", "datetime", *[F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in "xy"])
+    a, b = E.field("x"), E.field("y")
+    got = features(Panel(df), {"std": E.std(a, n), "skew": E.skew(b, n), "kurt": E.kurt(b, n), "cov": E.cov(a, b, n), "slope": E.slope(a, n),
+                               "rsq": E.rsquare(a, n), "resi": E.resi(a, n)}).orderBy("datetime").toPandas()
+    sx, sy = pd.Series(x), pd.Series(y)
+    roll = lambda s: s.rolling(n, min_periods=1)
+    np.testing.assert_allclose(got["std"], roll(sx).std(), rtol=1e-6, atol=2e-4)     # the other side drifts after a level of 1e6
+    np.testing.assert_allclose(got["skew"].iloc[3:], roll(sy).skew().iloc[3:], rtol=1e-7, atol=1e-9)
+    np.testing.assert_allclose(got["kurt"].iloc[8:], roll(sy).kurt().iloc[8:], rtol=1e-7, atol=1e-9)
+    for i in (5, 40, 300, 899, 950, 1200, 1499):
+        w, v = x[max(0, i - n + 1):i + 1], y[max(0, i - n + 1):i + 1]
+        t, ok, both = np.arange(len(w)), ~np.isnan(w), ~np.isnan(w) & ~np.isnan(v)
+        if both.sum() > 1:
+            assert got["cov"][i] == pytest.approx(np.cov(w[both], v[both])[0, 1], rel=1e-7, abs=1e-7)
+        if ok.sum() > 2:
+            k, c = np.polyfit(t[ok], w[ok] - 1e6, 1)
+            assert got["slope"][i] == pytest.approx(k, rel=1e-6, abs=1e-8)
+            if ok[-1]:
+                assert got["resi"][i] == pytest.approx(w[-1] - 1e6 - (k * t[-1] + c), rel=1e-6, abs=1e-6)
+            if w[ok].std(ddof=1) > 1e-3:
+                assert got["rsq"][i] == pytest.approx(np.corrcoef(t[ok], w[ok])[0, 1] ** 2, rel=1e-6, abs=1e-9)
+
+
 def test_infinite_start(spark):
     df = series(spark, [1.0, 2.0, 3.0, 4.0]).withColumn("v", F.when(F.col("v") == 1, F.lit(float("inf"))).otherwise(F.col("v")))
     got = [r.x for r in features(Panel(df), {"x": E.var(E.field("v"), 0)}).collect()]
