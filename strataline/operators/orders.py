@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataline.functions import scalar as S
@@ -94,15 +94,28 @@ def orders_for_steps(order_file: DataFrame, cal: DataFrame) -> DataFrame:
 def base_prices(orders: DataFrame, quotes: DataFrame, method: str = "twap", unit: str = "day") -> DataFrame:
     """Average market price of each order's interval (``start`` .. ``end``), by time or by volume.
 
-    Intervals are cut into ``unit`` slots and meet quotes by (instrument, slot),
-    so no instrument's quotes are paired with all of its orders.
+    Both ends of an interval look up running sums of the quotes, in a union with them, and the sums are subtracted: a quote is
+    read once, however many orders span it.  Sums run inside (instrument, ``unit`` slot) and over an instrument's slots, and
+    both differences are taken apart, so a short interval does not lose digits to a long history.  Orders that
+    no quote falls into have no row.
     """
-    slots = orders.select("order_id", "instrument", "start", "end", F.explode(F.sequence(
-        F.date_trunc(unit, "start").cast("timestamp_ntz"), F.date_trunc(unit, "end").cast("timestamp_ntz"), F.expr(f"INTERVAL 1 {unit}"))).alias("_slot"))
-    q = quotes.where(F.col("price") > 1e-8).withColumn("_slot", F.date_trunc(unit, "datetime").cast("timestamp_ntz"))
-    hit = slots.join(q, ["instrument", "_slot"]).where(F.col("datetime").between(F.col("start"), F.col("end")))
-    w = F.col("volume") if method == "vwap" else F.lit(1.0)
-    return hit.groupBy("order_id").agg(S.null_div(F.sum(F.col("price") * w), F.sum(w)).alias("base_price"), F.sum(w).alias("base_volume"))
+    slot = F.date_trunc(unit, "datetime").alias("_slot")
+    w = F.coalesce(F.col("volume").cast("double"), F.lit(0.0)) if method == "vwap" else F.lit(1.0)
+    none = F.lit(0.0)
+    seen = quotes.where(F.col("price") > 1e-8).select("instrument", "datetime", F.lit(1).alias("_kind"), F.lit(None).cast(orders.schema["order_id"].dataType).alias("order_id"),
+                                                      w.alias("_w"), (F.col("price") * w).alias("_p"), F.lit(1).alias("_k"))
+    ends = orders.select("instrument", F.inline(F.array(*[F.struct(F.col(c).alias("datetime"), F.lit(k).alias("_kind")) for c, k in (("start", 0), ("end", 2))])), "order_id")
+    rows = seen.unionByName(ends.select("instrument", "datetime", "_kind", "order_id", none.alias("_w"), none.alias("_p"), F.lit(0).alias("_k"))).withColumn("_slot", slot)
+    sums = ("_w", "_p", "_k")
+    inside = Window.partitionBy("instrument", "_slot").orderBy("datetime", "_kind").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    marks = rows.select("instrument", "_slot", "_kind", "order_id", *[F.sum(c).over(inside).alias(f"{c}_in") for c in sums]).where("_kind != 1")
+    before = Window.partitionBy("instrument").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("instrument", "_slot").agg(*[F.sum(c).alias(c) for c in sums]).select(
+        "instrument", "_slot", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in sums])
+    both = marks.join(totals, ["instrument", "_slot"])
+    at = lambda c: F.sum(F.when(F.col("_kind") == 2, F.col(c)).otherwise(-F.col(c)))
+    out = both.groupBy("order_id").agg(*[(at(f"{c}_before") + at(f"{c}_in")).alias(c) for c in sums]).where("_k > 0")
+    return out.select("order_id", S.null_div(F.col("_p"), F.col("_w")).alias("base_price"), F.col("_w").alias("base_volume"))
 
 
 def order_metrics(fills: DataFrame, orders: DataFrame, quotes: DataFrame, method: str = "twap", unit: str = "day") -> DataFrame:
