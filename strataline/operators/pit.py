@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from strataline.functions import timeofday as T
 from strataline.plans import expr as E
-from strataline.plans.evaluate import Frame, Panel, stage, with_columns
+from strataline.plans.evaluate import Frame, Panel, _column, _replace, stage, with_columns
 
 
 def as_published(facts: DataFrame, period: int | None = None) -> DataFrame:
@@ -48,12 +48,46 @@ def evaluate_at_publications(facts: DataFrame, inner: E.Expr, quarterly: bool =
     """Inner expression over the periods known on each publication day; its value at the newest period."""
     if inner.ahead > 0:
         raise ValueError("a point-in-time expression cannot look ahead")
+    running = _by_changes(facts, inner, quarterly)
+    if running is not None:
+        return running
     reach = None if inner.unbounded else int(inner.back) + 1
     s = series_at_publications(facts, reach, quarterly)
     ev = stage(s, {"_v": inner}, Frame(["instrument", "day"], "period_idx"))
     return ev.groupBy("instrument", "day").agg(F.max_by("_v", "period_idx").alias("value"))
 
 
+def _by_changes(facts: DataFrame, inner: E.Expr, quarterly: bool) -> DataFrame | None:
+    """Sums and counts over all periods from what each revision changes in them; None for other expressions.
+
+    A revision adds its value and takes back the one that it replaces, so the work is one row per revision, however many
+    periods there are.  What surrounds the sums is evaluated at the newest period.
+    """
+    nodes = list(inner.nodes())
+    sums = {n.key: n for n in nodes if n.kind == "acc"}
+    if not sums or any(n.kind not in ("field", "const", "map", "acc") for n in nodes) or inner.fields() != {"value"} \
+            or any(n.params[0] not in ("sum", "count") or n.args[0].unbounded for n in sums.values()):
+        return None
+    outer = _replace(inner, {k: f"_acc{i}" for i, k in enumerate(sums)})
+    values = facts.select("instrument", "period", "date", *[_column(n.args[0], {}).cast("double").alias(f"_x{i}") for i, n in enumerate(sums.values())])
+    w = Window.partitionBy("instrument", "period").orderBy("date")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    seen = lambda c: c.isNotNull().cast("double")
+    changes = []
+    for i in range(len(sums)):
+        old = F.lag(f"_x{i}").over(w)
+        changes += [(zero(F.col(f"_x{i}")) - zero(old)).alias(f"_s{i}"), (seen(F.col(f"_x{i}")) - seen(old)).alias(f"_n{i}")]
+    names = [f"_{k}{i}" for i in range(len(sums)) for k in "sn"]
+    days = values.select("instrument", "date", *changes).groupBy("instrument", F.col("date").alias("datetime")).agg(*[F.sum(c).alias(c) for c in names])
+    total = with_columns(Panel(days), {f"_t{c}": E.sum_(E.field(c), 0) for c in names})
+    acc = [F.when(F.col(f"_t_n{i}") > 0, F.col(f"_t_s{i}")).alias(f"_acc{i}") if n.params[0] == "sum" else F.col(f"_t_n{i}").cast("long").alias(f"_acc{i}")
+           for i, n in enumerate(sums.values())]
+    known = total.select("instrument", F.col("datetime").alias("day"), *acc)
+    if "value" in outer.fields():
+        known = known.join(series_at_publications(facts, 1, quarterly).select("instrument", "day", "value"), ["instrument", "day"])
+    return known.select("instrument", "day", _column(outer, {}).alias("value"))
+
+
 def carry_to_calendar(events: DataFrame, grid: DataFrame, day: str = "day", value: str = "value") -> DataFrame:
     """Latest event value on or before each (instrument, datetime) of ``grid``: union and running last, no range join."""
     g = grid.select("instrument", "datetime", F.lit(None).cast("double").alias("_v"), F.lit(1).alias("_kind"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,7 +14,6 @@ from strataline.operators.calendars import calendar_of, densify, minutes_from_da
 from strataline.operators.setops import keep_first
 from strataline.plans import expr as E
 from strataline.plans.evaluate import Panel, with_columns
-from strataline.plans.sizing import settle
 
 PRICES = ["open", "high", "low", "close"]
 GLITCH = (89.0, 111.0)  # fixed values: a one-row change this large is a unit error
@@ -46,23 +46,35 @@ def with_change(panel: Panel, seed: str | None = None) -> DataFrame:
     return with_columns(panel, {"change": change_expr(seed)})
 
 
+def _unit_step(close: Column, prev: Column) -> Column:
+    """By how much a row's exponent exceeds its predecessor's, at least zero; far below zero where the row starts anew.
+
+    A row is divided while it is about a hundred times its predecessor, which is divided itself meanwhile.  If its ratio to
+    the predecessor would be a unit error after d divisions of the latter, it ends with d - 1 divisions less than that.
+    """
+    low, high = GLITCH[0] + 1, GLITCH[1] + 1
+    ratio = S.null_div(close, prev)
+    d = F.round(F.log(F.lit(math.sqrt(low * high)) / ratio) / math.log(100.0))
+    bad = (ratio > 0) & (d >= 0) & (ratio * F.pow(F.lit(100.0), d)).between(low, high)
+    return F.when(close.isNull(), 0.0).when(bad, 1.0 - d).otherwise(-ANEW)
+
+
+ANEW = 1e6   # more divisions than any row has
+
+
 def repair_units(panel: Panel) -> DataFrame:
     """Divide prices by 100 while a row is about a hundred times its predecessor.
 
-    Each pass repairs the first row of every bad run, so there are as many
-    passes as the longest run; every pass is one distributed window job.
+    How often a row is divided follows from how often its predecessor is: e = max(0, e of the predecessor + step).  Such steps
+    compose, so e is the running sum of the steps less its lowest value so far: one pass, whatever the length of a run.
     """
     cols = [c for c in PRICES + ["adjclose"] if c in panel.df.columns]
-    hot = panel.is_hot()
-    df = settle(panel.df)
-    while True:
-        marked = with_columns(Panel(df, blocked=hot), {"_chg": change_expr()})
-        bad = F.coalesce(F.col("_chg").between(*GLITCH), F.lit(False))
-        fixed = settle(marked.select(*[F.when(bad, F.col(c) / 100).otherwise(F.col(c)).alias(c) if c in cols else F.col(c)
-                                       for c in df.columns], bad.alias("_bad")))
-        df = fixed.drop("_bad")
-        if fixed.where("_bad").isEmpty():
-            return df
+    close = E.field("close")
+    total = E.sum_(E.column_map("unit_step", _unit_step, close, E.ref(E.ffill(close), 1)), 0)
+    times = total - E.less(E.min_(total, 0), 0.0)
+    out = with_columns(panel, {"_times": times})
+    return out.select(*[F.when(F.col("_times") > 0, F.col(c) / F.pow(F.lit(100.0), F.col("_times"))).otherwise(F.col(c)).alias(c) if c in cols else F.col(c)
+                        for c in panel.df.columns])
 
 
 def normalise_bars(raw: DataFrame, cal: DataFrame, order: list[Column] | None = None) -> DataFrame:

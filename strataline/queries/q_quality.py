@@ -31,14 +31,14 @@ def _(s, d):
     return df.withColumn("change", r("change", 5))
 
 
-def _glitchy(s, d):
+def _glitchy(s, d, months=(6, 7)):
     m = supp_m(s, d)
-    bad = F.month("datetime").isin(6, 7)
+    bad = F.month("datetime").isin(*months)
     return Panel(m.df.withColumn("close", F.when(bad, F.col("close") * 100).otherwise(F.col("close"))))
 
 
-def repair_sql(passes=3):
-    ctes = ["g0 AS (SELECT instrument, datetime, volume, CASE WHEN month(datetime) IN (6, 7) THEN close * 100 ELSE close END AS close FROM supp_m)"]
+def repair_sql(passes=3, months="6, 7"):
+    ctes = [f"g0 AS (SELECT instrument, datetime, volume, CASE WHEN month(datetime) IN ({months}) THEN close * 100 ELSE close END AS close FROM supp_m)"]
     for i in range(passes):
         ctes.append(f"g{i + 1} AS (SELECT instrument, datetime, volume, CASE WHEN close / lag(close) OVER (PARTITION BY instrument ORDER BY datetime) - 1 BETWEEN 89 AND 111 THEN close / 100 ELSE close END AS close FROM g{i})")
     return sql(f"SELECT instrument, datetime, {rq('close')} AS close, volume FROM g{passes}", "supp_m", *ctes)
@@ -50,6 +50,12 @@ def _(s, d):
     return df.select("instrument", "datetime", r("close").alias("close"), "volume")
 
 
+@query("repair_units_long_runs", repair_sql(10, "2, 3, 4, 5, 6, 7, 8, 9, 10"))
+def _(s, d):
+    df = Q.repair_units(_glitchy(s, d, range(2, 11)))
+    return df.select("instrument", "datetime", r("close").alias("close"), "volume")
+
+
 @query("normalise_bars", sql(f"""SELECT instrument, datetime, close, volume, {rq('CASE WHEN close IS NOT NULL AND prev <> 0 THEN cur / prev - 1 END', 5)} AS change FROM
     (SELECT *, lag(cur) OVER w AS prev FROM (SELECT *, last_value(close IGNORE NULLS) OVER x AS cur FROM dense {WI}) {WI})""", "bars_d",
     "holes AS (SELECT instrument, datetime, 50 + close / 10 AS close, CASE WHEN volume % 9 < 1 THEN 0.0 ELSE volume END AS volume FROM bars_d)", DENSE))

@@ -223,6 +223,45 @@ def test_repair_follows_long_runs(spark):
     assert got == pytest.approx([1.0, 1.0, 1.01, 0.99, 1.0, 1.02])
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_repair_is_the_repeated_repair(spark, seed):
+    """Against one division per pass, with runs in runs, missing rows, zeros and jumps that are no unit errors."""
+    rng = np.random.default_rng(seed)
+    close = 10 * np.exp(rng.normal(0, 0.01, 400).cumsum()) * 100.0 ** np.clip(rng.integers(-1, 2, 400).cumsum() * (rng.random(400) < 0.7), 0, 3)
+    close[rng.random(400) < 0.1] = np.nan
+    close[rng.random(400) < 0.02] = 0.0
+    close[rng.random(400) < 0.05] *= 7
+    df = panel(spark, pd.DataFrame({"instrument": "a", "datetime": pd.date_range("2024-01-01", periods=400), "close": close}))
+    got = Q.repair_units(Panel(df.withColumn("close", F.nanvl("close", F.lit(None).cast("double"))))).orderBy("datetime").toPandas()["close"]
+    want = pd.Series(close)
+    while True:
+        full = want.ffill()
+        with np.errstate(all="ignore"):
+            bad = want.notna() & (full / full.shift() - 1).between(89, 111)
+        if not bad.any():
+            break
+        want[bad] /= 100
+    np.testing.assert_allclose(got, want, rtol=1e-9)
+
+
+def test_sums_of_all_periods_by_changes(spark):
+    """Revisions, missing values and late periods: running changes against all periods of every day."""
+    rng = np.random.default_rng(5)
+    rows = [("ab"[k % 2], dt.date(2020, 1, 1) + dt.timedelta(int(rng.integers(0, 90))), 202001 + int(rng.integers(0, 4)) + 100 * int(rng.integers(0, 3)),
+             None if rng.random() < 0.2 else float(rng.integers(1, 50))) for k in range(200)]
+    facts = spark.createDataFrame([(i, d, p, v) for (i, d, p), v in {r[:3]: r[3] for r in rows}.items()], "instrument string, date date, period int, value double")
+    v = E.field("value")
+    sums = {"sum": E.sum_(v, 0), "mixed": E.sum_(v * 2 + 1, 0) / E.count(v, 0) - v}
+    for name, e in sums.items():
+        got = {(r.instrument, r.day): r.value for r in PIT.evaluate_at_publications(facts, e).collect()}
+        s = PIT.series_at_publications(facts, None).toPandas()
+        for key, g in s.groupby(["instrument", "day"]):
+            x = g.sort_values("period_idx")["value"]
+            total = x.sum() if x.notna().any() else None
+            want = total if name == "sum" else None if total is None or np.isnan(x.iloc[-1]) else (2 * x + 1).sum() / x.notna().sum() - x.iloc[-1]
+            assert got[key] == (None if want is None else pytest.approx(want)), (name, key)
+
+
 def test_missing_gate_raises(spark):
     df = panel(spark, pd.DataFrame({"instrument": "a", "datetime": pd.date_range("2024-01-01", periods=4), "x": [1.0, np.nan, np.nan, 1.0]}))
     df = df.withColumn("x", F.when(~F.isnan("x"), F.col("x")))
