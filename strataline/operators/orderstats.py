@@ -102,3 +102,27 @@ def ordered_place(df: DataFrame, by: list[str], value: str, tiebreak: list[str],
     return (signed.join(s, [*by, "_v"])
             .withColumn(place, F.col("_before") + F.row_number().over(tie))
             .withColumnRenamed("_total", total).select(*df.columns, place, total))
+
+
+def places(df: DataFrame, by: list[str], specs: dict[str, tuple[str, bool]], tiebreak: list[str], total: tuple[str, str] | None = None,
+           hot: bool | None = None) -> DataFrame:
+    """All rows with several unique positions at once, ``out: (value, descending)``, missing where the value is; and, as ``total``
+    (out, value), the group's number of non-missing values.
+
+    The positions of a report share one exchange; no order is joined back.
+    """
+    if hot is None:
+        hot = skew_proof(df)
+    if not hot:
+        group = Window.partitionBy(*by)
+        cols = {}
+        for out, (value, descending) in specs.items():
+            first = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
+            cols[out] = F.when(F.col(value).isNotNull(), F.row_number().over(group.orderBy(first, *tiebreak)))
+        if total:
+            cols[total[0]] = F.count(total[1]).over(group)
+        return df.withColumns(cols)
+    for out, (value, descending) in specs.items():
+        placed = ordered_place(df.select(*by, *tiebreak, value), by, value, tiebreak, out, "_of", descending, hot=True)
+        df = df.join(placed.select(*by, *tiebreak, out), [*by, *tiebreak], "left")
+    return df.join(df.groupBy(*by).agg(F.count(total[1]).alias(total[0])), by) if total else df

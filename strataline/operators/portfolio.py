@@ -157,22 +157,23 @@ def bin_groups(values: DataFrame, bench: DataFrame, bins: int, column: str = "va
     return values.join(edges, "datetime").select("instrument", "datetime", (F.lit(bins) - passed).cast("int").alias("group"))
 
 
-def _by_group(weights, groups, rets):
-    j = weights.join(groups, ["instrument", "datetime"]).join(rets, ["instrument", "datetime"], "left")
-    w = F.col("weight")
-    return j.groupBy("datetime", "group").agg(F.sum(w).alias("w"), S.null_div(F.coalesce(F.sum(w * F.col("next_ret")), F.lit(0.0)), F.sum(w)).alias("r"))
-
-
 def brinson(port: DataFrame, bench: DataFrame, groups: DataFrame, rets: DataFrame) -> DataFrame:
-    """Allocation, selection, interaction and total excess return per date."""
-    p, b = _by_group(port, groups, rets), _by_group(bench, groups, rets)
-    j = p.select("datetime", "group", F.col("w").alias("pw"), F.col("r").alias("pr")).join(
-        b.select("datetime", "group", F.col("w").alias("bw"), F.col("r").alias("br")), ["datetime", "group"], "full")
+    """Allocation, selection, interaction and total excess return per date.
+
+    Both sides' weights stand beside each other on one row per instrument, so groups and returns are joined once.
+    """
+    none = F.lit(None).cast("double")
+    both = port.select("instrument", "datetime", F.col("weight").alias("pw"), none.alias("bw")).unionByName(
+        bench.select("instrument", "datetime", none.alias("pw"), F.col("weight").alias("bw")))
+    both = both.groupBy("instrument", "datetime").agg(F.sum("pw").alias("pw"), F.sum("bw").alias("bw"))
+    j = both.join(groups, ["instrument", "datetime"]).join(rets, ["instrument", "datetime"], "left")
+    ret = lambda w: S.null_div(F.coalesce(F.sum(F.col(w) * F.col("next_ret")), F.lit(0.0)), F.sum(w))
+    by = j.groupBy("datetime", "group").agg(F.sum("pw").alias("pw"), F.sum("bw").alias("bw"), ret("pw").alias("pr"), ret("bw").alias("br"))
     pw, bw = F.coalesce("pw", F.lit(0.0)), F.coalesce("bw", F.lit(0.0))
     pr = F.coalesce("pr", "br")
     q = [F.sum(bw * F.col("br")), F.sum(pw * F.col("br")), F.sum(bw * pr), F.sum(pw * pr)]
     q1, q2, q3, q4 = [F.coalesce(x, F.lit(0.0)) for x in q]
-    return j.groupBy("datetime").agg((q2 - q1).alias("allocation"), (q3 - q1).alias("selection"), (q4 - q3 - q2 + q1).alias("interaction"), (q4 - q1).alias("total"))
+    return by.groupBy("datetime").agg((q2 - q1).alias("allocation"), (q3 - q1).alias("selection"), (q4 - q3 - q2 + q1).alias("interaction"), (q4 - q1).alias("total"))
 
 
 def long_short_excess(pred: DataFrame, quotes: DataFrame, cal: DataFrame, k: int, shift: int = 1) -> DataFrame:

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataline.functions import scalar as S
 from strataline.operators.calendars import calendar_of
-from strataline.operators.orderstats import average_rank, ordered_place
+from strataline.operators.orderstats import average_rank, ordered_place, places
 from strataline.operators.setops import quantile_members
 from strataline.plans import expr as E
 from strataline.plans.evaluate import Panel, with_columns
@@ -70,12 +68,23 @@ def annualised(df: DataFrame, columns: list[str], scale: float = 252.0) -> DataF
 
 
 def signal_report(df: DataFrame, q: float = 0.2) -> DataFrame:
-    """One row: IC, ICIR, rank forms, mean long and short precision, long-short and average returns."""
-    ic = ic_summary(ic_by_date(df))
-    pr = long_short_precision(df, q).agg(F.avg("long").alias("long_precision"), F.avg("short").alias("short_precision"))
-    rt = long_short_return(df, q).agg(F.avg("long_short").alias("long_short_return"), F.avg("average").alias("average_return"))
-    parts = [x.withColumn("_k", F.lit(0)) for x in (ic, pr, rt)]  # one row each
-    return reduce(lambda a, b: a.join(b, "_k"), parts).drop("_k")
+    """One row: IC, ICIR, rank forms, mean long and short precision, long-short and average returns.
+
+    Everything comes from one ranked panel: each date is aggregated once, each part of the report over its own rows.
+    """
+    x = df.select("instrument", "datetime", "score", "label", F.when(F.col("label").isNotNull(), F.col("score")).alias("_s"),
+                  F.when(F.col("score").isNotNull(), F.col("label")).alias("_l"))
+    x = average_rank(average_rank(x, ["datetime"], "_s", "_rs"), ["datetime"], "_l", "_rl")
+    x = places(x, ["datetime"], {"_hi": ("score", True), "_lo": ("score", False)}, ["instrument"], total=("_n", "score"))
+    label, k = F.col("label"), F.floor(F.col("_n") * F.lit(q))
+    long, short = F.col("_hi") <= k, F.col("_lo") <= k
+    by = x.groupBy("datetime").agg(
+        S.pair_corr(F.col("_s"), F.col("_l")).alias("ic"), S.pair_corr(F.col("_rs"), F.col("_rl")).alias("rank_ic"),
+        F.avg(F.when(long, (label > 0).cast("double"))).alias("_lp"), F.avg(F.when(short, (label < 0).cast("double"))).alias("_sp"),
+        ((F.avg(F.when(long, label)) - F.avg(F.when(short, label))) / 2).alias("_ls"), F.avg(label).alias("_avg"))
+    ratio = lambda c: S.null_div(F.avg(c), F.stddev_samp(c))
+    return by.agg(F.avg("ic").alias("ic"), ratio("ic").alias("icir"), F.avg("rank_ic").alias("rank_ic"), ratio("rank_ic").alias("rank_icir"),
+                  F.avg("_lp").alias("long_precision"), F.avg("_sp").alias("short_precision"), F.avg("_ls").alias("long_short_return"), F.avg("_avg").alias("average_return"))
 
 
 def prediction_autocorr(df: DataFrame, lag: int = 1, score: str = "score") -> DataFrame:
@@ -111,18 +120,15 @@ def cumulative(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def turnover(df: DataFrame, groups: int = 5, lag: int = 1, score: str = "score") -> DataFrame:
-    """1 - share of the top (bottom) group that was also top (bottom) by the lagged score."""
-    last = with_columns(Panel(df.select("instrument", "datetime", score)), {"_last": E.ref(E.field(score), lag)})
-    sizes = last.groupBy("datetime").agg(F.floor(F.count(F.lit(1)) / groups).alias("_k"))
-    out = None
-    for name, desc in (("top", True), ("bottom", False)):
-        now = ordered_place(last, ["datetime"], score, ["instrument"], "_p", "_n", descending=desc).select("instrument", "datetime", "_p")
-        old = ordered_place(last, ["datetime"], "_last", ["instrument"], "_q", "_n", descending=desc).select("instrument", "datetime", "_q")
-        j = now.join(sizes, "datetime").join(old, ["instrument", "datetime"], "left")
-        kept = F.count_if((F.col("_p") <= F.col("_k")) & (F.col("_q") <= F.col("_k")))
-        part = j.groupBy("datetime").agg(S.null_div(F.first("_k") - kept, F.first("_k").cast("double")).alias(name))
-        out = part if out is None else out.join(part, "datetime")
-    return out
+    """1 - share of the top (bottom) group that was also top (bottom) by the lagged score; all four orders in one exchange."""
+    last = with_columns(Panel(df.select("instrument", "datetime", score)), {"_last": E.ref(E.field(score), lag)}).withColumn("_one", F.lit(1))
+    specs = {f"{side}_{c}": (c, side == "top") for side in ("top", "bottom") for c in (score, "_last")}
+    x = places(last, ["datetime"], specs, ["instrument"], total=("_n", "_one")).withColumn("_k", F.floor(F.col("_n") / groups))
+
+    def gone(side):
+        kept = F.count_if((F.col(f"{side}_{score}") <= F.col("_k")) & (F.col(f"{side}__last") <= F.col("_k")))
+        return S.null_div(F.first("_k") - kept, F.first("_k").cast("double")).alias(side)
+    return x.groupBy("datetime").agg(gone("top"), gone("bottom"))
 
 
 def monthly_ic(ic: DataFrame) -> DataFrame:
@@ -157,3 +163,11 @@ def feature_stats(df: DataFrame, column: str) -> DataFrame:
         F.count_if(S.is_inf(x)).alias("n_inf"), F.count_if(x.isNull()).alias("n_missing"), (F.count_if(x.isNull()) / n).alias("missing_ratio"),
         F.avg(finite).alias("mean"), F.stddev_samp(finite).alias("std"), S.sample_skew(F.skewness(finite), F.count(finite)).alias("skew"),
         S.sample_kurt(F.kurtosis(finite), F.count(finite)).alias("kurt"))
+
+
+def feature_autocorr(df: DataFrame, columns: list[str], lag: int = 1) -> DataFrame:
+    """Per date and feature: correlation, over the instruments, of its values with those ``lag`` rows earlier; infinities left out."""
+    finite = df.select("instrument", "datetime", *[F.when(~S.is_inf(F.col(c)), F.col(c)).alias(c) for c in columns])
+    both = with_columns(Panel(finite), {f"_p{i}": E.ref(E.field(c), lag) for i, c in enumerate(columns)})
+    wide = both.groupBy("datetime").agg(*[S.pair_corr(F.col(c), F.col(f"_p{i}")).alias(f"_c{i}") for i, c in enumerate(columns)])
+    return wide.select("datetime", F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"_c{i}").alias("autocorr")) for i, c in enumerate(columns)])))

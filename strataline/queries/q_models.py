@@ -95,6 +95,19 @@ def _(s, d):
     return SP.predict(m, df, ["a", "b", "c"]).select("instrument", "datetime", r("score", 4).alias("score"))
 
 
+@query("boosted_stump", sql(f"""SELECT instrument, datetime, {rq('CASE WHEN (CASE f WHEN 0 THEN a ELSE b END) <= cut THEN lo ELSE hi END', 4)} AS score FROM x, (SELECT arg_max({{'f': f, 'cut': cut, 'lo': l / nl, 'hi': h / nh}}, l * l / nl + h * h / nh) AS best FROM
+      (SELECT c.f, c.v AS cut, sum(y) FILTER (t.v <= c.v) AS l, count(*) FILTER (t.v <= c.v) AS nl, sum(y) FILTER (t.v > c.v) AS h, count(*) FILTER (t.v > c.v) AS nh
+       FROM (SELECT DISTINCT f, v FROM t) c JOIN t USING (f) GROUP BY 1, 2) WHERE nh > 0), (SELECT best.f AS f, best.cut AS cut, best.lo AS lo, best.hi AS hi FROM (SELECT 1)) g""",
+    "bars_d", "x AS (SELECT instrument, datetime, CAST(dayofweek(datetime) + 1 AS DOUBLE) AS a, CAST(CAST(instrument AS BIGINT) % 7 AS DOUBLE) AS b, lead(close) OVER (PARTITION BY instrument ORDER BY datetime) - close AS y FROM bars_d)",
+    "t AS (SELECT 0 AS f, a AS v, y FROM x WHERE y IS NOT NULL UNION ALL SELECT 1, b, y FROM x WHERE y IS NOT NULL)"))
+def _(s, d):
+    """One tree of one split, whose place SQL can find among all places."""
+    df = features(bars_d(s, d), {"label": E.ref(E.field("close"), -1) - E.field("close")})
+    df = df.withColumn("a", F.dayofweek("datetime").cast("double")).withColumn("b", (F.col("instrument").cast("long") % 7).cast("double"))
+    m = SP.fit_boosted_trees(df, ["a", "b"], rounds=1, depth=1)
+    return SP.predict(m, df, ["a", "b"]).select("instrument", "datetime", r("score", 4).alias("score"))
+
+
 def arank(c):
     return f"(rank() OVER (PARTITION BY segment, datetime ORDER BY {c}) + (count(*) OVER (PARTITION BY segment, datetime, {c}) - 1) / 2.0)"
 

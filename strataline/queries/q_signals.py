@@ -134,3 +134,10 @@ def _(s, d):
 def _(s, d):
     f = G.feature_stats(scores(s, d), "label")
     return f.select(*[r(c, {"skew": 5, "kurt": 4}.get(c, 6)).alias(c) if t == "double" else F.col(c) for c, t in f.dtypes])
+
+
+@query("feature_autocorr", sql(f"""SELECT datetime, feature, {rq('CASE WHEN count(l) FILTER (v IS NOT NULL) > 1 AND var_pop(v) FILTER (l IS NOT NULL) > 0 AND var_pop(l) FILTER (v IS NOT NULL) > 0 THEN corr(v, l) END')} AS autocorr FROM
+    (SELECT datetime, 'close' AS feature, close AS v, lag(close) OVER w AS l FROM bars_d WINDOW w AS (PARTITION BY instrument ORDER BY datetime) UNION ALL
+     SELECT datetime, 'volume', volume, lag(volume) OVER w FROM bars_d WINDOW w AS (PARTITION BY instrument ORDER BY datetime)) GROUP BY 1, 2""", "bars_d"))
+def _(s, d):
+    return rounded(G.feature_autocorr(bars_d(s, d).df, ["close", "volume"]))

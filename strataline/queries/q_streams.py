@@ -45,6 +45,19 @@ def _(s, d):
     return out.withColumn("change", r("change", 4))
 
 
+@query("stream_late_rows", """SELECT event_type AS instrument, ts AS datetime, value, epoch_us(ts) // 1000000 % 3 AS batch FROM events, (SELECT
+    max(ts) FILTER (epoch_us(ts) // 1000000 % 3 = 0) AS m0, max(ts) FILTER (epoch_us(ts) // 1000000 % 3 < 2) AS m1 FROM events)
+    WHERE ts < CASE epoch_us(ts) // 1000000 % 3 WHEN 1 THEN m0 WHEN 2 THEN m1 END - INTERVAL 20 DAY""")
+def _(s, d):
+    """The events in three deliveries, dealt by the second of their time: what arrives too late goes to a side table."""
+    at = scratch_folder(s)
+    e = table(s, d, "events").select(F.col("event_type").alias("instrument"), F.col("ts").cast("timestamp").alias("datetime"), "value")
+    for k in range(3):
+        e.where(F.unix_seconds("datetime") % 3 == k).write.mode("append").parquet(at + "/in")
+        J.route_late(s.readStream.schema(e.schema).parquet(at + "/in"), at + "/out", at + "/state", "20 days").awaitTermination()
+    return s.read.parquet(at + "/out/late").select("instrument", F.col("datetime").cast("timestamp_ntz").alias("datetime"), "value", F.col("batch").cast("long").alias("batch"))
+
+
 @query("stream_refresh", sql(f"""SELECT instrument, datetime, {rq('avg(close) OVER (PARTITION BY instrument ORDER BY datetime ROWS 4 PRECEDING)')} AS m FROM bars_d""", "bars_d"))
 def _(s, d):
     at = scratch_folder(s)

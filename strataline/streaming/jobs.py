@@ -63,6 +63,26 @@ def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"
     return {"rows": sum(p.numInputRows for p in q.recentProgress), "late": late}
 
 
+def route_late(stream: DataFrame, path: str, checkpoint: str, late: str = "10 minutes"):
+    """Each batch's rows to ``path``/on_time, or to ``path``/late where they are older than the newest row of all earlier
+    batches less the allowance ``late``.
+
+    Nothing is dropped.  A batch writes three folders of its own (its rows, its late rows, its newest time) and reads only the
+    earlier batches' times, so a batch that is run again after a failure replaces what it wrote.
+    """
+    def apply(batch: DataFrame, number: int):
+        spark = batch.sparkSession
+        seen = spark.read.schema("newest timestamp, batch long").parquet(f"{path}/times") if number else None
+        newest = seen.where(F.col("batch") < number).agg(F.max("newest")).first()[0] if number else None
+        old = F.lit(False) if newest is None else F.coalesce(F.col("datetime") < F.lit(newest) - F.expr(f"INTERVAL {late}"), F.lit(False))
+        batch = batch.persist()
+        for part, rows in (("on_time", batch.where(~old)), ("late", batch.where(old)), ("times", batch.agg(F.max(F.col("datetime").cast("timestamp")).alias("newest")))):
+            rows.write.mode("overwrite").parquet(f"{path}/{part}/batch={number}")
+        batch.unpersist()
+
+    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def refresh_dates(bars: Panel, exprs: dict[str, E.Expr], changed: DataFrame, lookahead_days: int) -> DataFrame:
     """Feature rows of the dates that changed bars can influence, recomputed from full history.
 
