@@ -41,3 +41,29 @@ def test_stages(spark, sf, tmp_path):
 def test_run_is_the_stages(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.columns == ["doc_id", "lang", "source", "ids", "n_tokens"] and out.count() > 100
+
+
+def test_stages_on_odd_rows_and_on_none(spark, sf, tmp_path):
+    """Nulls in every column, empty and repeated rows, copies, other columns with clashing names; and no rows at all."""
+    for name, docs in (("odd", brute.frame(spark)), ("none", spark.createDataFrame([], brute.SCHEMA))):
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            before = docs
+            out = stage(spark, docs, sf)
+            out.write.parquet(str(tmp_path / name / str(i)))
+            docs = spark.read.parquet(str(tmp_path / name / str(i)))
+            if i < 4:
+                assert out.columns == before.columns and out.dtypes == before.dtypes
+            if name == "none":
+                assert docs.count() == 0
+            elif i == 0:
+                kept = docs.collect()
+                assert 0 < len(kept) < before.count() and all(brute.n_words(r.text) for r in kept)
+            elif i == 1:
+                low = {c for _, n, c in brute.near_groups([(r.doc_id, r.text) for r in before.collect()])}
+                assert {r.doc_id for r in docs.collect()} == low
+            elif i == 2:
+                assert docs.count() == before.count()
+            elif i == 3:
+                assert max(Counter(r.doc_id for r in docs.collect()).values()) <= 2
+            else:
+                assert docs.count() == before.count()
