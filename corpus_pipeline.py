@@ -2,6 +2,11 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's docs.  All but the last return the columns of documents.
+
+Defined results: null and empty texts have no words and go with the first stage; a null source is a host and a queue of its
+own; a null lang only passes through; a null doc_id is a document like others, and the last choice of its group; of
+equal rows and of copies one stays after the second stage; other columns, whatever their names, pass through up to the
+last stage; texts of any length are worked on whole; no documents give no rows at every stage.
 """
 
 from __future__ import annotations
