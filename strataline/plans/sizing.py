@@ -28,12 +28,12 @@ def skew_proof(df: DataFrame) -> bool:
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A new folder under the session's checkpoint folder.
+    """A new folder under the session's checkpoint folder, from its configuration or set on its context.
 
     A folder of our own is only set where the session names none and runs
     locally, as in tests.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root is None:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
