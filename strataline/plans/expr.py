@@ -239,7 +239,7 @@ def _long_window(op, agg, n, x):
 
 # ---------------------------------------------------------------- mergeable moments
 
-LADDER = 10       # rows from which moments are merged from parts
+LADDER = 100      # rows from which moments are merged from parts; shorter sliding frames cost less
 RUNG, STEP = 8, 8   # rows of the smallest parts (5 where the window is a multiple), and how many parts a larger one is made of
 
 

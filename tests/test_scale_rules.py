@@ -41,7 +41,8 @@ def test_all_periods(spark):
     lambda v: E.slope(v, 130),
     lambda v: E.resi(v, 20) + E.rsquare(v, 300),
 ], ids=["nested spans", "ema", "corr", "long window", "day sum", "day last", "std", "slope", "line"])
-def test_forms_agree(spark, make):
+def test_forms_agree(spark, make, monkeypatch):
+    monkeypatch.setattr(E, "LADDER", 10)
     df = series(spark, np.random.default_rng(2).normal(0, 1, 600), "3s")
     e = {"x": make(E.field("v"))}
     plain = features(Panel(df, blocked=False), e).orderBy("datetime").toPandas()["x"]
@@ -54,8 +55,9 @@ def test_forms_agree(spark, make):
 
 
 @pytest.mark.parametrize("n", [10, 13, 64, 77, 250, 700])
-def test_merged_moments(spark, n):
+def test_merged_moments(spark, n, monkeypatch):
     """Windows made of parts against whole windows, with missing values, a flat stretch and a far level."""
+    monkeypatch.setattr(E, "LADDER", 10)
     rng = np.random.default_rng(n)
     x, y = 1e6 + rng.normal(0, 1, 1500).cumsum(), rng.normal(0, 1, 1500)
     x[rng.random(1500) < 0.1] = np.nan
