@@ -104,6 +104,17 @@ def test_small_tiles_give_the_same_shrinkage(returns, target):
     assert got.first()["intensity"] == pytest.approx(want.first()["intensity"], rel=1e-9)
 
 
+@pytest.mark.parametrize("target,alpha", [("const_var", "oas"), ("const_var", "lw"), ("const_corr", "lw"), ("single_factor", "lw")])
+def test_shrinkage_never_stores_the_cells(returns, monkeypatch, target, alpha):
+    """What is checkpointed grows with names and dates, not with names x names."""
+    _, names, df = returns
+    stored, settle = [], K.settle
+    monkeypatch.setattr(K, "settle", lambda d: (stored.append(d.count()), settle(d))[1])
+    few = df.where("datetime < '2024-01-05'")
+    assert K.shrunk_covariance(few, target, alpha, tile=2).count() == 36
+    assert max(stored) <= few.count() < 36
+
+
 def test_factors_by_subspace_iteration(spark):
     """More instruments than the random space is wide, in several tiles and chunks."""
     rng = np.random.default_rng(4)
