@@ -115,6 +115,18 @@ def test_shrinkage_never_stores_the_cells(returns, monkeypatch, target, alpha):
     assert max(stored) <= few.count() < 36
 
 
+def test_more_factors_than_dates(spark, monkeypatch):
+    """The random space is no wider than the rank of the returns, and the model with all factors is the sample covariance."""
+    x = np.random.default_rng(7).normal(0, 1, (9, 50))
+    names = [f"n{i:02d}" for i in range(50)]
+    long = pd.DataFrame(x, columns=names, index=pd.date_range("2024-01-01", periods=9, name="datetime")).reset_index().melt("datetime", var_name="instrument", value_name="ret")
+    widths, narrow = [], K._orthonormal
+    monkeypatch.setattr(K, "_orthonormal", lambda z, width, *a: (widths.append(width), narrow(z, width, *a))[1])
+    got = matrix(K.structured_covariance(panel(spark, long), 10_000, tile=20)["covariance"], names)
+    assert max(widths) <= 9
+    np.testing.assert_allclose(got, np.cov(x.T), rtol=1e-7, atol=1e-9)
+
+
 def test_factors_by_subspace_iteration(spark):
     """More instruments than the random space is wide, in several tiles and chunks."""
     rng = np.random.default_rng(4)
