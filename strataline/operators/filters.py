@@ -80,7 +80,8 @@ def full_history(panel: DataFrame, start, end) -> DataFrame:
 
 
 def drop_missing(panel: DataFrame, columns: list[str]) -> DataFrame:
-    return panel.dropna(subset=columns)
+    """Rows where a column is NULL go; a NaN is no missing value here."""
+    return panel.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns]))
 
 
 def drop_columns(panel: DataFrame, columns: list[str]) -> DataFrame:

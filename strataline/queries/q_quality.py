@@ -13,7 +13,7 @@ WI = "WINDOW w AS (PARTITION BY instrument ORDER BY datetime), x AS (PARTITION B
 
 
 def _holes(s, d):
-    b = bars_d(s, d)
+    b = bars_d(s, d, in_order=True)
     return b.df.withColumn("volume", F.when(F.col("volume") % 9 < 1, 0.0).otherwise(F.col("volume")))
 
 
@@ -68,7 +68,7 @@ def _(s, d):
 @query("adjust_prices", sql(f"""SELECT instrument, datetime, {rq('open * f', 5)} AS "open", {rq('volume / f', 4)} AS volume, {rq('f', 5)} AS factor FROM
     (SELECT *, last_value(CASE WHEN volume % 4 >= 1 THEN vwap / close END IGNORE NULLS) OVER x AS f FROM bars_d {WI}) WHERE close > 1""", "bars_d"))
 def _(s, d):
-    b = bars_d(s, d)
+    b = bars_d(s, d, in_order=True)
     df = b.df.withColumn("adjclose", F.when(F.col("volume") % 4 >= 1, F.col("vwap")))
     out = Q.adjust_prices(Panel(df)).join(b.df.select("instrument", "datetime", F.col("close").alias("c0")), ["instrument", "datetime"])
     return out.where("c0 > 1").select("instrument", "datetime", r("open", 5).alias("open"), r("volume", 4).alias("volume"), r("factor", 5).alias("factor"))
@@ -187,7 +187,7 @@ def _(s, d):
     CASE WHEN volume - 10 < 0 THEN 'negative_volume' END], lambda x: x IS NOT NULL) AS errors FROM (SELECT *, CASE WHEN volume % 6 >= 1 THEN close END AS close2 FROM bars_d)
     WHERE close2 IS NULL OR high < low + 5 OR NOT coalesce(open BETWEEN low + 5 AND high, false) OR NOT coalesce(close2 BETWEEN low + 5 AND high, false) OR volume - 10 < 0""", "bars_d"))
 def _(s, d):
-    b = bars_d(s, d).df.withColumns({"close": F.when(F.col("volume") % 6 >= 1, F.col("close")), "low": F.col("low") + 5, "volume": F.col("volume") - 10})
+    b = bars_d(s, d, in_order=True).df.withColumns({"close": F.when(F.col("volume") % 6 >= 1, F.col("close")), "low": F.col("low") + 5, "volume": F.col("volume") - 10})
     return Q.invalid_bars(b).select("instrument", "datetime", "errors")
 
 
@@ -209,5 +209,5 @@ def _(s, d):
     FROM bars_d GROUP BY 1""", "bars_d"))
 def _(s, d):
     b = bars_d(s, d).df.select("instrument", "datetime", "close")
-    stored = b.where(F.dayofmonth("datetime") != 9).withColumn("close", F.when(F.dayofmonth("datetime") == 12, F.col("close") * 1.01).otherwise(F.col("close")))
+    stored = b.where(F.dayofmonth("datetime") != 9).withColumn("close", F.when(F.dayofmonth("datetime") == 12, F.col("close") * 1.01 + 1).otherwise(F.col("close")))
     return Q.compare_panels(b.where(F.dayofmonth("datetime") != 5), stored, ["close"])

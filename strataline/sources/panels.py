@@ -6,9 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def bars_from_ticks(ticks: DataFrame, unit: str, price: str = "value", size: str | None = None) -> DataFrame:
-    """OHLCV bars per (instrument, truncated time); partial aggregation makes hot instruments safe."""
-    amount = F.sum(price) if size is None else F.sum(size)
+def bars_from_ticks(ticks: DataFrame, unit: str, price: str = "value", size: str | None = None,
+                    in_order: bool = False) -> DataFrame:
+    """OHLCV bars per (instrument, truncated time); partial aggregation makes hot instruments safe.
+
+    ``in_order``: volumes are added up in the order of time, so that they have the same last bit however the ticks are split;
+    for bars whose ticks fit a task.
+    """
+    amount = F.sum(price if size is None else size)
+    if in_order:
+        v = F.col(price if size is None else size).cast("double")
+        ticked = F.array_sort(F.collect_list(F.when(v.isNotNull(), F.struct(F.col("datetime").alias("t"), v.alias("v")))))
+        amount = F.when(F.size(ticked) > 0, F.aggregate(ticked, F.lit(0.0), lambda s, x: s + x["v"]))
     vwap = F.avg(price) if size is None else F.sum(F.col(price) * F.col(size)) / F.sum(size)
     return ticks.groupBy("instrument", F.date_trunc(unit, "datetime").cast("timestamp_ntz").alias("datetime")).agg(
         F.min_by(price, "datetime").alias("open"), F.max(price).alias("high"), F.min(price).alias("low"),
