@@ -106,10 +106,18 @@ def _assembled(df: DataFrame, features: list[str]):
     return VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="skip").transform(df)
 
 
-def fit_linear(df: DataFrame, features: list[str], label: str = "label", kind: str = "ols", alpha: float = 0.0, weight: str | None = None):
-    """OLS, ridge or lasso on distributed rows; ``alpha`` has the usual least-squares meaning."""
+def fit_linear(df: DataFrame, features: list[str], label: str = "label", kind: str = "ols", alpha: float = 0.0, weight: str | None = None,
+               strict: bool = False):
+    """OLS, ridge or lasso on distributed rows; ``alpha`` has the usual least-squares meaning.
+
+    Rows with an infinite value are left out.  ``strict``: they are not; squares with them have no least sum, so there is no model (None).
+    """
     from pyspark.ml.regression import LinearRegression
 
+    if strict:
+        off = reduce(lambda a, b: a | b, [S.is_inf(F.col(c)) | F.isnan(c) for c in [*features, label]])
+        if df.where(F.col(label).isNotNull() & off).limit(1).count():
+            return None
     rows = _assembled(_trainable(df, features, label), features)
     reg, mix = 0.0, 0.0
     if kind == "ridge":
@@ -130,7 +138,9 @@ def fit_boosted_trees(df: DataFrame, features: list[str], label: str = "label",
 
 
 def predict(model, df: DataFrame, features: list[str]) -> DataFrame:
-    return model.transform(_assembled(df, features)).drop("_x")
+    """Adds ``score``; NaN without a model."""
+    rows = _assembled(df, features)
+    return (rows.withColumn("score", F.lit(float("nan"))) if model is None else model.transform(rows)).drop("_x")
 
 
 def similarity_matrix(preds: DataFrame, segments: dict[str, tuple], fill: str = "max") -> DataFrame:
