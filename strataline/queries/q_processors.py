@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strataline.functions.scalar import ieee_div
 from strataline.operators import processors as P
 from strataline.queries.common import bars_d, query, r, rounded, rq, scores, sql
 
@@ -122,7 +123,8 @@ def _(s, d):
     from strataline.plans import expr as E
     from strataline.plans.evaluate import features
     O, H, C, V = (E.field(n) for n in ("open", "high", "close", "volume"))
-    df = features(bars_d(s, d), {"KUP2": E.greater(H - E.greater(O, C), 0), "MA5": E.mean(C, 5) / C, "STD5": V + 1})
+    df = features(bars_d(s, d), {"KUP2": E.greater(H - E.greater(O, C), 0), "MA5": E.mean(C, 5), "close": C, "STD5": V + 1})
+    df = df.select("instrument", "datetime", "KUP2", ieee_div(F.col("MA5"), F.col("close")).alias("MA5"), "STD5")
     return rounded(P.SectionNorm(["KUP2", "MA5", "STD5"]).transform(df), n=4)
 
 
