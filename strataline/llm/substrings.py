@@ -141,11 +141,33 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(pack, "digest binary, z binary").groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.first("z").alias("z"))
 
 
-def unpacked(z) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A packed text's bytes, and key, first window, end window and print of its runs."""
-    x = np.frombuffer(zlib.decompress(z.as_buffer()), np.uint8)
-    key, s, e = next(text_runs(x, np.array([0, len(x)])))
-    return x, key.view(np.int64), s, e, run_prints(x, s, e)
+def unpacked(rows: Iterator[dict], wanted=lambda r: True) -> Iterator[tuple]:
+    """Each row, its text's bytes, and key, first window, end window and print of its runs (of none, where not ``wanted``).
+
+    Texts are hashed a megabyte at a time: one by one, most of the time would go into the start of each NumPy call.
+    """
+    held, size = [], 0
+    for r in rows:
+        held.append((r, zlib.decompress(r["z"].as_buffer())))
+        size += len(held[-1][1])
+        if size >= CHUNK:
+            yield from _with_runs(held, wanted)
+            held, size = [], 0
+    yield from _with_runs(held, wanted)
+
+
+def _with_runs(held: list[tuple], wanted) -> Iterator[tuple]:
+    need = [wanted(r) for r, _ in held]
+    texts = [z for (_, z), w in zip(held, need) if w]
+    x, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    runs = enumerate(text_runs(x, offsets))
+    for (r, z), w in zip(held, need):
+        if not w:
+            yield r, np.frombuffer(z, np.uint8), _EMPTY, _EMPTY, _EMPTY, _EMPTY
+            continue
+        i, (key, s, e) = next(runs)
+        text = x[offsets[i]:offsets[i + 1]]
+        yield r, text, key.view(np.int64), s, e, run_prints(text, s, e)
 
 
 def text_digest() -> Column:
@@ -190,9 +212,8 @@ def pieces(texts: DataFrame, marks: DataFrame, key_runs: int = KEY_RUNS) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [[] for _ in range(6)]
-            for r in _rows(batch):
+            for r, x, keys, s, e, prints in unpacked(_rows(batch)):
                 found = _marks(r["marks"])
-                x, keys, s, e, prints = unpacked(r["z"])
                 _, inner = marked(keys, prints, found)
                 digest, text = r["digest"].as_py(), x.tobytes()
                 spread = int.from_bytes(digest[:4], "little")
@@ -262,13 +283,12 @@ def common_prefixes(x: np.ndarray, sa: np.ndarray) -> np.ndarray:
     i = np.flatnonzero(fresh & (before >= 0))
     j, done = before[i], 0
     while len(i):
-        a, b = np.minimum(i + done, n), np.minimum(j + done, n)
-        differ = k[a] ^ k[b]
-        odd = differ.astype(">u8").view(np.uint8).reshape(-1, 8) != 0
-        same = np.where(odd.any(axis=1), odd.argmax(axis=1), 8)
-        same = np.minimum(same, n - np.maximum(a, b))   # the bytes behind the end are padding, never shared
-        shared[i] += same
-        go = same == 8
+        a, b = i + done, j + done
+        differ, left = k[a] ^ k[b], n - np.maximum(a, b)   # the bytes behind the end are padding, never shared
+        go = (differ == 0) & (left >= 8)
+        end = ~go
+        odd = differ[end].astype(">u8").view(np.uint8).reshape(-1, 8) != 0
+        shared[i[end]] = done + np.minimum(np.where(odd.any(axis=1), odd.argmax(axis=1), 8), left[end])
         i, j, done = i[go], j[go], done + 8
     last = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
     plcp = np.maximum(shared[last] - (np.arange(n) - last), 0)
@@ -417,12 +437,12 @@ def kept_texts(texts: DataFrame, marks: DataFrame, spans: DataFrame, with_text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [[], [], [], [], []]
-            for r in _rows(batch):
-                x, keys, s, e, prints = unpacked(r["z"])
+            inside = lambda r: r["marks"].is_valid and r["copies"].as_py() == 1     # copies go as a whole
+            for r, x, keys, s, e, prints in unpacked(_rows(batch), inside):
                 gone = np.zeros(len(x) + 1, np.int64)
                 if r["copies"].as_py() > 1:
                     gone[[0, len(x)]] = 1, -1
-                if r["marks"].is_valid:
+                if inside(r):
                     whole, _ = marked(keys, prints, _marks(r["marks"]))
                     np.add.at(gone, s[whole], 1)
                     np.add.at(gone, e[whole] + LENGTH - 1, -1)

@@ -538,3 +538,28 @@ def test_pieces_do_not_depend_on_batches(spark, sf):
     ids, cuts = p.encode(texts)
     for k, t in enumerate(texts):
         assert p.encode([t])[0].tolist() == ids[cuts[k]:cuts[k + 1]].tolist()
+
+
+def test_texts_are_hashed_together(monkeypatch):
+    """The runs of many small texts take few passes, and are those of each text alone; texts that go as a whole take none."""
+    import zlib
+
+    import numpy as np
+    import pyarrow as pa
+
+    from strataline.llm import substrings as SU
+
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.integers(97, 101, n).astype(np.uint8)) for n in (200, 450, 3000, 201, 900)]
+    rows = [{"z": pa.scalar(zlib.compress(t)), "i": i} for i, t in enumerate(texts)]
+    passes, runs = [], SU.window_runs
+    monkeypatch.setattr(SU, "window_runs", lambda *a: (passes.append(1), runs(*a))[1])
+    got = list(SU.unpacked(rows, lambda r: r["i"] != 3))
+    assert len(passes) == 1 and [r["i"] for r, *_ in got] == [0, 1, 2, 3, 4]
+    for t, (r, x, key, s, e, prints) in zip(texts, got):
+        assert x.tobytes() == t
+        _, k, a, b = runs(x, np.array([0, len(x)]))
+        if r["i"] == 3:
+            assert not len(key) and not len(s)
+        else:
+            assert (key.view(np.uint64) == k).all() and (s == a).all() and (e == b).all() and (prints == SU.run_prints(x, s, e)).all()
