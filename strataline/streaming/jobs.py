@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,15 +33,26 @@ def stream_intensity(ticks: DataFrame, flag: str, span: str, step: str, late: st
         "instrument", F.col("window.start").cast("timestamp_ntz").alias("datetime"), "intensity")
 
 
+PIECE = 50_000     # rows that a group gives back at a time
+
+
 def _carry(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(batches)).sort_values("datetime")
+    # of a trigger's rows only two arrays are kept, and the result is made in pieces
+    parts = [(b["datetime"].to_numpy(), b["value"].to_numpy(float)) for b in batches]
+    times, values = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+    del parts
+    order = np.argsort(times, kind="stable")
     last = state.get[0] if state.exists else None
-    prev = rows["value"].shift(1)
-    prev.iloc[0] = last
-    prev = prev.astype(float)
-    state.update((float(rows["value"].iloc[-1]),))
-    change = (rows["value"] / prev - 1).where(prev.notna() & (prev != 0))
-    yield pd.DataFrame({"instrument": key[0], "datetime": rows["datetime"], "value": rows["value"], "previous": prev, "change": change})
+    last = np.nan if last is None else last
+    state.update((float(values[order[-1]]),))
+    for lo in range(0, len(order), PIECE):
+        at = order[lo:lo + PIECE]
+        value = values[at]
+        prev = np.concatenate([[last], value[:-1]])
+        with np.errstate(all="ignore"):
+            change = np.where(~np.isnan(prev) & (prev != 0), value / prev - 1, np.nan)
+        last = value[-1]
+        yield pd.DataFrame({"instrument": key[0], "datetime": times[at], "value": value, "previous": prev, "change": change})
 
 
 def stream_changes(ticks: DataFrame) -> DataFrame:

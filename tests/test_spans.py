@@ -1,14 +1,17 @@
-"""Windows over spans of time cost the same a row, however many rows a series has."""
+"""Windows over spans of time and streamed state cost the same a row, however many rows a series has."""
 
 import datetime as dt
 import io
 from contextlib import redirect_stdout
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from strataline.plans import expr as E
 from strataline.plans.evaluate import Panel, features
+from strataline.streaming import jobs as J
 
 START = dt.datetime(2024, 1, 1)
 
@@ -38,3 +41,18 @@ def test_span_sums_equal_brute_force(spark, blocked):
             for k, w in (("s", np.sum(want) if want else None), ("m", np.mean(want) if want else None), ("n", float(len(near(120))))):
                 v = getattr(got[i], k)
                 assert (v is None) == (w is None) and (v is None or np.isclose(v, w, rtol=1e-12, equal_nan=True)), (i, k, v, w)
+
+
+def test_carried_state_is_given_back_in_pieces():
+    n = 2 * J.PIECE + 7
+    rng = np.random.default_rng(1)
+    rows = pd.DataFrame({"instrument": "a", "datetime": pd.Timestamp(START) + pd.to_timedelta(rng.permutation(n), unit="s"), "value": rng.integers(0, 4, n).astype(float)})
+    kept = []
+    state = SimpleNamespace(exists=True, get=(3.0,), update=kept.append)
+    pieces = list(J._carry(("a",), iter([rows[:1000], rows[1000:]]), state))
+    assert len(pieces) == 3 and max(map(len, pieces)) <= J.PIECE
+    got, want = pd.concat(pieces, ignore_index=True), rows.sort_values("datetime", ignore_index=True)
+    prev = want["value"].shift(1)
+    prev.iloc[0] = 3.0
+    assert (got["value"] == want["value"]).all() and (got["previous"] == prev).all() and kept == [(want["value"].iloc[-1],)]
+    assert got["change"].equals((want["value"] / prev - 1).where(prev != 0))
