@@ -95,27 +95,34 @@ def base_prices(orders: DataFrame, quotes: DataFrame, method: str = "twap", unit
     """Average market price of each order's interval (``start`` .. ``end``), by time or by volume.
 
     Both ends of an interval look up running sums of the quotes, in a union with them, and the sums are subtracted: a quote is
-    read once, however many orders span it.  Sums run inside (instrument, ``unit`` slot) and over an instrument's slots, and
-    both differences are taken apart, so a short interval does not lose digits to a long history.  Orders that
-    no quote falls into have no row.
+    read once, however many orders span it, and equal intervals of an instrument are looked up once.  Sums run inside
+    (instrument, ``unit`` slot) and over an instrument's slots, and both differences are taken apart, so a short interval does
+    not lose digits to a long history.  Orders that no quote falls into have no row.
     """
+    return orders.select("order_id", "instrument", "start", "end").join(interval_prices(orders, quotes, method, unit), ["instrument", "start", "end"]).select(
+        "order_id", "base_price", "base_volume")
+
+
+def interval_prices(orders: DataFrame, quotes: DataFrame, method: str = "twap", unit: str = "day") -> DataFrame:
+    """instrument, start, end, base_price and base_volume of the orders' different intervals (see :func:`base_prices`)."""
     slot = F.date_trunc(unit, "datetime").alias("_slot")
     w = F.coalesce(F.col("volume").cast("double"), F.lit(0.0)) if method == "vwap" else F.lit(1.0)
-    none = F.lit(0.0)
-    seen = quotes.where(F.col("price") > 1e-8).select("instrument", "datetime", F.lit(1).alias("_kind"), F.lit(None).cast(orders.schema["order_id"].dataType).alias("order_id"),
+    none, span = F.lit(0.0), F.struct("start", "end")
+    spans = orders.select("instrument", "start", "end").distinct()
+    seen = quotes.where(F.col("price") > 1e-8).select("instrument", "datetime", F.lit(1).alias("_kind"), F.lit(None).cast(spans.select(span.alias("s")).schema["s"].dataType).alias("_span"),
                                                       w.alias("_w"), (F.col("price") * w).alias("_p"), F.lit(1).alias("_k"))
-    ends = orders.select("instrument", F.inline(F.array(*[F.struct(F.col(c).alias("datetime"), F.lit(k).alias("_kind")) for c, k in (("start", 0), ("end", 2))])), "order_id")
-    rows = seen.unionByName(ends.select("instrument", "datetime", "_kind", "order_id", none.alias("_w"), none.alias("_p"), F.lit(0).alias("_k"))).withColumn("_slot", slot)
+    ends = spans.select("instrument", F.inline(F.array(*[F.struct(F.col(c).alias("datetime"), F.lit(k).alias("_kind"), span.alias("_span")) for c, k in (("start", 0), ("end", 2))])))
+    rows = seen.unionByName(ends.select("instrument", "datetime", "_kind", "_span", none.alias("_w"), none.alias("_p"), F.lit(0).alias("_k"))).withColumn("_slot", slot)
     sums = ("_w", "_p", "_k")
     inside = Window.partitionBy("instrument", "_slot").orderBy("datetime", "_kind").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    marks = rows.select("instrument", "_slot", "_kind", "order_id", *[F.sum(c).over(inside).alias(f"{c}_in") for c in sums]).where("_kind != 1")
+    marks = rows.select("instrument", "_slot", "_kind", "_span", *[F.sum(c).over(inside).alias(f"{c}_in") for c in sums]).where("_kind != 1")
     before = Window.partitionBy("instrument").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy("instrument", "_slot").agg(*[F.sum(c).alias(c) for c in sums]).select(
         "instrument", "_slot", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in sums])
     both = marks.join(totals, ["instrument", "_slot"])
     at = lambda c: F.sum(F.when(F.col("_kind") == 2, F.col(c)).otherwise(-F.col(c)))
-    out = both.groupBy("order_id").agg(*[(at(f"{c}_before") + at(f"{c}_in")).alias(c) for c in sums]).where("_k > 0")
-    return out.select("order_id", S.null_div(F.col("_p"), F.col("_w")).alias("base_price"), F.col("_w").alias("base_volume"))
+    out = both.groupBy("instrument", "_span").agg(*[(at(f"{c}_before") + at(f"{c}_in")).alias(c) for c in sums]).where("_k > 0")
+    return out.select("instrument", "_span.start", "_span.end", S.null_div(F.col("_p"), F.col("_w")).alias("base_price"), F.col("_w").alias("base_volume"))
 
 
 def order_metrics(fills: DataFrame, orders: DataFrame, quotes: DataFrame, method: str = "twap", unit: str = "day") -> DataFrame:
@@ -126,7 +133,7 @@ def order_metrics(fills: DataFrame, orders: DataFrame, quotes: DataFrame, method
     agg = fills.groupBy("order_id").agg(
         F.sum("deal_amount").alias("deal_amount"), S.null_div(F.sum(F.col("deal_amount") * F.col("trade_price")), F.sum("deal_amount")).alias("trade_price"),
         F.sum(F.col("deal_amount") * F.col("trade_price")).alias("_value"), F.sum("trade_cost").alias("trade_cost"))
-    j = orders.join(agg, "order_id", "left").join(base_prices(orders, quotes, method, unit), "order_id", "left")
+    j = orders.join(agg, "order_id", "left").join(interval_prices(orders, quotes, method, unit), ["instrument", "start", "end"], "left")
     sign = 1 - F.col("direction") * 2
     deal = F.coalesce("deal_amount", F.lit(0.0))
     return j.select("order_id", "instrument", "direction", "amount", deal.alias("deal_amount"), S.null_div(deal, F.col("amount")).alias("ffr"),

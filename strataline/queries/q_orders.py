@@ -13,10 +13,13 @@ ORD = """fl AS (SELECT l_orderkey * 100000 + l_suppkey AS order_id, CAST(l_suppk
 
 
 def _orders(s, d):
-    g = table(s, d, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(
+    # dealt by order_id, so that joins and sums by it need no further exchange
+    rows = table(s, d, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity", "l_discount", "l_extendedprice", "l_shipdate",
+                                          (F.col("l_orderkey") * 100000 + F.col("l_suppkey")).alias("order_id"))
+    g = rows.repartition("order_id").groupBy("order_id", "l_orderkey", "l_suppkey").agg(
         F.sum("l_quantity").alias("amount"), F.sum(F.col("l_quantity") * (1 - F.col("l_discount"))).alias("deal"),
         (F.sum("l_extendedprice") / F.sum("l_quantity")).alias("price"), F.date_trunc("month", F.min("l_shipdate")).cast("timestamp_ntz").alias("start"))
-    return g.select((F.col("l_orderkey") * 100000 + F.col("l_suppkey")).alias("order_id"), F.col("l_suppkey").cast("string").alias("instrument"),
+    return g.select("order_id", F.col("l_suppkey").cast("string").alias("instrument"),
                     (F.col("l_orderkey") % 2).cast("int").alias("direction"), "amount", "deal", "price", "start",
                     F.add_months("start", 2).cast("timestamp_ntz").alias("end"))
 

@@ -1,4 +1,4 @@
-"""Windows over spans of time and streamed state cost the same a row, however many rows a series has."""
+"""Windows over spans of time, intervals of orders and streamed state cost the same a row, however many rows a series has."""
 
 import datetime as dt
 import io
@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from strataline.operators import orders as O
 from strataline.plans import expr as E
 from strataline.plans.evaluate import Panel, features
 from strataline.streaming import jobs as J
@@ -56,3 +57,11 @@ def test_carried_state_is_given_back_in_pieces():
     prev.iloc[0] = 3.0
     assert (got["value"] == want["value"]).all() and (got["previous"] == prev).all() and kept == [(want["value"].iloc[-1],)]
     assert got["change"].equals((want["value"] / prev - 1).where(prev != 0))
+
+
+def test_equal_intervals_are_looked_up_once(spark):
+    day = lambda k: START + dt.timedelta(days=k)
+    orders = spark.createDataFrame([(i, "a", day(0), day(2 + i % 2)) for i in range(10)], "order_id long, instrument string, start timestamp_ntz, end timestamp_ntz")
+    quotes = spark.createDataFrame([("a", day(k), float(k + 1), 1.0 + k) for k in range(5)], "instrument string, datetime timestamp_ntz, price double, volume double")
+    assert {(r.end, r.base_price) for r in O.interval_prices(orders, quotes).collect()} == {(day(2), 2.0), (day(3), 2.5)}
+    assert sorted((r.order_id, r.base_price) for r in O.base_prices(orders, quotes).collect()) == [(i, 2.0 + i % 2 / 2) for i in range(10)]
