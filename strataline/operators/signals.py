@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +17,12 @@ from strataline.plans.sizing import skew_proof
 
 
 def join_label(pred: DataFrame, label: DataFrame, how: str = "inner") -> DataFrame:
-    """Scores with their future returns on the common key."""
-    return pred.join(label, ["instrument", "datetime"], how)
+    """Scores with their future returns on the common key; a key that is NULL meets itself, as any other."""
+    keys = ["instrument", "datetime"]
+    other = label.select(*[F.col(c).alias(f"__{c}" if c in keys else c) for c in label.columns])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys])
+    both = pred.join(other, same, how)
+    return both.select(*[F.coalesce(c, f"__{c}").alias(c) for c in keys], *[c for c in both.columns if c not in (*keys, "__instrument", "__datetime")])
 
 
 def ic_by_date(df: DataFrame, by: tuple[str, ...] = ("datetime",), score: str = "score", label: str = "label") -> DataFrame:
