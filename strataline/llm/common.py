@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataline.plans.sizing import settle
 
-__all__ = ["WORD", "free_names", "packed", "settle", "words", "n_bytes", "order_key", "row_digest", "running_totals"]
+__all__ = ["WORD", "cut", "free_names", "packed", "settle", "words", "n_bytes", "order_key", "row_digest", "running_totals"]
 
 WORD = r"[^\x20\x09-\x0D]+"   # a word: anything but ASCII white space
 
@@ -30,6 +32,13 @@ def packed(docs: DataFrame, *also: str) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), *also)
 
 
+def cut(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Small batches, where rows are large: what a Python task makes of a batch grows with ``rows`` only."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def words(text: str) -> Column:
     """The words of a text column; none for null."""
     return F.coalesce(F.regexp_extract_all(F.col(text), F.lit(WORD), 0), F.array().cast("array<string>"))

@@ -19,14 +19,15 @@ an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataline.llm.common import settle
+from strataline.llm.common import cut, settle
 
 SCALES = (1.0, 0.75, 0.5)
 CORNERS = (14, 10, 6)    # per scale, in a picture of AREA pixels or fewer
@@ -38,6 +39,8 @@ FAR = 48                 # bits in which two matching descriptors may differ
 NEEDED = 5               # matches that must agree
 SLACK = 4.0              # pixels by which an agreeing match may be off
 BLOCK = 2000             # corners looked at together
+KEYED = 500              # corners whose substrings are given out together
+STEP = 256               # images, or pairs of them, in a batch
 
 _pairs = np.random.default_rng(7).normal(0, REACH / 2, (BITS, 2, 2))
 _pairs *= np.minimum(1, (REACH - 0.5) / np.hypot(_pairs[..., 0], _pairs[..., 1]))[..., None]   # within the disc, so turns stay inside
@@ -142,21 +145,37 @@ def corners(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 # ------------------------------------------------------------------ tables
 
-def describe(images: DataFrame) -> DataFrame:
-    """Per distinct image: image_class (its smallest image_id), digest, descriptors and places."""
+def digests(images: DataFrame, make: Callable | None = None) -> DataFrame:
+    """The id and the digest of every row; ``images`` and ``make`` as in :func:`describe`."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            d, p = [], []
-            for data in batch.column(2):
-                x = read_image(data.as_py())
+        for batch in make(cut(batches, STEP)) if make else cut(batches, STEP):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashlib.md5(v.as_py() or b"").digest() for v in batch.column(1)], pa.binary())],
+                                             [key, "digest"])
+
+    key = images.columns[0]
+    return images.mapInArrow(run, f"`{key}` {images.schema[key].dataType.simpleString()}, digest binary")
+
+
+def describe(images: DataFrame, make: Callable | None = None) -> DataFrame:
+    """Per distinct image: image_class (its smallest image_id), digest, descriptors and places.
+
+    ``images`` has two columns, an id and the image, or something of which ``make`` (batches of id and source to batches of id
+    and image) makes the image in the same task: with a worker for each step, a core would need the memory of three.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in make(cut(batches, STEP)) if make else cut(batches, STEP):
+            h, d, p = [], [], []
+            for data in batch.column(1):
+                data = data.as_py()
+                x = read_image(data)
                 a, b = corners(x) if x is not None else (np.zeros(0, np.uint8),) * 2
+                h.append(hashlib.md5(data or b"").digest())
                 d.append(a.tobytes())
                 p.append(b.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d, pa.binary()), pa.array(p, pa.binary())],
-                                             ["image_id", "digest", "descriptors", "places"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, pa.binary()) for v in (h, d, p))], ["image_id", "digest", "descriptors", "places"])
 
-    rows = images.select(F.col("image_id").cast("long"), F.unhex(F.md5(F.coalesce("image", F.lit(b"")))).alias("digest"), "image")
-    found = rows.mapInArrow(run, f"image_id long, digest binary, {_KP}")
+    key, image = images.columns
+    found = images.select(F.col(key).cast("long"), image).mapInArrow(run, f"image_id long, digest binary, {_KP}")
     return found.groupBy("digest").agg(F.min("image_id").alias("image_class"), F.count(F.lit(1)).alias("copies"),
                                        F.first("descriptors").alias("descriptors"), F.first("places").alias("places"))
 
@@ -172,8 +191,8 @@ def substrings(described: DataFrame, id_: str, side: str, near: bool = False) ->
             whole = np.frombuffer(b"".join(d), "<i8").reshape(-1, BITS // 64)
             parts = whole.view("<u4").astype(np.int64)
             row = np.repeat(np.arange(len(d)), [len(v) // (BITS // 8) for v in d])
-            for k in range(0, len(row), BLOCK):
-                key = (np.arange(TABLES) << BITS // TABLES)[:, None] | parts[k:k + BLOCK, :, None] ^ turned
+            for k in range(0, len(row), KEYED):
+                key = (np.arange(TABLES) << BITS // TABLES)[:, None] | parts[k:k + KEYED, :, None] ^ turned
                 at = np.repeat(np.arange(k, k + len(key)), key[0].size)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[at])), pa.array(key.ravel()), *(pa.array(v) for v in whole[at].T)], [id_, "key", *names])
 
@@ -205,11 +224,14 @@ def agreeing(da: np.ndarray, pa_: np.ndarray, db: np.ndarray, pb: np.ndarray) ->
     return best
 
 
-def find_copies(queries: DataFrame, images: DataFrame) -> DataFrame:
-    """Copies of the queries' images (query_id, image) among ``images`` (image_id, image), all of them: query_id,
-    image_class (the smallest id of a class of identical images), copies (images in the class) and agreeing (matches)."""
-    index = settle(describe(images))
-    asked = settle(describe(queries.withColumnRenamed("query_id", "image_id")))
+def find_copies(queries: DataFrame, images: DataFrame, make_query: Callable | None = None, make_image: Callable | None = None) -> DataFrame:
+    """Copies of the queries' images (query_id, image) among ``images`` (image_id, image), all of them: query_id, image_class
+    (the smallest id of a class of identical images), copies (images in the class) and agreeing (matches).  With ``make_query``
+    or ``make_image`` the two columns are an id and what these make the images of, as in :func:`describe`."""
+    queries = queries if make_query else queries.select("query_id", "image")
+    images = images if make_image else images.select("image_id", "image")
+    index = settle(describe(images, make_image))
+    asked = settle(describe(queries, make_query))
     left = substrings(asked.select(F.col("digest").alias("q"), "descriptors"), "q", "a", near=True)
     right = substrings(index.select("digest", "descriptors"), "digest", "b")
     # two matching corners are enough for a pair to be compared
@@ -221,14 +243,14 @@ def find_copies(queries: DataFrame, images: DataFrame) -> DataFrame:
              .join(index.select("digest", F.col("descriptors").alias("db"), F.col("places").alias("pb")), "digest"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in cut(batches, STEP):
             cols = [batch.column(i).to_pylist() for i in range(2, 6)]
             n = [agreeing(np.frombuffer(a, np.uint8).reshape(-1, BITS // 8), np.frombuffer(p, np.float32).reshape(-1, 4),
                           np.frombuffer(b, np.uint8).reshape(-1, BITS // 8), np.frombuffer(q, np.float32).reshape(-1, 4)) for a, p, b, q in zip(*cols)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], ["q", "digest", "agreeing"])
 
     hits = pairs.select("q", "digest", "da", "pa", "db", "pb").mapInArrow(run, "q binary, digest binary, agreeing long").where(F.col("agreeing") >= NEEDED)
-    ids = queries.select("query_id", F.unhex(F.md5(F.coalesce("image", F.lit(b"")))).alias("q"))
+    ids = digests(queries, make_query).toDF("query_id", "q")
     return ids.join(hits, "q").join(index.select("digest", "image_class", "copies"), "digest").select("query_id", "image_class", "copies", "agreeing")
 
 
@@ -247,43 +269,41 @@ def textures(k: int) -> np.ndarray:
     return np.stack(out).reshape(k, -1)
 
 
-def draw(vectors: DataFrame, id_: str, vector: str) -> DataFrame:
-    """image_id, image: each vector as a grey picture, a mix of fixed textures with its components as weights."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base: dict[int, np.ndarray] = {}
-        for batch in batches:
-            out = []
-            for v in batch.column(1):
-                v = np.array([w or 0.0 for w in v.as_py() or []], np.float32)
-                if not len(v) or not np.abs(v).max() > 0:
-                    out.append(None)
-                    continue
-                if len(v) not in base:
-                    base[len(v)] = textures(len(v))
-                x = v @ base[len(v)]
-                out.append(write_image((128 + 40 * x / x.std()).reshape(SIDE, SIDE)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["image_id", "image"])
-
-    return vectors.select(F.col(id_).cast("long"), F.col(vector)).mapInArrow(run, "image_id long, image binary")
-
-
-def edit(images: DataFrame) -> DataFrame:
-    """query_id, image: each image cropped, turned by a quarter or changed in brightness and contrast, by its id."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for i, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                x = read_image(data.as_py())
-                if x is None or i is None:
-                    out.append(None)
-                    continue
-                kind = i // 20 % 3
-                if kind == 0:
-                    y, c = i // 60 % 16, i // 7 % 16
-                    x = x[y:y + 80, c:c + 78]
-                else:
-                    x = np.rot90(x) if kind == 1 else 0.7 * (x - 128) + 150
-                out.append(write_image(x))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["query_id", "image"])
-
-    return images.mapInArrow(run, "query_id long, image binary")
+def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """image_id, image of ids and vectors: each vector as a grey picture, a mix of fixed textures with its components as weights."""
+    base: dict[int, np.ndarray] = {}
+    for batch in cut(batches, STEP):
+        out = []
+        for v in batch.column(1):
+            v = np.array([w or 0.0 for w in v.as_py() or []], np.float32)
+            if not len(v) or not np.abs(v).max() > 0:
+                out.append(None)
+                continue
+            if len(v) not in base:
+                base[len(v)] = textures(len(v))
+            x = v @ base[len(v)]
+            out.append(write_image((128 + 40 * x / x.std()).reshape(SIDE, SIDE)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["image_id", "image"])
+
+
+def edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """query_id, image of ids and images: each image cropped, turned by a quarter or changed in brightness and contrast, by its id."""
+    for batch in cut(batches, STEP):
+        out = []
+        for i, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+            x = read_image(data.as_py())
+            if x is None or i is None:
+                out.append(None)
+                continue
+            kind = i // 20 % 3
+            if kind == 0:
+                y, c = i // 60 % 16, i // 7 % 16
+                x = x[y:y + 80, c:c + 78]
+            else:
+                x = np.rot90(x) if kind == 1 else 0.7 * (x - 128) + 150
+            out.append(write_image(x))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["query_id", "image"])
+
+
+def drawn_and_edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return edited(drawn(batches))

@@ -167,9 +167,8 @@ def op2_image_copies(spark, sf):
     """Every vector as a picture; an edited copy of each picture whose id is divisible by 20 is looked up among all."""
     from strataline.llm import media
 
-    vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
-    return media.find_copies(media.edit(media.draw(vectors.where("vec_id % 20 = 0"), "vec_id", "embedding")),
-                             media.draw(vectors, "vec_id", "embedding"))
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").selectExpr("cast(vec_id as long) as vec_id", "embedding")
+    return media.find_copies(vectors.where("vec_id % 20 = 0"), vectors, media.drawn_and_edited, media.drawn)
 
 
 MERKLE_SQL = r"""
