@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_PENALTY = np.float32(10.0)   # below the lowest score, as in SentencePiece
 BATCH_CHARS = 1 << 20                # characters segmented at once
-HELD_UNITS = 300_000                 # units whose ids a worker remembers before it starts anew
+HELD_UNITS = 100_000                 # units whose ids a worker remembers before it starts anew; workers outlive their tasks
 
 _base = np.uint64(0x9E3779B97F4A7C15)
 _loaded: dict[str, Pieces] = {}
@@ -217,16 +218,14 @@ def pieces(folder: str = FOLDER, model: str = MODEL) -> Pieces:
     return _loaded[path]
 
 
-def _groups(texts: list[str], limit: int = BATCH_CHARS) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about ``limit`` characters."""
-    a, held = 0, 0
-    for i, t in enumerate(texts):
-        held += len(t)
-        if held >= limit:
-            yield a, i + 1
-            a, held = i + 1, 0
-    if a < len(texts):
-        yield a, len(texts)
+def _groups(batch: pa.RecordBatch, limit: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts (the first column) have about ``limit`` characters: only these become Python strings at once."""
+    end = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(0)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < batch.num_rows:
+        b = min(int(np.searchsorted(end, (end[a - 1] if a else 0) + limit)) + 1, batch.num_rows)
+        yield batch.slice(a, b - a)
+        a = b
 
 
 def encode(docs: DataFrame, keep: list[str], text: str = "text", folder: str = FOLDER, model: str = MODEL) -> DataFrame:
@@ -234,10 +233,9 @@ def encode(docs: DataFrame, keep: list[str], text: str = "text", folder: str = F
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(folder, model)
         for batch in batches:
-            texts = [t or "" for t in batch.column(0).to_pylist()]
-            for a, b in _groups(texts):
-                ids, cuts = p.encode(texts[a:b])
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[1:], pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids))],
+            for part in _groups(batch):
+                ids, cuts = p.encode([t or "" for t in part.column(0).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids))],
                                                  [*keep, "ids"])
 
     kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
@@ -268,16 +266,16 @@ def report(docs: DataFrame, folder: str = FOLDER, model: str = MODEL) -> DataFra
         spelt = np.zeros(len(p.raw), bool)
         spelt[p.byte_id] = True
         for batch in batches:
-            texts = [t or "" for t in batch.column(0).to_pylist()]
-            for a, b in _groups(texts):
-                ids, cuts = p.encode(texts[a:b])
+            for part in _groups(batch):
+                texts = [t or "" for t in part.column(0).to_pylist()]
+                ids, cuts = p.encode(texts)
                 back = p.decode(ids, cuts)
                 n_bytes = np.concatenate(([0], np.cumsum(spelt[ids])))[cuts]
                 spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(1).slice(a, b - a), pa.array(np.diff(cuts)), pa.array(np.diff(n_bytes).astype(np.int64)),
+                    [part.column(1), pa.array(np.diff(cuts)), pa.array(np.diff(n_bytes).astype(np.int64)),
                      pa.array([hashlib.md5(ids[s:e].tobytes()).hexdigest() for s, e in spans]),
-                     pa.array([x == y for x, y in zip(texts[a:b], back)])],
+                     pa.array([x == y for x, y in zip(texts, back)])],
                     ["doc_id", "n_tokens", "n_bytes", "ids_md5", "round_trip"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

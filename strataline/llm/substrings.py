@@ -29,13 +29,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataline.llm.common import free_names, settle
+from strataline.llm.common import cut, free_names, settle
 from strataline.llm.tokens import BASE, CHUNK, _byte, chunks, mix, powers, raw
 
 LENGTH = 200
 GRAM = 32
 KEY_RUNS = 4096      # runs of one key in one shard
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
+STEP = 1000           # texts of which a task holds what it makes of them
 _EMPTY = np.zeros(0, np.int64)
 
 
@@ -104,7 +105,7 @@ def text_runs(x: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
 def run_keys(docs: DataFrame, prints: bool) -> DataFrame:
     """digest, key (and print, a hash of the run's bytes) of every run of every document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in cut(batches, STEP):
             x, offsets = raw(batch.column(1))
             keys, n, marks = [_EMPTY], [], [_EMPTY]
             for i, (k, s, e) in enumerate(text_runs(x, offsets)):
@@ -131,7 +132,7 @@ def run_prints(x: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
 def distinct_texts(docs: DataFrame) -> DataFrame:
     """digest, copies and z (the packed text) of every distinct text of LENGTH bytes or more; copies meet map-side first."""
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in cut(batches, STEP):
             x, offsets = raw(batch.column(1))
             buf = memoryview(x)
             z = [zlib.compress(buf[a:b], 4) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
@@ -210,7 +211,7 @@ def _marks(v) -> dict[int, int]:
 def pieces(texts: DataFrame, marks: DataFrame, key_runs: int = KEY_RUNS) -> DataFrame:
     """The runs to be looked into: key, salt, split (whether the key goes to several shards), digest, start and bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in cut(batches, STEP):
             out = [[] for _ in range(6)]
             for r, x, keys, s, e, prints in unpacked(_rows(batch)):
                 found = _marks(r["marks"])
@@ -435,7 +436,7 @@ def merge_shards(lists: DataFrame) -> DataFrame:
 def kept_texts(texts: DataFrame, marks: DataFrame, spans: DataFrame, with_text: bool = False) -> DataFrame:
     """digest, n_removed, n_spans, kept_sha256 (and the kept text) of the texts that lose bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in cut(batches, STEP):
             out = [[], [], [], [], []]
             inside = lambda r: r["marks"].is_valid and r["copies"].as_py() == 1     # copies go as a whole
             for r, x, keys, s, e, prints in unpacked(_rows(batch), inside):
