@@ -4,6 +4,8 @@ An image column holds binary PGM (P5) or PPM (P6) files.  Corners are found on s
 strongest of their neighbourhood); each gets an orientation from its intensity centroid and BITS binary comparisons of
 smoothed pixels, turned by that orientation.  A descriptor is cut into TABLES substrings, and a query's are also looked up
 with each one of their bits turned, so an equality join per table finds all substrings that differ in one bit at most.
+Near copies share most of their substrings, so images that have 64 bits of a descriptor in common are put into blocks, and
+a block is met once for each of its substrings, not once for each of its images (see ``placed``).
 Images with two such corners, whose whole descriptors differ in FAR bits at most, are compared corner by corner, and are
 copies if at least NEEDED matches agree on one rotation, scale and shift.
 
@@ -41,6 +43,8 @@ SLACK = 4.0              # pixels by which an agreeing match may be off
 BLOCK = 2000             # corners looked at together
 KEYED = 500              # corners whose substrings are given out together
 STEP = 256               # images, or pairs of them, in a batch
+TOGETHER = 64            # near copies in a block, one bit of a long for each
+LEADING = 8              # corners that say which images are near copies
 
 _pairs = np.random.default_rng(7).normal(0, REACH / 2, (BITS, 2, 2))
 _pairs *= np.minimum(1, (REACH - 0.5) / np.hypot(_pairs[..., 0], _pairs[..., 1]))[..., None]   # within the disc, so turns stay inside
@@ -180,24 +184,81 @@ def describe(images: DataFrame, make: Callable | None = None) -> DataFrame:
                                        F.first("descriptors").alias("descriptors"), F.first("places").alias("places"))
 
 
-def substrings(described: DataFrame, id_: str, side: str, near: bool = False) -> DataFrame:
-    """One row per (corner, table) of an image: its id, key and whole descriptor (four longs, named by ``side``); with
-    ``near``, the keys one bit away as well."""
+def placed(index: DataFrame) -> DataFrame:
+    """The block (a long) and the bit in it of each described image; near copies share a block, about TOGETHER of them.
+
+    An image's leader is the smallest hash among the images that share 64 aligned bits of one of the LEADING first descriptors with
+    it, and the images of a leader are dealt over as many blocks as they need.  Blocks only say what is looked up together: whatever they hold,
+    all pairs with corners that meet are found, and where images have the same bit, ``meeting`` tells them apart.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d = [v.as_py()[:LEADING * BITS // 8] for v in batch.column(1)]
+            row = np.repeat(np.arange(len(d)), [len(v) // 8 for v in d])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(np.frombuffer(b"".join(d), "<i8"))], ["own", "part"])
+
+    own = F.xxhash64("digest")
+    parts = index.select(own.alias("own"), "descriptors").mapInArrow(run, "own long, part long")
+    shared = parts.groupBy("part").agg(F.min("own").alias("leader"), F.max("own").alias("last")).where("leader < last").select("part", "leader")
+    led = index.select("digest", own.alias("own")).join(parts.join(shared, "part").groupBy("own").agg(F.min("leader").alias("leader")), "own", "left")
+    led = led.select("digest", "own", F.coalesce("leader", "own").alias("leader"))
+    sizes = led.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).alias("blocks"))
+    return led.join(sizes, "leader").select("digest", F.xxhash64("leader", F.pmod("own", "blocks")).alias("block"),
+                                            F.expr(f"shiftleft(1L, cast(pmod(xxhash64(digest, 1), {TOGETHER}) as int))").alias("bit"))
+
+
+def substrings(described: DataFrame, id_: str | list[str], side: str, near: bool = False) -> DataFrame:
+    """One row per (corner, table) of an image: its id (or several columns), key and whole descriptor (four longs, named by
+    ``side``); with ``near``, the keys one bit away as well."""
     turned = np.concatenate(([0], 1 << np.arange(BITS // TABLES))) if near else np.zeros(1, np.int64)
+    ids = [id_] if isinstance(id_, str) else id_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d = [v.as_py() for v in batch.column(1)]
+            d = [v.as_py() for v in batch.column(len(ids))]
             whole = np.frombuffer(b"".join(d), "<i8").reshape(-1, BITS // 64)
             parts = whole.view("<u4").astype(np.int64)
             row = np.repeat(np.arange(len(d)), [len(v) // (BITS // 8) for v in d])
             for k in range(0, len(row), KEYED):
                 key = (np.arange(TABLES) << BITS // TABLES)[:, None] | parts[k:k + KEYED, :, None] ^ turned
                 at = np.repeat(np.arange(k, k + len(key)), key[0].size)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[at])), pa.array(key.ravel()), *(pa.array(v) for v in whole[at].T)], [id_, "key", *names])
+                of = pa.array(row[at])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(of) for i in range(len(ids))), pa.array(key.ravel()), *(pa.array(v) for v in whole[at].T)],
+                                                 [*ids, "key", *names])
 
     names = [f"{side}{i}" for i in range(BITS // 64)]
-    return described.select(id_, "descriptors").mapInArrow(run, f"{id_} binary, key long, {', '.join(f'{c} long' for c in names)}")
+    typed = [f"{c} {described.schema[c].dataType.simpleString()}" for c in ids]
+    return described.select(*ids, "descriptors").mapInArrow(run, f"{', '.join(typed)}, key long, {', '.join(f'{c} long' for c in names)}")
+
+
+def candidates(asked: DataFrame, index: DataFrame) -> DataFrame:
+    """Pairs (q, digest) of described images with two or more corners of q that meet one of the other's, and a few more."""
+    where = settle(placed(index.where(F.length("descriptors") > 0)))
+    longs = range(BITS // 64)
+    left = substrings(asked.select(F.col("digest").alias("q"), "descriptors"), "q", "a", near=True)
+    # a substring of a block: the images that have it, and the bits that all or any of their descriptors have
+    right = (substrings(where.join(index.select("digest", "descriptors"), "digest"), ["block", "bit"], "b").repartition("key").groupBy("key", "block")
+             .agg(F.bit_or("bit").alias("who"), *[f(f"b{i}").alias(f"{n}{i}") for n, f in (("all", F.bit_and), ("any", F.bit_or)) for i in longs]))
+    # bits in which the corner differs from each of them: no more than from the nearest
+    far = sum((F.bit_count(F.expr(f"(a{i} & ~any{i}) | (~a{i} & all{i})")) for i in longs), F.lit(0))
+    corner = F.xxhash64(*[f"a{i}" for i in longs])
+    # two matching corners are enough for a pair to be compared
+    found = (left.join(right, "key").where(far <= FAR).groupBy("q", "block").agg(F.min(corner).alias("low"), F.max(corner).alias("high"), F.bit_or("who").alias("who"))
+             .where("low < high"))
+    return found.join(where, "block").where("who & bit != 0").select("q", "digest")
+
+
+def meeting(da: np.ndarray, db: np.ndarray) -> int:
+    """How many different corners of the first image meet one of the second: a substring differs in one bit at most, the whole
+    in FAR."""
+    a, b = da.view("<u8"), db.view("<u8")
+    step = max(1, BLOCK * BLOCK // max(1, len(b)))
+    met = [np.zeros(0, bool)]
+    for k in range(0, len(a) if len(b) else 0, step):
+        x = np.bitwise_count((a[k:k + step, None, :] ^ b[None, :, :]).view("<u4"))
+        met.append(((x.min(axis=2) <= 1) & (x.sum(axis=2) <= FAR)).any(axis=1))
+    met = np.concatenate(met)
+    return len(np.unique(a[met], axis=0)) if met.any() else 0
 
 
 def agreeing(da: np.ndarray, pa_: np.ndarray, db: np.ndarray, pb: np.ndarray) -> int:
@@ -232,21 +293,17 @@ def find_copies(queries: DataFrame, images: DataFrame, make_query: Callable | No
     images = images if make_image else images.select("image_id", "image")
     index = settle(describe(images, make_image))
     asked = settle(describe(queries, make_query))
-    left = substrings(asked.select(F.col("digest").alias("q"), "descriptors"), "q", "a", near=True)
-    right = substrings(index.select("digest", "descriptors"), "digest", "b")
-    # two matching corners are enough for a pair to be compared
-    far = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(BITS // 64)), F.lit(0))
-    corner = F.xxhash64(*[f"a{i}" for i in range(BITS // 64)])
-    pairs = (left.join(right, "key").where(far <= FAR).groupBy("q", "digest").agg(F.min(corner).alias("low"), F.max(corner).alias("high"))
-             .where("low < high").select("q", "digest")
+    pairs = (candidates(asked, index)
              .join(asked.select(F.col("digest").alias("q"), F.col("descriptors").alias("da"), F.col("places").alias("pa")), "q")
              .join(index.select("digest", F.col("descriptors").alias("db"), F.col("places").alias("pb")), "digest"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in cut(batches, STEP):
             cols = [batch.column(i).to_pylist() for i in range(2, 6)]
-            n = [agreeing(np.frombuffer(a, np.uint8).reshape(-1, BITS // 8), np.frombuffer(p, np.float32).reshape(-1, 4),
-                          np.frombuffer(b, np.uint8).reshape(-1, BITS // 8), np.frombuffer(q, np.float32).reshape(-1, 4)) for a, p, b, q in zip(*cols)]
+            n = []
+            for a, p, b, q in zip(*cols):
+                a, b = (np.frombuffer(v, np.uint8).reshape(-1, BITS // 8) for v in (a, b))
+                n.append(agreeing(a, np.frombuffer(p, np.float32).reshape(-1, 4), b, np.frombuffer(q, np.float32).reshape(-1, 4)) if meeting(a, b) > 1 else 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], ["q", "digest", "agreeing"])
 
     hits = pairs.select("q", "digest", "da", "pa", "db", "pb").mapInArrow(run, "q binary, digest binary, agreeing long").where(F.col("agreeing") >= NEEDED)
