@@ -69,8 +69,8 @@ def _(s, d):
     (SELECT *, last_value(CASE WHEN volume % 4 >= 1 THEN vwap / close END IGNORE NULLS) OVER x AS f FROM bars_d {WI}) WHERE close > 1""", "bars_d"))
 def _(s, d):
     b = bars_d(s, d, in_order=True)
-    df = b.df.withColumn("adjclose", F.when(F.col("volume") % 4 >= 1, F.col("vwap")))
-    out = Q.adjust_prices(Panel(df)).join(b.df.select("instrument", "datetime", F.col("close").alias("c0")), ["instrument", "datetime"])
+    df = b.df.withColumns({"adjclose": F.when(F.col("volume") % 4 >= 1, F.col("vwap")), "c0": F.col("close")})
+    out = Q.adjust_prices(Panel(df))
     return out.where("c0 > 1").select("instrument", "datetime", r("open", 5).alias("open"), r("volume", 4).alias("volume"), r("factor", 5).alias("factor"))
 
 

@@ -18,7 +18,7 @@ def nameless(sf, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["rebase_first_close"])
+@pytest.mark.parametrize("name", ["adjust_prices", "rebase_first_close"])
 def test_rows_without_a_user_stay(spark, nameless, name):
     ok, note = compare(spark, connect(nameless), name, nameless)
     assert ok, note
